@@ -46,12 +46,9 @@ def fit_pivots(rows: DataFrame, pivots: int, sample: int, seed: int) -> dict[int
             u = np.unique(unit(m), axis=0)
             chosen, near = [0], u @ u[0]
             while len(chosen) < min(pivots, len(u)):
-                # half the pivots spread out, half follow the data's density
-                j = int(np.argmin(near)) if len(chosen) % 2 else (len(chosen) * 7919) % len(u)
-                if j in chosen:
-                    j = next(i for i in np.argsort(near) if i not in chosen)
-                chosen.append(j)
-                near = np.maximum(near, u @ u[j])
+                chosen.append(int(np.argmin(near)))
+                near = np.maximum(near, u @ u[chosen[-1]])
+                near[chosen] = np.inf
             out[m.shape[1]] = u[chosen]
     return out
 
@@ -90,20 +87,20 @@ def search(batches: Iterator[pa.RecordBatch], chunk: dict, pivots: dict, prefix:
                 continue
             ids = np.frombuffer(row["ids"], np.int64)
             vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(ids), d)
-            starts, posted, places = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["posted"], np.int32), np.frombuffer(row["places"], np.uint8)
+            starts, posted = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["posted"], np.int32)
+            left = prefix - np.frombuffer(row["places"], np.uint8).astype(np.int16)
             count = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
             got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for n, (qid, q) in enumerate(zip(*chunk[d])):
                 if prefixes[d] is None:
                     at = np.arange(len(ids))
                 else:
-                    # footrule relative to sharing no pivot: each shared pivot brings both to their places
-                    gain = np.zeros(len(ids), np.int32)
-                    length = prefixes[d].shape[1]
+                    # half of how far the footrule falls below that of sharing no pivot:
+                    # (2 * prefix - a - b - |a - b|) / 2 for a pivot at places a and b
+                    gain = np.zeros(len(ids), np.int16)
                     for place, p in enumerate(prefixes[d][n]):
                         s = slice(starts[p], starts[p + 1])
-                        theirs = places[s].astype(np.int32)
-                        gain[posted[s]] += 2 * length - place - theirs - np.abs(theirs - place)
+                        gain[posted[s]] += np.minimum(left[s], np.int16(prefix - place))
                     at = np.argpartition(-gain, count - 1)[:count] if count < len(ids) else np.arange(len(ids))
                 at = at[ids[at] != qid]
                 score = (vecs[at] * q).sum(axis=1)
@@ -119,12 +116,12 @@ def ann_topk(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    pivots: int = 192,
-    prefix: int = 24,
+    pivots: int = 128,
+    prefix: int = 64,
     sample: int = 4096,
-    shard: int = 4096,
-    share: float = 0.06,
-    least: int = 256,
+    shard: int = 8192,
+    share: float = 0.1,
+    least: int = 512,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (double): for each row whose ``query_of(id)`` holds, its k nearest found by inner product.
