@@ -75,7 +75,7 @@ def masks(radius: int, bits: int = 64) -> list[int]:
 
 def forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Edges (id, id) of a spanning forest of one bucket's links."""
-    label = np.arange(len(fps))
+    label, fps = np.arange(len(fps)), fps.view(np.uint64)  # signed numbers would count the bits of their magnitude
     a, b = [], []
     for i in range(len(fps)):
         near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)
