@@ -1,8 +1,71 @@
-"""Corpus pipeline (stages are added as their operators come)."""
+"""The corpus pipeline: toxicity filter, near-duplicates, personal data, source mixing, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A
+stage's result is written and read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallygrain.llm.common import Scratch, crc_mod
+from tallygrain.llm.mixing import mix
+from tallygrain.llm.packing import pack_documents
+from tallygrain.llm.pii import redact_pii
+from tallygrain.llm.simhash import near_duplicates
+from tallygrain.llm.toxicity import score_toxicity
+from tallygrain.session import ship
+
+#: Trained models and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; the columns stay as they are."""
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels, lambda c: crc_mod(c, 5) != 0, keep_clean=True)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that of the smallest doc_id. Rows without an id stay, one for each text, where their
+    fingerprint is no other document's."""
+    groups = near_duplicates(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    lone = docs.where("doc_id is null").dropDuplicates(["text"])
+    if lone.limit(1).count():  # their fingerprints tell them apart under ids of their own
+        own = lone.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+        known = groups.where("component_id is not null").select("fingerprint").distinct()
+        alone = near_duplicates(own).join(known, "fingerprint", "left_anti").where("doc_id = component_id").select("doc_id").distinct()
+        lone = own.join(alone, "doc_id", "left_semi").withColumn("doc_id", F.lit(None).cast("long"))
+        kept = kept.unionByName(lone.select(docs.columns))
+    return kept
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by its kind."""
+    return redact_pii(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources up to twice, by temperature."""
+    return mix(docs, max_repeats=2.0).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document and their places in sequences of 1024."""
+    from public_tokenizers import path
+
+    return pack_documents(docs, path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("mixing", mix_sources), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each stage's result written to the shared folder and read again."""
+    docs, scratch = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

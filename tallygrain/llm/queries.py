@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallygrain.llm import licenses
+from tallygrain.llm.common import crc_mod
 from tallygrain.llm.exact_topk import exact_topk
+from tallygrain.llm.mixing import mix
 from tallygrain.llm.packing import pack_documents
 from tallygrain.llm.permutation_index import ann_topk
+from tallygrain.llm.pii import KINDS, find_pii
 from tallygrain.llm.simhash import near_duplicates
+from tallygrain.llm.toxicity import score_toxicity
+from tallygrain.session import ship
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +29,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), lambda c: crc_mod(c, 5) != 0)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"), max_repeats=2.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens", "mix_weight")
+
+
+def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read(spark, sf_dir, "documents"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_topk(read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
@@ -35,11 +70,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_simhash, op9_permutation_index, op10_exact_topk)}
+    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op6_skip_chain_pii, op8_license_rules, op9_permutation_index, op10_exact_topk)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_license_rules": licenses.oracle(),
         "op10_exact_topk": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
