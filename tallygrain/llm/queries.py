@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm import licenses
 from tallygrain.llm.common import crc_mod
 from tallygrain.llm.exact_topk import exact_topk
+from tallygrain.llm.katz import score_katz
 from tallygrain.llm.mixing import mix
 from tallygrain.llm.packing import pack_documents
 from tallygrain.llm.permutation_index import ann_topk
@@ -43,6 +44,10 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens", "mix_weight")
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_katz(read(spark, sf_dir, "documents"), lambda c: crc_mod(c, 10) == 0)
+
+
 def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op6_skip_chain_pii, op8_license_rules, op9_permutation_index, op10_exact_topk)
+    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op8_license_rules, op9_permutation_index, op10_exact_topk)
     return {f.__name__: f for f in found}
 
 
