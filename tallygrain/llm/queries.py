@@ -15,6 +15,7 @@ from tallygrain.llm.mixing import mix
 from tallygrain.llm.packing import pack_documents
 from tallygrain.llm.permutation_index import ann_topk
 from tallygrain.llm.pii import KINDS, find_pii
+from tallygrain.llm.repeats import remove_repeats
 from tallygrain.llm.simhash import near_duplicates
 from tallygrain.llm.toxicity import score_toxicity
 from tallygrain.session import ship
@@ -62,6 +63,10 @@ def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op8_license_rules, op9_permutation_index, op10_exact_topk)
+    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op7_suffix_repeats, op8_license_rules, op9_permutation_index, op10_exact_topk)
     return {f.__name__: f for f in found}
 
 
