@@ -140,7 +140,10 @@ def key_summary(document: pd.Series) -> pd.Series:
 
 def json_lines(df: DataFrame, column: str = "body") -> DataFrame:
     """Records of bodies that hold a JSON array, one object, or JSON lines; lines that do not parse are left out."""
-    whole = F.try_parse_json(F.col(column))
-    items = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), F.when(whole.isNotNull(), F.array(whole)), F.transform(F.split(column, "\n"), lambda x: F.try_parse_json(x)))
+    body = F.trim(F.col(column))
+    # parsing stops at the end of the first value, so what the first line holds tells lines from one document
+    first = F.try_parse_json(F.substring_index(body, "\n", 1))
+    lines = F.transform(F.split(body, "\n"), lambda x: F.try_parse_json(x))
+    items = F.when(body.startswith("["), F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")).when(first.isNotNull(), lines).otherwise(F.array(F.try_parse_json(body)))
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.posexplode(items).alias("pos", "record")).where("record is not null")

@@ -35,40 +35,47 @@ def provider_chain(spec: str | list[str]) -> list[tuple[int, str]]:
     return list(enumerate(names))
 
 
-class SearchSource(DataSource):
-    """spark.read.format("tallygrain_search"): one partition for each query of the option ``queries`` (one a line), answered
-    by the registered provider that the option ``provider`` names. Failed calls are tried again ``tries`` times."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tallygrain_search"
-
-    def schema(self) -> str:
-        return SEARCH_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SearchReader(dict(self.options), PROVIDERS[self.options["provider"]])
-
-
-class _SearchReader(DataSourceReader):
-    def __init__(self, options: dict, provider):
-        self.options, self.provider = options, provider
-
-    def partitions(self):
-        return [InputPartition(q) for q in self.options["queries"].split("\n") if q]
-
-    def read(self, partition):
-        k, tries = int(self.options.get("k", config.SEARCH_K)), int(self.options.get("tries", 3))
-        for left in range(tries - 1, -1, -1):
-            try:
-                rows = list(self.provider(partition.value, k, self.options.get("country", "uk")))
-                break
-            except OSError:
-                if not left:
-                    raise
-        for i, (title, url, snippet) in enumerate(rows[:k]):
-            if title and url:
-                yield partition.value, i, title, url, snippet
+def search_source(provider_name: str) -> type[DataSource]:
+    """A data source of a registered provider, to pass to spark.dataSource.register; its format is tallygrain_<name>.
+
+    One partition for each query of the option ``queries`` (one a line); the first k results of a query (option ``k``), those
+    without title or link left out; a call that fails is tried again (option ``tries``, three by default).
+    """
+    provider = PROVIDERS[provider_name]  # travels with the class: readers run in processes of their own
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.options = options
+
+        def partitions(self):
+            return [InputPartition(q) for q in self.options["queries"].split("\n") if q]
+
+        def read(self, partition):
+            k, tries = int(self.options.get("k", config.SEARCH_K)), int(self.options.get("tries", 3))
+            rows = []
+            for left in range(tries - 1, -1, -1):
+                try:
+                    rows = list(provider(partition.value, k, self.options.get("country", "uk")))
+                    break
+                except OSError:
+                    if not left:
+                        raise
+            for i, (title, url, snippet) in enumerate(rows[:k]):
+                if title and url:
+                    yield partition.value, i, title, url, snippet
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"tallygrain_{provider_name}"
+
+        def schema(self) -> str:
+            return SEARCH_SCHEMA
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(dict(self.options))
+
+    return Source
 
 
 def recorded_search(queries: DataFrame, recorded: DataFrame) -> DataFrame:
