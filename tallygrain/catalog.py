@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrain import config, fixtures as fx
 from tallygrain.functions import detect, fuzzy, jsonx, prices, text, urls
-from tallygrain.operators import candidates as cand, runlog
+from tallygrain.operators import candidates as cand, repair, runlog
 from tallygrain.plans import match, reports, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,20 @@ def country_regions(spark, d):
     return fx.read(spark, d, "nation").select("n_nationkey", code.alias("code"), urls.search_region(code).alias("region"), urls.search_gl(code).alias("gl"))
 
 
+@query(fx.sql(steps(3, "row_index", "WHERE provider_rank = 0") + "SELECT row_index, rank, coalesce(url = max(CASE WHEN v_distinguishing = 'pass' THEN url END) OVER (PARTITION BY row_index), false) AS is_matched FROM judged", "candidates"))
+def matched_flags(spark, d):
+    rows = match.judged(_results(spark, d), ["row_index"])
+    out = cand.flag_matched(rows.select("row_index", "rank", "url"), cand.task_results(rows.select("row_index").distinct(), rows, ["row_index"]), ["row_index"])
+    return out.select("row_index", F.col("rank").cast("long").alias("rank"), "is_matched")
+
+
+@query(fx.sql("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN a IS NULL AND b IS NULL THEN 'both_none' WHEN a IS NULL THEN 'only_new' WHEN b IS NULL THEN 'only_old' WHEN a = b THEN 'same' ELSE 'different' END AS kind FROM (SELECT row_index, CASE WHEN row_index % 4 > 0 THEN row_index % 10 END AS a, CASE WHEN row_index % 6 > 0 THEN row_index % 5 END AS b FROM sku_tasks)) GROUP BY 1", "sku_tasks"))
+def run_agreement(spark, d):
+    t = fx.sku_tasks(spark, d)
+    r = F.col("row_index")
+    return cand.agreement(t.select(r, F.when(r % 4 > 0, r % 10).alias("url")), t.select(r, F.when(r % 6 > 0, r % 5).alias("url")))
+
+
 # ---- trace --------------------------------------------------------------------------------------------------------
 
 
@@ -325,6 +339,35 @@ def golden_coverage(spark, d):
     return runlog.coverage(fx.goldens(spark, d))
 
 
+@query(fx.sql("SELECT r.id, r.site, r.winning_parser_id, p.status AS parser_status FROM scrape_runs r LEFT JOIN parsers p ON p.site = r.site AND p.id = r.winning_parser_id", "scrape_runs", "parsers"))
+def runs_with_parsers(spark, d):
+    return runlog.runs_with_parsers(fx.scrape_runs(spark, d), fx.parsers(spark, d)).select("id", "site", "winning_parser_id", "parser_status")
+
+
+@query(fx.sql("SELECT site, id, position FROM (SELECT site, id, row_number() OVER (PARTITION BY site ORDER BY scraped_at DESC, id DESC) AS position FROM scrape_runs) WHERE position <= 20", "scrape_runs"))
+def newest_results(spark, d):
+    return runlog.newest_results(fx.scrape_runs(spark, d), 20).select("site", "id", F.col("position").cast("long").alias("position"))
+
+
+@query(fx.sql("SELECT site, 'parsers' AS relation, count(*) AS n FROM parsers GROUP BY 1 UNION ALL SELECT site, 'scrape_runs', count(*) FROM scrape_runs GROUP BY 1 UNION ALL SELECT site, 'goldens', count(*) FROM goldens GROUP BY 1", "scrape_runs", "parsers", "goldens"))
+def site_counts(spark, d):
+    return runlog.site_counts({"parsers": fx.parsers(spark, d), "scrape_runs": fx.scrape_runs(spark, d), "goldens": fx.goldens(spark, d)}).select("site", "relation", "n")
+
+
+@query(fx.sql("#need AS (SELECT 's' || CAST(s AS VARCHAR) AS site, unnest(['standard', 'discounted', 'membership', 'multipack', 'out_of_stock']) AS page_type, unnest([70, 400, 900, 10, 1500]) AS least FROM range(4) t(s)), have AS (SELECT site, page_type, count(*) AS n FROM goldens WHERE NOT is_stale GROUP BY 1, 2) SELECT site, page_type, coalesce(n, 0) AS n, CAST(least AS BIGINT) AS least FROM need LEFT JOIN have USING (site, page_type) WHERE coalesce(n, 0) < least", "goldens"))
+def coverage_shortfall(spark, d):
+    least = {"standard": 70, "discounted": 400, "membership": 900, "multipack": 10, "out_of_stock": 1500}
+    need = spark.createDataFrame([(f"s{i}", p, n) for i in range(4) for p, n in least.items()], "site string, page_type string, least long")
+    return runlog.coverage_shortfall(need, runlog.coverage(fx.goldens(spark, d)))
+
+
+@query(fx.sql("#a AS (SELECT url, (row_number() OVER (PARTITION BY url ORDER BY id)) - 1 AS rung, id % 5 = 0 AS ok, CASE WHEN id % 7 = 0 THEN 'no_product' WHEN id % 7 = 1 THEN 'source_absent' ELSE 'generated' END AS verdict, id % 3 = 0 AS lacking FROM scrape_runs), e AS (SELECT *, CASE WHEN verdict = 'no_product' AND rung = 0 THEN 'invalid_target' WHEN verdict = 'source_absent' AND coalesce(lag(lacking) OVER (PARTITION BY url ORDER BY rung), false) THEN 'source_absent' WHEN verdict = 'generated' AND ok THEN 'promoted' END AS fin FROM a WHERE rung < 4) SELECT url, coalesce(min_by(fin, rung) FILTER (fin IS NOT NULL), 'escalated') AS outcome, CAST(coalesce(min(rung) FILTER (fin IS NOT NULL), max(rung)) AS INTEGER) AS rung FROM e GROUP BY 1", "scrape_runs"))
+def repair_outcomes(spark, d):
+    w = Window.partitionBy("url").orderBy("id")
+    rows = fx.scrape_runs(spark, d).select("url", (F.row_number().over(w) - 1).alias("rung"), (F.col("id") % 5 == 0).alias("ok"), F.when(F.col("id") % 7 == 0, "no_product").when(F.col("id") % 7 == 1, "source_absent").otherwise("generated").alias("verdict"), F.lit("gate").alias("stage"), F.when(F.col("id") % 3 == 0, F.array(F.lit("price"))).otherwise(F.array().cast("array<string>")).alias("missing_required"))
+    return repair.repair_ladder(rows, 4)
+
+
 # ---- products -----------------------------------------------------------------------------------------------------
 
 

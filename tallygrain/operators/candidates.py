@@ -131,3 +131,15 @@ def within_budget(calls: DataFrame, budget: int) -> DataFrame:
     key = F.struct("row_index", "provider_rank", "query_idx")
     first = calls.select(key.alias("k")).orderBy("k").limit(budget).agg(F.max("k").alias("upto"), F.count("*").alias("n"))
     return calls.crossJoin(F.broadcast(first)).withColumn("allowed", (F.col("n") > 0) & (key <= F.col("upto"))).drop("upto", "n")
+
+
+def flag_matched(candidates: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """is_matched: the candidate's URL is its task's; every candidate with that URL is flagged."""
+    return candidates.join(results.select(*keys, "matched_url"), keys, "left").withColumn("is_matched", F.coalesce(F.col("url") == F.col("matched_url"), F.lit(False))).drop("matched_url")
+
+
+def agreement(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How two runs' URLs agree, row by row: same, both none, only one, different."""
+    both = old.select("row_index", F.col("url").alias("a")).join(new.select("row_index", F.col("url").alias("b")), "row_index", "full")
+    kind = F.when(F.col("a").isNull() & F.col("b").isNull(), "both_none").when(F.col("a").isNull(), "only_new").when(F.col("b").isNull(), "only_old").when(F.col("a") == F.col("b"), "same").otherwise("different")
+    return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

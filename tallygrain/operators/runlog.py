@@ -183,3 +183,34 @@ def ledger(rounds: DataFrame) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("round", "reported", "resolved")))
     fold = F.aggregate(steps, none, lambda acc, x: F.array_except(F.array_union(acc, F.coalesce(x["reported"], none)), F.coalesce(x["resolved"], none)))
     return rounds.groupBy("url").agg(F.array_sort(fold).alias("open")).where(F.size("open") > 0)
+
+
+def runs_with_parsers(runs: DataFrame, parsers: DataFrame) -> DataFrame:
+    """Runs with the status of their winner, where they have one."""
+    own = parsers.select("site", F.col("id").alias("winning_parser_id"), F.col("status").alias("parser_status"))
+    return runs.join(own, ["site", "winning_parser_id"], "left")
+
+
+def newest_results(runs: DataFrame, n: int) -> DataFrame:
+    """The newest n rows of each site, newest first, ids settling ties."""
+    w = Window.partitionBy("site").orderBy(F.desc("scraped_at"), F.desc("id"))
+    return runs.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+
+
+def open_escalations(state: DataFrame) -> DataFrame:
+    """Open ones, the most affecting first, then the newest."""
+    return state.where("status = 'open'").orderBy(F.desc("affected_count"), F.desc("first_seq"), "signature")
+
+
+def site_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each site in each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.groupBy("site").agg(F.count("*").alias("n")).withColumn("relation", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def provider_calls(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Calls of each provider between two readings of its counter."""
+    return after.join(before.withColumnRenamed("calls", "was"), "provider", "left").groupBy("provider").agg(F.sum(F.col("calls") - F.coalesce("was", F.lit(0))).alias("calls"))

@@ -201,3 +201,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.inject_region("a<!-- BEGIN x -->old<!-- END x -->b", "x", " new ") == "a<!-- BEGIN x -->\nnew\n<!-- END x -->b"
     assert sinks.markdown_table(parsers.orderBy("id")) == "| site | id |\n| --- | --- |\n| s | 1 |\n| t | 2 |"
     assert sinks.suppressed(parsers, ["site"], False).where("site IS NOT NULL").count() == 0
+
+
+def test_model_calls(spark):
+    from tallygrain.operators import repair
+
+    tasks = spark.createDataFrame([(1, "Tea", ["Tetley"], {"count": 4.0, "abv_percent": 3.9})], "row_index int, product_name string, brands array<string>, numerics map<string,double>")
+    alive = spark.createDataFrame([(1, 1, "b", "u2", None, [], {}), (1, 0, "a", "u1", "s\nt", ["X"], {"volume_ml": 330.0})], "row_index int, llm_index int, title string, url string, snippet string, brands array<string>, numerics map<string,double>")
+    text = repair.match_prompts(tasks, alive).first().prompt
+    assert text == "Query:\n  title: Tea\n  brand: [Tetley]\n  numeric: {abv_percent=3.9, count=4}\n\nCandidates:\n  [0] title: a\n      url: u1\n      brand: [X] | numeric: {volume_ml=330}\n      snippet: s t\n  [1] title: b\n      url: u2\n      brand: [] | numeric: {}"
+    rows = spark.createDataFrame([(1, True, 0), (1, True, 1), (1, False, None), (2, True, 0), (3, True, 0)], "row_index int, alive boolean, llm_index int")
+    replies = spark.createDataFrame([(1, '{"match_idx": 1}'), (2, '{"match_idx": 7}')], "row_index int, reply string")
+    got = [(r.row_index, r.llm_index, r.v_distinguishing) for r in repair.decided(rows, replies).orderBy("row_index", "llm_index").collect()]
+    assert got == [(1, None, None), (1, 0, "fail"), (1, 1, "pass"), (2, 0, "fail"), (3, 0, "fail")]
+    assert [tuple(r.x) for r in spark.range(3).select(repair.ladder_models(F.col("id")).alias("x")).collect()] == [("deepseek-v4-flash", 0.1, False), ("deepseek-v4-pro", 0.3, True), ("deepseek-v4-pro", 0.3, True)]
+    cases = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    answers = spark.createDataFrame([(0, "a", "n", ["price"]), (0, "b", "n", ["title"]), (1, "a", "y", None), (2, None, "q", None), (3, "b", "y", None)], "round int, url string, answer string, fields array<string>")
+    assert {r.url: (r.state, r.fields) for r in repair.review_rounds(cases, answers).collect()} == {"a": ("accepted", []), "b": ("open", ["title"]), "c": ("open", [])}
+    assert [r[0] for r in spark.createDataFrame([(" N/A ",), (" x ",), ("-",)], "v string").select(repair.correction(F.col("v"))).collect()] == [None, "x", None]
+    assert spark.range(1).select(repair.version_stamp(F.lit(at(1))).alias("x")).first().x == "cs_20240101_000001"
