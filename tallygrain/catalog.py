@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrain import config, fixtures as fx
-from tallygrain.functions import detect, fuzzy, jsonx, prices, text, urls
+from tallygrain.functions import detect, evidence, fuzzy, jsonx, prices, quantity, text, urls
 from tallygrain.operators import candidates as cand, repair, runlog
 from tallygrain.plans import match, reports, views
 
@@ -413,6 +413,62 @@ def json_path_lookup(spark, d):
     return fx.read(spark, d, "events").select("event_id", jsonx.lookup(F.try_parse_json("props"), "k").alias("k"), jsonx.lookup(F.try_parse_json(doc), "a.0.k").alias("nested"))
 
 
+# ---- pages and payloads -------------------------------------------------------------------------------------------
+
+_PAGE = """CASE page_id % 3 WHEN 0 THEN concat('<h1>T</h1><div class="price-block"><s>Was £', cast(page_id + 2 AS string), '.00</s> <b>Now £', cast(page_id + 1 AS string), '.50</b></div>')
+    WHEN 1 THEN concat('<h1>T</h1><div class="buy-box clubcard-price"><b>£', cast(page_id + 1 AS string), '.00</b> Clubcard price <i>£', cast(page_id + 1 AS string), '.50</i></div>')
+    ELSE concat('<h1>T</h1><div class="price-block">£', cast(page_id + 1 AS string), '.00 (£', cast(page_id + 2 AS string), '.00/kg)</div>') END"""
+
+
+def _priced_pages(spark, d):
+    return fx.read(spark, d, "pages").selectExpr("cast(page_id AS string) AS url", f"{_PAGE} AS html")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS url, CASE page_id % 3 WHEN 0 THEN 'discount' WHEN 1 THEN 'membership' END AS kind, CASE page_id % 3 WHEN 0 THEN (page_id + 1) || '.50' ELSE (page_id + 1) || '.00' END AS current_price, CASE page_id % 3 WHEN 0 THEN (page_id + 2) || '.00' END AS reference_price, CASE page_id % 3 WHEN 1 THEN (page_id + 1) || '.50' END AS regular_price FROM pages")
+def promotion_signal(spark, d):
+    return evidence.promotions(_priced_pages(spark, d)).select("url", "kind", "current_price", "reference_price", "regular_price")
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS url, pos, value, 'GBP' AS currency, page_id % 3 = 0 AND pos = 0 AS struck, page_id % 3 = 2 AND pos = 1 AS unit_price FROM (
+    SELECT page_id, CAST(unnest([0, 1]) AS INTEGER) AS pos, unnest(CASE page_id % 3 WHEN 0 THEN [(page_id + 2) || '.00', (page_id + 1) || '.50'] WHEN 1 THEN [(page_id + 1) || '.00', (page_id + 1) || '.50'] ELSE [(page_id + 1) || '.00', (page_id + 2) || '.00'] END) AS value FROM pages)""")
+def price_evidence(spark, d):
+    return evidence.price_evidence(_priced_pages(spark, d)).select("url", "pos", "value", "currency", "struck", "unit_price")
+
+
+@query("SELECT p_partkey, p_name AS title, CAST(round(p_retailprice * 100) AS BIGINT) AS price_c, 'GBP' AS currency, CASE WHEN p_partkey % 2 = 0 THEN CAST(round(p_retailprice * 200) AS BIGINT) END AS list_c, p_partkey % 3 = 0 AS in_stock, 1 AS images FROM part")
+def payload_mapping(spark, d):
+    body = F.concat(F.lit('{"product_name":"'), F.col("p_name"), F.lit('","current_price":{"value":"'), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.lit('","currency":"GBP"},"original_price":'), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_retailprice").cast("decimal(18,2)") * 2).cast("string")).otherwise("null"), F.lit(',"product_image":"i.jpg","in_stock":'), (F.col("p_partkey") % 3 == 0).cast("string"), F.lit("}"))
+    p = prices.map_payload(F.parse_json(body), F.lit("u"), "tesco")
+    rows = fx.read(spark, d, "part").select("p_partkey", p.alias("p"))
+    cents = lambda c: F.round(F.col(c) * 100, 0).cast("long")
+    return rows.select("p_partkey", "p.title", cents("p.price").alias("price_c"), "p.currency", cents("p.list_price").alias("list_c"), "p.in_stock", F.size("p.image_urls").alias("images"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE CASE event_id % 4 WHEN 2 THEN NULL ELSE CAST(event_id % 9 AS INTEGER) END END AS match_idx, CASE event_id % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'no reason given' WHEN 2 THEN 'none fits' ELSE 'llm parse error' END AS reason, event_id % 4 = 3 AS parse_error FROM events")
+def reply_decisions(spark, d):
+    n = (F.col("event_id") % 9).cast("string")
+    k = F.col("event_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit('{"match_idx": '), n, F.lit(', "reason": " same "}'))).when(k == 1, F.concat(F.lit('```json\n{"match_idx": "'), n, F.lit('"}\n```'))).when(k == 2, F.lit('so: {"match_idx": null, "reason": "none fits"} done')).otherwise("no idea")
+    x = jsonx.decision(reply)
+    return fx.read(spark, d, "events").select("event_id", x["match_idx"].alias("match_idx"), x["reason"].alias("reason"), x["parse_error"].alias("parse_error"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'http_status' WHEN page_id % 5 = 0 AND length(html) < 1000 THEN 'error_header' WHEN length(html) < 1000 THEN 'near_empty_body' END AS kind FROM pages")
+def infra_kinds(spark, d):
+    status = F.when(F.col("page_id") % 8 == 0, 503).otherwise(200)
+    kind = detect.infra_error(status, F.col("html"), F.when(F.col("page_id") % 5 == 0, "min_size"), F.lit(True))
+    return fx.read(spark, d, "pages").select("page_id", kind.alias("kind"))
+
+
+@query(fx.sql("SELECT row_index, CAST(1 + row_index % 6 AS DOUBLE) AS count, CAST(size * 10 AS DOUBLE) AS volume_ml, 'pass' AS same, CASE WHEN size * 10 * 0.1 >= 5 THEN 'pass' ELSE 'fail' END AS near FROM sku_tasks", "sku_tasks"))
+def quantity_grammar(spark, d):
+    m = quantity.extract_numerics(F.col("product_name"), F.col("country"))
+    other = F.map_from_arrays(F.array(F.lit("count"), F.lit("volume_ml")), F.array(F.element_at("m", "count"), F.element_at("m", "volume_ml") - 5))
+    # five millilitres less are within a tenth from fifty on
+    rows = fx.sku_tasks(spark, d).select("row_index", m.alias("m"))
+    return rows.select("row_index", F.element_at("m", "count").alias("count"), F.element_at("m", "volume_ml").alias("volume_ml"), quantity.compare_numerics(F.col("m"), F.col("m")).alias("same"), quantity.compare_numerics(F.col("m"), other).alias("near"))
+
+
 # ---- reports ------------------------------------------------------------------------------------------------------
 
 
