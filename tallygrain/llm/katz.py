@@ -7,7 +7,7 @@ alpha 1. At the lowest level a word never seen in training is the class <unk>, w
 leave; so each level sums to one over the known words and <unk>. A document starts without context.
 
 Tokens travel as columns of numbers, not as rows. A task turns its documents into chunks: the chunk's distinct words as
-sorted 64-bit hashes and its tokens as places in that list. Level by level, each chunk asks for its distinct n-grams, each
+sorted 64-bit hashes and its tokens as their ranks by frequency. Level by level, each chunk asks for its distinct n-grams, each
 ask goes to the partition of its context, which adds up training counts over all chunks, works out the probabilities, and
 answers every chunk. So a frequent n-gram is asked once a chunk however often it occurs, and a context so frequent that it
 would fill a partition is spread over all of them by its next word, its sums being added up apart. The tables of counts
@@ -29,20 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.llm.common import SEED, Scratch, pack, pack_sorted, partitions_for, text_bytes, unpack, unpack_sorted
+from tallygrain.llm.common import SEED, Scratch, pack, pack_sorted, partitions_for, release, text_bytes, unpack, unpack_sorted
 
 #: Tokens of a chunk, and distinct n-grams of a partition of asks, about.
 CHUNK_TOKENS, PART_ASKS = 1_000_000, 400_000
 #: A document's end. Words are hashed with another seed, so that none is it.
 END = np.uint64(xxhash.xxh64_intdigest(b"", SEED + 1))
 #: A context with more training occurrences than this share of all is spread over the partitions; so at most this many are.
-SPREAD = 4000
+SPREAD, SPREAD_LEAST = 4000, 1000
 NONE = np.int64(-1)
 
 #: An n-gram's id is its place in its partition times this, plus the partition; 0 is <unk>.
 PARTS_MOST = 1 << 20
 
-CHUNK = "chunk long, docs binary, nulls binary, sizes binary, learn binary, words binary, tokens binary, n_words long, n_tokens long"
+CHUNK = "chunk long, docs binary, nulls binary, sizes binary, learn binary, words binary, uses binary, tokens binary, n_words long, n_tokens long"
 ASK = "part int, chunk long, keys binary, next binary, counts binary, lower binary"
 MERGED = "part int, keys binary, next binary, counts binary, lower binary, chunks array<long>, places array<binary>"
 ANSWER = "chunk long, level int, part int, counts binary, logs binary, ids binary"
@@ -87,7 +87,9 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         nonlocal ids, learn, sizes, hashes, held, seq
         flat = np.concatenate(hashes)
-        words, tokens = np.unique(flat, return_inverse=True)
+        words, tokens, uses = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), np.uint32)  # small numbers for frequent words
+        rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))
         out = packed_columns(
             chunk=[base + seq],
             docs=blobs([pack(np.array([i or 0 for i in ids], np.int64))]),
@@ -95,7 +97,8 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes=blobs([pack(np.array(sizes, np.int64))]),
             learn=blobs([pack(np.array(learn, np.uint8))]),
             words=blobs([pack_sorted(words)]),
-            tokens=blobs([pack(tokens.astype(np.uint32))]),
+            uses=blobs([pack(uses.astype(np.uint32))]),
+            tokens=blobs([pack(rank[tokens], 3)]),
             n_words=pa.array([len(words)], pa.int64()),
             n_tokens=pa.array([len(tokens)], pa.int64()),
         )
@@ -132,8 +135,9 @@ class Chunk:
         self.row = row
         self.sizes = unpack(row["sizes"], np.int64)
         self.learn = unpack(row["learn"], np.uint8).astype(bool)
-        self.words = unpack_sorted(row["words"], np.uint64)
-        self.tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.words = unpack_sorted(row["words"], np.uint64) if "words" in row else None  # needed to ask for them only
+        by_rank = np.argsort(-unpack(row["uses"], np.uint32).astype(np.int64), kind="stable")
+        self.tokens = by_rank[unpack(row["tokens"], np.uint32)]
         starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)  # of a token in its document
         self.trains = np.repeat(self.learn, self.sizes)
@@ -161,8 +165,8 @@ class Chunk:
 
     def parts_of(self, level: int, keys: np.ndarray, nxt: np.ndarray | None, parts: int) -> np.ndarray:
         """Where asks go: by their context, or, if that is spread, by context and next word."""
-        if level == 1:
-            return (keys % np.uint64(parts)).astype(np.int64)
+        if level == 1:  # ranges of hashes, so that answers come in the words' order
+            return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         h = keys.astype(np.uint64)
         wide = np.isin(keys, self.spread[level - 2])
         h = np.where(wide, h * np.uint64(0x9E3779B97F4A7C15) + nxt.astype(np.uint64), h)
@@ -171,10 +175,14 @@ class Chunk:
 
     def hear(self, level: int, answers: list[dict]) -> None:
         keys, nxt, which = self.asks(level)
-        part = self.parts_of(level, keys, nxt, self.parts[level - 1])
-        order = np.argsort(part, kind="stable")
-        counts, logs, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.full(len(keys), NONE)
-        if len(keys):
+        if level == 1:
+            n = int(self.tokens.max()) + 1
+            order = np.arange(n)
+        else:
+            n = len(keys)
+            order = np.argsort(self.parts_of(level, keys, nxt, self.parts[level - 1]), kind="stable")
+        counts, logs, ids = np.zeros(n, np.int64), np.zeros(n), np.full(n, NONE)
+        if n:
             counts[order] = np.concatenate([unpack(a["counts"], np.int64) for a in answers])
             logs[order] = np.concatenate([unpack_doubles(a["logs"]) for a in answers])
             ids[order] = np.concatenate([unpack(a["ids"], np.int64) for a in answers])
@@ -186,8 +194,8 @@ class Chunk:
         else:
             got = which >= 0
             # a context never seen in training adds nothing: the lower level's probability stays
-            self.log = np.where(got, logs[which], self.log)
-            self.ids = np.where(got & (counts[which] > 0), ids[which], NONE) if len(keys) else np.full(len(self.tokens), NONE)
+            self.log = np.where(got, logs[which], self.log) if n else self.log
+            self.ids = np.where(got & (counts[which] > 0), ids[which], NONE) if n else np.full(len(self.tokens), NONE)
         self.level = level
 
     def messages(self, parts: int) -> Iterator[pa.RecordBatch]:
@@ -253,7 +261,7 @@ def merge_part(level: int):
             counts=blobs([pack(total)]),
             lower=blobs([pack_doubles(lower)]),
             chunks=pa.array([sorted(r["chunk"] for r in rows)], pa.list_(pa.int64())),
-            places=pa.array([[pack(p.astype(np.uint32)) for p in places]], pa.list_(pa.binary())),
+            places=pa.array([[pack_sorted(p.astype(np.uint32)) for p in places]], pa.list_(pa.binary())),
         )
 
     return run
@@ -360,12 +368,12 @@ def answers(level: int, last: bool, cutoff: int, d: np.ndarray, tokens: float, f
                 row = batch.slice(i, 1).to_pylist()[0]
                 total, log = probabilities(row)
                 for chunk, places in zip(row["chunks"], row["places"]):
-                    at = unpack(places, np.uint32)
+                    at = unpack_sorted(places, np.uint32)
                     yield packed_columns(
                         chunk=[chunk],
                         level=pa.array([level], pa.int32()),
                         part=pa.array([row["part"]], pa.int32()),
-                        counts=blobs([pack(total[at])]),
+                        counts=blobs([pack(total[at] if not last or level == 1 else np.zeros(len(at), np.int64))]),
                         logs=blobs([pack_doubles(log[at])]),
                         ids=blobs([pack(ids_of(at, row["part"]) if not last else np.zeros(len(at), np.int64))]),
                     )
@@ -406,12 +414,15 @@ def score_katz(docs: DataFrame, held_out, order: int = 2, cutoff: int = 5, id_co
             return pa.Table.from_batches(out, out[0].schema if out else empty)
 
         empty = pa.schema([])
-        return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(both, schema)
+        return chunks.drop("words").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(both, schema)
 
     for level in range(1, order + 1):
         n = min(partitions_for(size[0] if level == 1 else size[1], PART_ASKS), PARTS_MOST)
         asks = told(lambda c, n=n: c.messages(n), ASK)
-        merged = scratch.save(asks.groupBy("part").applyInArrow(merge_part(level), MERGED), f"merged{level}")
+        asks = asks.groupBy("part").applyInArrow(merge_part(level), MERGED)
+        merged = scratch.save(asks, f"merged{level}")
+        del asks
+        release(spark)
         wide = spread[-1] if level > 1 else np.empty(0, np.int64)
         got = merged.select("keys", "counts", "lower").mapInArrow(figures(level, cutoff, wide), "kind string, key long, n double")
         stats = {(r.kind, r.key): r.n for r in got.groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}  # a bounded table
@@ -428,7 +439,7 @@ def score_katz(docs: DataFrame, held_out, order: int = 2, cutoff: int = 5, id_co
         parts.append(n)
         said = answered if said is None else said.unionByName(answered)
         if level < order:
-            often = merged.select("part", "counts").mapInArrow(frequent(max(tokens / SPREAD, 1000)), "id long").collect()  # SPREAD at most
+            often = merged.select("part", "counts").mapInArrow(frequent(max(tokens / SPREAD, SPREAD_LEAST)), "id long").collect()  # SPREAD at most
             spread.append(np.sort(np.array([r.id for r in often], np.int64)))
 
     def score(c: Chunk) -> Iterator[pa.RecordBatch]:
