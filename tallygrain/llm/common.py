@@ -63,7 +63,7 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def pack(array: np.ndarray, level: int = 1) -> bytes:
+def pack(array: np.ndarray, level: int = 3) -> bytes:
     """Byte planes of an integer or float array, compressed: high bytes of small numbers cost nothing."""
     array = np.ascontiguousarray(array)
     planes = array.view(np.uint8).reshape(len(array), array.itemsize).T
@@ -79,7 +79,7 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def pack_sorted(array: np.ndarray, level: int = 1) -> bytes:
+def pack_sorted(array: np.ndarray, level: int = 3) -> bytes:
     """``pack`` of the differences of an ascending array."""
     return pack(np.diff(array, prepend=array.dtype.type(0)), level)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm.common import SEED, Scratch, pack, pack_sorted, partitions_for, release, text_bytes, unpack, unpack_sorted
 
 #: Tokens of a chunk, and distinct n-grams of a partition of asks, about.
-CHUNK_TOKENS, PART_ASKS = 1_000_000, 400_000
+CHUNK_TOKENS, PART_ASKS = 1_500_000, 1_600_000
 #: A document's end. Words are hashed with another seed, so that none is it.
 END = np.uint64(xxhash.xxh64_intdigest(b"", SEED + 1))
 #: A context with more training occurrences than this share of all is spread over the partitions; so at most this many are.
@@ -131,8 +131,8 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Chunk:
     """A chunk, and what its tokens have been told so far: the id, count and log-probability of the n-gram each token ends."""
 
-    def __init__(self, row: dict, answers: list[dict], parts: list[int], spread: list[np.ndarray]):
-        self.row = row
+    def __init__(self, row: dict, answers: list[dict], parts: list[int], spread: list[np.ndarray], unigram=None):
+        self.row, self.unigram = row, unigram
         self.sizes = unpack(row["sizes"], np.int64)
         self.learn = unpack(row["learn"], np.uint8).astype(bool)
         self.words = unpack_sorted(row["words"], np.uint64) if "words" in row else None  # needed to ask for them only
@@ -184,8 +184,8 @@ class Chunk:
         counts, logs, ids = np.zeros(n, np.int64), np.zeros(n), np.full(n, NONE)
         if n:
             counts[order] = np.concatenate([unpack(a["counts"], np.int64) for a in answers])
-            logs[order] = np.concatenate([unpack_doubles(a["logs"]) for a in answers])
-            ids[order] = np.concatenate([unpack(a["ids"], np.int64) for a in answers])
+            logs[order] = np.concatenate([unpack_doubles(a["logs"]) for a in answers]) if level > 1 else self.unigram(counts)
+            ids[order] = np.concatenate([unpack_sorted(a["ids"], np.int64) for a in answers])
         if level == 1:
             self.word_ids, self.word_counts = ids[which], counts[which]
             self.ids, self.log = self.word_ids.copy(), logs[which]
@@ -337,20 +337,31 @@ def shares(total: np.ndarray, group: np.ndarray, mass: np.ndarray, occurs: np.nd
     return np.where(total > 0, mass / np.maximum(whole, 1)[group], 0.0), np.where(full, 1.0 / np.maximum(whole, 1), 1 - found / np.maximum(occurs, 1))
 
 
-def answers(level: int, last: bool, cutoff: int, d: np.ndarray, tokens: float, found1: float, spread: dict[int, tuple[float, float, float]]):
-    """Each chunk's asks answered: training count, log-probability with backoff, and the n-gram's id.
+class Unigram:
+    """log10 P of words by their training count, <unk> for 0."""
 
-    tokens and found1: the occurrences and the discounted mass of all unigrams. spread: context -> (occurrences,
+    def __init__(self, cutoff: int, d: np.ndarray, tokens: float, found: float):
+        self.cutoff, self.d, self.tokens, self.found = cutoff, d, tokens, found
+
+    def __call__(self, total: np.ndarray) -> np.ndarray:
+        mass = self.d[np.minimum(total, self.cutoff + 1)] * total
+        p, left = shares(total, np.zeros(len(total), np.int64), mass, np.array([self.tokens]), np.array([self.found]))
+        return np.where(total > 0, log10(p), log10(left[0]) if self.tokens else 0.0)
+
+
+def answers(level: int, last: bool, cutoff: int, d: np.ndarray, spread: dict[int, tuple[float, float, float]]):
+    """Each chunk's asks answered: training count, log-probability with backoff (of words, the count tells it), and the
+    n-gram's id.
+
+    spread: context -> (occurrences,
     discounted mass, lower mass of its seen continuations), added up over all partitions.
     """
 
     def probabilities(row):
         total = unpack(row["counts"], np.int64)
-        mass = d[np.minimum(total, cutoff + 1)] * total
         if level == 1:
-            zero = np.zeros(len(total), np.int64)
-            p, left = shares(total, zero, mass, np.array([tokens]), np.array([found1]))
-            return total, np.where(total > 0, log10(p), log10(left[0]) if tokens else 0.0)
+            return total, None
+        mass = d[np.minimum(total, cutoff + 1)] * total
         keys, lower = unpack_sorted(row["keys"], np.int64), unpack_doubles(row["lower"])
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         group = np.cumsum(new) - 1
@@ -374,8 +385,8 @@ def answers(level: int, last: bool, cutoff: int, d: np.ndarray, tokens: float, f
                         level=pa.array([level], pa.int32()),
                         part=pa.array([row["part"]], pa.int32()),
                         counts=blobs([pack(total[at] if not last or level == 1 else np.zeros(len(at), np.int64))]),
-                        logs=blobs([pack_doubles(log[at])]),
-                        ids=blobs([pack(ids_of(at, row["part"]) if not last else np.zeros(len(at), np.int64))]),
+                        logs=blobs([pack_doubles(log[at]) if level > 1 else b""]),
+                        ids=blobs([pack_sorted(ids_of(at, row["part"]) if level == 1 or not last else np.zeros(len(at), np.int64))]),
                     )
 
     return run
@@ -397,7 +408,7 @@ def score_katz(docs: DataFrame, held_out, order: int = 2, cutoff: int = 5, id_co
     size = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts: list[int] = []
     spread: list[np.ndarray] = []
-    said = tokens = found1 = distinct = None
+    said = tokens = unigram = distinct = None
 
     def told(run, schema):
         """run(chunk) for every chunk with all it has been answered so far."""
@@ -410,11 +421,11 @@ def score_katz(docs: DataFrame, held_out, order: int = 2, cutoff: int = 5, id_co
             return chunks.mapInArrow(alone, schema)
 
         def both(key, left, right):
-            out = [b for row in left.to_pylist() for b in run(Chunk(row, right.to_pylist(), parts, spread))]
+            out = [b for row in left.to_pylist() for b in run(Chunk(row, right.to_pylist(), parts, spread, unigram))]
             return pa.Table.from_batches(out, out[0].schema if out else empty)
 
         empty = pa.schema([])
-        return chunks.drop("words").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(both, schema)
+        return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(both, schema)
 
     for level in range(1, order + 1):
         n = min(partitions_for(size[0] if level == 1 else size[1], PART_ASKS), PARTS_MOST)
@@ -430,12 +441,14 @@ def score_katz(docs: DataFrame, held_out, order: int = 2, cutoff: int = 5, id_co
         d = discounts(counts, cutoff)
         if level == 1:
             tokens, distinct = stats.get(("tokens", 0), 0.0), stats.get(("distinct", 0), 0.0)
-            found1 = tokens - sum((1 - d[c]) * c * counts[c] for c in range(1, cutoff + 1))
+            unigram = Unigram(cutoff, d, tokens, tokens - sum((1 - d[c]) * c * counts[c] for c in range(1, cutoff + 1)))
+            chunks = scratch.save(chunks.drop("words"), "tokens")  # the words have asked
+            scratch.drop("chunks")
         sums = {}
         for k in wide:
             by = [0.0, *(stats.get((f"spread{c}", int(k)), 0.0) for c in range(1, cutoff + 2))]
             sums[int(k)] = (sum(by), float(sum(d[c] * by[c] for c in range(1, cutoff + 2))), stats.get(("lower", int(k)), 0.0))
-        answered = merged.mapInArrow(answers(level, level == order, cutoff, d, tokens, found1, sums), ANSWER)
+        answered = merged.mapInArrow(answers(level, level == order, cutoff, d, sums), ANSWER)
         parts.append(n)
         said = answered if said is None else said.unionByName(answered)
         if level < order:
