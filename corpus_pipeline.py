@@ -7,13 +7,12 @@ stage's result is written and read again before the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallygrain.llm.common import Scratch, crc_mod
+from tallygrain.llm.copies import first_of_copies
 from tallygrain.llm.mixing import mix
 from tallygrain.llm.packing import pack_documents
 from tallygrain.llm.pii import redact_pii
-from tallygrain.llm.simhash import near_duplicates
 from tallygrain.llm.toxicity import score_toxicity
 from tallygrain.session import ship
 
@@ -28,19 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Rows without an id stay, one for each text, where their
-    fingerprint is no other document's."""
-    groups = near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    lone = docs.where("doc_id is null").dropDuplicates(["text"])
-    if lone.limit(1).count():  # their fingerprints tell them apart under ids of their own
-        own = lone.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-        known = groups.where("component_id is not null").select("fingerprint").distinct()
-        alone = near_duplicates(own).join(known, "fingerprint", "left_anti").where("doc_id = component_id").select("doc_id").distinct()
-        lone = own.join(alone, "doc_id", "left_semi").withColumn("doc_id", F.lit(None).cast("long"))
-        kept = kept.unionByName(lone.select(docs.columns))
-    return kept
+    """One document of each group that shingles of five words link at a similarity of 0.8 or more: that of the smallest
+    doc_id, one without an id where no other is in the group."""
+    return first_of_copies(docs, words=5, similarity=0.8)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
