@@ -3,8 +3,8 @@
 Pivots are vectors of a bounded sample. A vector is represented by its nearest pivots in order; every vector is posted
 under each of them, with the place the pivot has in its order, in the inverted file of its shard. A query gathers the
 postings of its own nearest pivots, ranks what it met by the footrule distance of the two prefix permutations (a pivot
-that one side lacks counts as if it stood at the end of the prefix), and the nearest few by footrule are reranked by the
-exact inner product on the original vectors.
+that one side lacks counts as if it stood at the end of the prefix), and the nearest few by footrule, with all that tie
+with the last of them, are reranked by the exact inner product on the original vectors.
 
 Shards of postings live in a written table of the shared folder; a search streams them past a bounded chunk of queries.
 
@@ -101,7 +101,8 @@ def search(batches: Iterator[pa.RecordBatch], chunk: dict, pivots: dict, prefix:
                     for place, p in enumerate(prefixes[d][n]):
                         s = slice(starts[p], starts[p + 1])
                         gain[posted[s]] += np.minimum(left[s], np.int16(prefix - place))
-                    at = np.argpartition(-gain, count - 1)[:count] if count < len(ids) else np.arange(len(ids))
+                    # all that tie at the cut stay: copies have one gain, and which of them are wanted only their ids tell
+                    at = np.flatnonzero(gain >= np.partition(gain, len(ids) - count)[len(ids) - count])
                 at = at[ids[at] != qid]
                 score = (vecs[at] * q).sum(axis=1)
                 top = best(ids[at], score, k)
@@ -126,7 +127,7 @@ def ann_topk(
 ) -> DataFrame:
     """query_id, rank, vec_id, score (double): for each row whose ``query_of(id)`` holds, its k nearest found by inner product.
 
-    pivots and prefix shape the index; share and least set how many of a shard's vectors are reranked for a query.
+    pivots and prefix shape the index; share and least set how many of a shard's vectors are reranked for a query, ties at the cut besides.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))

@@ -397,3 +397,16 @@ def test_permutation_index(spark, vectors):
         total += len(s)
     assert hits / total >= 0.9
     assert permutation_index.ann_topk(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+def test_permutation_index_finds_the_smallest_ids_of_a_group_of_copies(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(6000, 16))
+    m[rng.permutation(6000)[:2000]] = m[0]  # larger than the share of a shard that is reranked
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").coalesce(1)
+    group = np.flatnonzero((m == m[0]).all(axis=1))
+    asked = group[:: len(group) // 20].tolist()
+    got = permutation_index.ann_topk(df, lambda i: i.isin(asked)).toPandas()
+    for q in asked:
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in group if i != q][:20]
