@@ -4,13 +4,15 @@ Four patterns give base spans (e-mail, IP address, card and phone number). A doc
 other span that could be one: something with an @, or a run of digits and the signs that phone numbers, cards and addresses
 use. Each node has a label, none or one of the kinds. Neighbouring nodes share a chain potential; nodes that repeat a
 token, or end in the same seven digits, or share an e-mail's local part, share a skip potential that rewards equal labels
-however far apart they stand - each occurrence is tied to the one before, so n occurrences take n - 1 ties. Sum-product
-messages pass over chain and skip edges until they settle. Base spans are observed; a candidate whose likeliest label is a
+however far apart they stand - each occurrence is tied to the one before and, if it is no base span, to the first base span
+of each kind that it shares a key with, so evidence is one tie away and n occurrences take less than 5 n ties. Sum-product
+messages pass over chain and skip edges until they settle; a document whose messages do not within four rounds a node (200 at
+least) goes on under heavier damping for as many, and then its beliefs are taken as they are. Base spans are observed; a candidate whose likeliest label is a
 kind becomes one more span. So a number that one passage writes as a phone number is found where another writes it bare.
 
 Weights are trained by pseudo-likelihood on a bounded sample of documents that have nodes (``sample`` of them, smallest hash
-first): base spans with their kinds, candidates tied to none of them as no personal data; candidates tied to a base span are
-hidden. Everything else covers all documents and whole texts.
+first): base spans with their kinds, candidates tied to none of them as no personal data; candidates tied to a base span,
+over any number of ties, are hidden. Everything else covers all documents and whole texts.
 
 Defined cases: a null text is empty and has no spans; a null doc_id stays null; repeated rows give repeated result rows; an
 empty table gives no rows; other columns are ignored, whatever their names. Overlapping base spans of two kinds all stay;
@@ -104,9 +106,12 @@ def shape(text: str, start: int, end: int) -> np.ndarray:
     return f
 
 
-def ties(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Skip edges: each node to the last one before it with an equal token, equal last seven digits, or equal local part."""
+def ties(text: str, spans: list[tuple[int, int]], labels: list[int]) -> list[tuple[int, int]]:
+    """Skip edges: each node to the last one before it with an equal token, equal last seven digits, or equal local part, and
+    each that has no label to the first such one of each label."""
     last: dict[str, int] = {}
+    known: dict[str, dict[int, int]] = {}
+    bare: list[tuple[int, str]] = []
     out = set()
     for i, (a, b) in enumerate(spans):
         s = text[a:b].casefold()
@@ -122,9 +127,28 @@ def ties(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if k in last:
                 out.add((last[k], i))
             last[k] = i
+            if labels[i] > 0:
+                known.setdefault(k, {}).setdefault(labels[i], i)
+            else:
+                bare.append((i, k))
+    out.update((min(i, j), max(i, j)) for i, k in bare for j in known.get(k, {}).values())
     return sorted(out)
 
 
+def reached(n: int, edges: list[tuple[int, int]], start: list[int]) -> set[int]:
+    """The nodes that edges lead to from ``start``, over any number of them."""
+    beside: list[list[int]] = [[] for _ in range(n)]
+    for i, j in edges:
+        beside[i].append(j)
+        beside[j].append(i)
+    found, todo = set(start), list(start)
+    while todo:
+        new = [j for j in beside[todo.pop()] if j not in found]
+        found.update(new)
+        todo += new
+    return found
+
+
 class Field:
     """Potentials: unary weights (labels x features), chain weights (labels x labels), and the skip reward."""
 
@@ -180,32 +204,49 @@ def fit(feats: np.ndarray, gold: np.ndarray, chain: np.ndarray, skip: np.ndarray
     return Field(u, c, s)
 
 
-def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Beliefs (nodes x labels) by loopy sum-product over all edges; seen: observed labels, -1 if none."""
+def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Beliefs (nodes x labels) by loopy sum-product over all edges; seen: observed labels, -1 if none.
+
+    rounds: of each of the two dampings, at most; null: four a node of the longest chain, and 200 at least.
+    """
     k = len(LABELS)
     own = feats @ field.unary.T
-    own = np.where(seen[:, None] >= 0, np.where(np.arange(k) == seen[:, None], 0.0, -1e3), own)
-    edges = np.concatenate((chain.reshape(-1, 2), skip.reshape(-1, 2))).astype(int)
+    own = np.where(seen[:, None] >= 0, np.where(np.arange(k) == seen[:, None], 0.0, -1e9), own)  # beyond what any number of ties adds up to
+    chain, skip = chain.reshape(-1, 2).astype(int), skip.reshape(-1, 2).astype(int)
+    edges = np.concatenate((chain, skip))
     if not len(edges):
         return softmax(own)
+    first = np.ones(len(own), int)
+    first[chain[:, 1]] = 0
+    doc = np.cumsum(first) - 1  # a document's nodes are one chain
+    limit = rounds or max(200, 4 * int(np.bincount(doc).max()))
     table = np.concatenate((np.repeat(field.chain[None], len(chain), 0), np.repeat((field.skip * np.eye(k))[None], len(skip), 0)))
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     table = np.concatenate((table, table.transpose(0, 2, 1)))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     msg = np.zeros((len(src), k))
     total = own.copy()
-    for _ in range(rounds):
-        x = (total[src] - msg[back])[:, :, None] + table
-        top = x.max(axis=1)
-        new = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        new = 0.5 * msg + 0.5 * new
-        moved = np.abs(new - msg).max()
-        msg = new
-        total = own.copy()
-        np.add.at(total, dst, msg)
-        if moved < 1e-4:
-            break
+    live = np.arange(len(src))  # the messages of documents that have not settled
+    for damp in (0.5, 0.9):
+        for _ in range(limit):
+            x = (total[src[live]] - msg[back[live]])[:, :, None] + table[live]
+            top = x.max(axis=1)
+            new = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+            new -= new.max(axis=1, keepdims=True)
+            step = (1 - damp) * (new - msg[live])
+            msg[live] += step
+            total[dst[live]] = own[dst[live]]
+            np.add.at(total, dst[live], msg[live])
+            moving = np.zeros(len(own), bool)
+            far = np.abs(step).max(axis=1) >= 2e-4 * (1 - damp)
+            moving[doc[src[live[far]]]] = moving[doc[dst[live[far]]]] = True
+            still = moving[doc[src[live]]] | moving[doc[dst[live]]]
+            if not still.all():
+                live = live[still]
+            if not len(live):
+                break
+    total = own.copy()
+    np.add.at(total, dst, msg)
     return softmax(total)
 
 
@@ -218,8 +259,8 @@ class Graph:
     def add(self, number: int, text: str, base: list, more: list) -> None:
         spans = sorted([(a, b, k + 1) for a, b, k in base] + [(a, b, -1) for a, b in more])
         first = len(self.seen)
-        tied = ties(text, [(a, b) for a, b, _ in spans])
-        near = {j for e in tied for i, j in (e, e[::-1]) if spans[i][2] > 0}
+        tied = ties(text, [(a, b) for a, b, _ in spans], [label for _, _, label in spans])
+        near = reached(len(spans), tied, [i for i, s in enumerate(spans) if s[2] > 0])
         for i, (a, b, label) in enumerate(spans):
             self.feats.append(shape(text, a, b))
             self.seen.append(label)

@@ -303,6 +303,37 @@ def test_loopy_messages_equal_enumeration_on_a_tree():
     assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+@pytest.mark.parametrize("repeats", [12, 60, 400])
+def test_pii_reaches_every_repeat(spark, repeats):
+    phone, bare = "+49 (030) 1234-5678", "030 1234 5678"
+    text = f"{bare} then {phone} end. " + f"again {bare} there. " * repeats
+    more = [(100 + i, f"word call +1 (2{i:02d}) 555-{1000 + i} word and bare number {9000000000 + i * 37} in text") for i in range(80)]
+    df = spark.createDataFrame([(1, text), *more], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert [s.kind for s in spans[1]] == ["phone"] * (repeats + 2)
+    assert all([s.kind for s in spans[i]] == ["phone"] for i, _ in more)
+
+
+def test_pii_training_hides_every_repeat():
+    text = "call +49 (030) 1234-5678 " + "or 030 1234 5678 " * 5 + "and 9876 54321 0"
+    graph = pii.Graph()
+    base = pii.base_spans(text)
+    graph.add(0, text, base, pii.candidates(text, base))
+    assert graph.gold == [4, -1, -1, -1, -1, -1, 0]
+
+
+def test_messages_settle_on_a_long_chain():
+    field = pii.Field(np.zeros((5, pii.FEATURES)), np.zeros((5, 5)), 8.0)
+    n = 120
+    skip = np.array([[i, i + 1] for i in range(n - 1)])
+    got = pii.infer(field, np.zeros((n, pii.FEATURES)), np.array([4] + [-1] * (n - 1)), np.array([[i, i + 1] for i in range(n - 1)]), skip)
+    p = np.array([0, 0, 0, 0, 1.0])
+    step = (np.full((5, 5), 1.0) + np.eye(5) * (np.exp(8.0) - 1)) / (np.exp(8.0) + 4)
+    for i in range(n):
+        assert np.allclose(got[i], p, atol=1e-2)
+        p = p @ step
+
+
 def test_licenses(spark, none):
     mit = "Copyright me\n\n" + "\n\n".join(licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "as-is-warranty"))
     wrapped = mit.replace("free of charge, ", "free of charge,\n").replace("included in all copies", "included in\nall copies")
