@@ -345,6 +345,16 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_each_known_sentence_comes_back_as_its_own_identifier(spark):
+    told = [(name, s) for name, sentences in licenses.SENTENCES.items() for s in sentences]
+    texts = [f"The licence is told here. {s} More text." if s[-1] in ".;:" else f"The licence is told here. {s}" for _, s in told]
+    wrapped = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v.\n2.0. If a copy of the MPL was not distributed with this file, you can get one."
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), wrapped)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[i].sentence_ids for i in range(len(texts))] == [name for name, _ in told]
+    assert got[len(texts)].wrapped_ids == "mpl-2-subject" and got[len(texts)].licenses == "MPL-2.0"
+
+
 def test_mixing(spark, docs, rows, none):
     got = mixing.mix(docs, max_repeats=2.0).toPandas()
     size = Counter()
