@@ -6,16 +6,17 @@ for each non-zero v the mask of v holds the positions where the scalar product o
 differing positions span less than the whole space, so some v is orthogonal to all of them, and in that table the two
 agree on every masked bit: no pair within the radius is ever missed, and no table needs random luck.
 
-A bucket's fingerprints arrive sorted and are compared in memory, giving edges of a spanning forest only. A bucket that
-outgrows ``bucket_limit`` has an exact way of its own: each fingerprint in it is posted at every point within radius / 2
-bits of it. Two fingerprints within an even radius share such a midpoint, and all that share one are within the radius of
-each other, so everything at a point is linked to its smallest without comparing pairs.
+A bucket's fingerprints arrive sorted and are searched in memory, giving edges of a spanning forest only: a fingerprint is
+compared with those not reached yet, so a dense group costs about a comparison a member. A bucket that outgrows
+``bucket_limit`` is dealt anew: its fingerprints agree on the masked bits, so the covering masks of the bits left free
+split it further, and no pair is lost, whatever the radius. Masks take half of the free bits each time, and where 16 are
+free a bucket has at most 2 ** 16 distinct fingerprints, so it ends there.
 
 Components: alternating large-star and small-star steps over edges in the shared folder, until nothing changes.
 
 Defined cases: a text without words, or a null, has fingerprint zero and is linked like any other; a row with a null
-doc_id gets its fingerprint and the component of equal or linked documents that have an id, else a null component;
-repeated rows give repeated result rows; an empty table gives no rows; other columns are ignored, whatever their names.
+doc_id gets its fingerprint, links like any other, and has the component of the documents with an id that it reaches, else
+a null component; rows that share a doc_id are told apart by their fingerprints; repeated rows give repeated result rows; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from tallygrain.llm.common import SEED, Scratch, text_bytes
 
 #: Shingles whose bits are counted at a time.
 BATCH = 1 << 15
-LONG_MIN = -(1 << 63)
+#: Rows told at a time; and with so many free bits a bucket is small enough, whatever its limit.
+TOLD, FREE = 1 << 16, 16
+#: Which vector comes after which: few bits have vectors of all kinds too.
+STEP = 11
 
 
 def fingerprint(text: str | None, words_in_shingle: int) -> int:
@@ -65,95 +69,105 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shin
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The covering masks: 2 ** (radius + 1) - 1 of them, about half of the bits each."""
+def masks(radius: int, free: list[int] | None = None) -> list[int]:
+    """The covering masks of the free bits (all 64 where not given): 2 ** (radius + 1) - 1 of them, about half of the bits each."""
     space = 1 << (radius + 1)
-    vectors = [1 + i % (space - 1) for i in range(bits)]  # every non-zero vector as often as any other
-    out = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, space)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+    bits = range(64) if free is None else free
+    vectors = {b: 1 + STEP * i % (space - 1) for i, b in enumerate(bits)}  # every non-zero vector as often as any other
+    out = [sum(1 << b for b, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, space)]
+    return [signed(m) for m in out]
 
 
-def forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges (id, id) of a spanning forest of one bucket's links."""
-    label, fps = np.arange(len(fps)), fps.view(np.uint64)  # signed numbers would count the bits of their magnitude
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """The mask, enlarged by each covering mask of the bits that it leaves free."""
+    own = mask & ((1 << 64) - 1)
+    return [signed(own | (m & ((1 << 64) - 1))) for m in masks(radius, [b for b in range(64) if not own >> b & 1])]
+
+
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of one bucket's links: breadth-first, each fingerprint against those not reached yet."""
+    rest = fps.view(np.uint64)  # signed numbers would count the bits of their magnitude
     a, b = [], []
-    for i in range(len(fps)):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)
-        for j in near[label[near] != label[i]]:
-            if label[j] != label[i]:
-                a.append(int(ids[i]))
-                b.append(int(ids[j]))
-                label[label == label[j]] = label[i]
-    return a, b
+    while len(rest) > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            own = todo.pop()
+            near = np.bitwise_count(rest ^ own) <= radius
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                a.append(np.full(len(found), own))
+                b.append(found)
+                todo.extend(found)
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
 def bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (mask, key): edges of each bucket; of one with more than ``limit`` rows, its rows with b null."""
-    carry = None  # the last bucket so far, which may go on: (mask, key, fps, ids), or, once too large, its rows are told at once
-    large = False
-
-    def out(a, b, fp):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(fp, pa.int64())], ["a", "b", "fp"])
+    """Distinct rows (mask, fp) sorted by mask and masked bits: edges (a, b, null) of each bucket; of one with more than
+    ``limit`` rows, its rows as (fp, null, mask)."""
+    bucket, held, size = None, [], 0  # the bucket so far: its mask and bits, its fingerprints up to the limit, its rows
+    most = limit
+    told: list[tuple[np.ndarray, np.ndarray | None, int]] = []
+
+    def out():
+        a = np.concatenate([x for x, _, _ in told])
+        b = np.concatenate([x if y is None else y for x, y, _ in told])
+        grown = np.concatenate([np.full(len(x), y is None) for x, y, _ in told])
+        mask = np.concatenate([np.full(len(x), m, np.int64) for x, _, m in told])
+        told.clear()
+        return pa.record_batch([pa.array(a), pa.array(b, mask=grown), pa.array(mask, mask=~grown)], ["a", "b", "mask"])
 
     for batch in batches:
-        m, key, fp, ids = (batch.column(c).to_numpy() for c in ("mask", "key", "fp", "id"))
-        if not len(m):
-            continue
-        if carry is not None:
-            if large:
-                same = (m == carry[0][0]) & (key == carry[1][0])
-                n = int(same.argmin()) if not same.all() else len(same)
-                if n:
-                    yield out(ids[:n], [None] * n, fp[:n])
-                    m, key, fp, ids = m[n:], key[n:], fp[n:], ids[n:]
-                if not len(m):
-                    continue
-                large = False
-            else:
-                m, key, fp, ids = (np.concatenate(x) for x in zip(carry, (m, key, fp, ids)))
-        starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (key[1:] != key[:-1]))))
-        ends = np.append(starts[1:], len(m))
-        a, b = [], []
-        for s, e in zip(starts[:-1], ends[:-1]):
-            if e - s > limit:
-                yield out(ids[s:e], [None] * (e - s), fp[s:e])
-            elif e - s > 1:
-                x, y = forest(fp[s:e], ids[s:e], radius)
-                a += x
-                b += y
-        if a:
-            yield out(a, b, [None] * len(a))
-        s = starts[-1]
-        carry = m[s:], key[s:], fp[s:], ids[s:]
-        if len(m) - s > limit:
-            yield out(carry[3], [None] * (len(m) - s), carry[2])
-            carry, large = tuple(x[:1] for x in carry), True
-    if carry is not None and not large and len(carry[0]) > 1:
-        a, b = forest(carry[2], carry[3], radius)
-        if a:
-            yield out(a, b, [None] * len(a))
-
-
-def midpoint_edges(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges of the fingerprints of outgrown buckets, by the points within radius / 2 bits of each."""
-    half = -(-radius // 2)
-    flips = [0] + [f for r in range(1, half + 1) for c in itertools.combinations(range(64), r) for f in [sum(1 << i for i in c)]]
-    flips = [f - (1 << 64) if f >> 63 else f for f in flips]
-
-    def run(batches):
-        table = np.array(flips, np.int64)
-        for batch in batches:
-            ids, fp = batch.column("a").to_numpy(), batch.column("fp").to_numpy()
-            for s in range(0, len(ids), 64):
-                points = fp[s : s + 64, None] ^ table
-                yield pa.record_batch([pa.array(np.repeat(ids[s : s + 64], len(table))), pa.array(np.repeat(fp[s : s + 64], len(table))), pa.array(points.reshape(-1))], ["id", "fp", "point"])
-
-    if radius % 2 == 0:
-        posted = rows.mapInArrow(run, "id long, fp long, point long")
-        least = posted.groupBy("point").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-        return posted.join(least, "point").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    # an odd radius: midpoints of radius + 1, then the distance decides against the point's every fingerprint in turn
-    raise ValueError("the exact way for outgrown buckets takes an even radius")
+        m, fp = (batch.column(x).to_numpy() for x in ("mask", "fp"))
+        k = fp & m
+        starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])))) if len(m) else []
+        for s, e in zip(starts, [*starts[1:], len(m)]):
+            if (m[s], k[s]) != bucket:
+                if size > 1 and held:
+                    told.append((*forest(np.concatenate(held), radius), 0))
+                bucket, held, size = (m[s], k[s]), [], 0
+                few = np.bitwise_count(m[s : s + 1].view(np.uint64))[0] >= 64 - FREE
+                most = 1 << FREE if few else limit
+            held.append(fp[s:e])
+            size += e - s
+            if size > most:
+                told += [(x, None, int(m[s])) for x in held]
+                held = []
+        if sum(len(x) for x, _, _ in told) > TOLD:
+            yield out()
+    if size > 1 and held:
+        told.append((*forest(np.concatenate(held), radius), 0))
+    if told:
+        yield out()
+
+
+def split(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of outgrown buckets (mask, fp), dealt anew."""
+    for batch in batches:
+        m, fp = (batch.column(x).to_numpy() for x in ("mask", "fp"))
+        for own in np.unique(m):
+            new, at = np.array(finer(int(own), radius), np.int64), fp[m == own]
+            yield pa.record_batch([pa.array(np.tile(new, len(at))), pa.array(np.repeat(at, len(new)))], ["mask", "fp"])
+
+
+def edges_of(posted: DataFrame, parts: int, radius: int, limit: int, scratch: Scratch) -> DataFrame:
+    """a, b: edges over all buckets of rows (mask, fp); outgrown buckets are dealt anew by finer masks until none is left."""
+    edges = None
+    for depth in itertools.count():
+        key = F.col("fp").bitwiseAND(F.col("mask"))
+        dealt = posted.repartition(parts, "mask", key).sortWithinPartitions("mask", key)
+        found = scratch.save(dealt.mapInArrow(lambda it: bucket_edges(it, radius, limit), "a long, b long, mask long"), f"found{depth}")
+        own = found.where("mask is null").select("a", "b")
+        edges = own if edges is None else edges.unionAll(own)
+        large = found.where("mask is not null").select("mask", F.col("a").alias("fp"))
+        if not large.limit(1).count():
+            return edges
+        posted = large.mapInArrow(lambda it: split(it, radius), "mask long, fp long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -181,24 +195,19 @@ def near_duplicates(
     text_col: str = "text",
     words_in_shingle: int = 4,
     radius: int = 4,
-    bucket_limit: int = 2048,
+    bucket_limit: int = 1 << 16,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most ``radius`` bits."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(with_fingerprints(docs, id_col, text_col, words_in_shingle), "prints")
-    # one node for each distinct fingerprint: the smallest id that has it
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "nodes")
+    nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     n = nodes.count()
-    table = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))]))
-    posted = nodes.select("id", "fp", table.alias("t")).select("t.mask", "t.key", "fp", "id")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 31 // 2_000_000)
-    found = posted.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(lambda it: bucket_edges(it, radius, bucket_limit), "a long, b long, fp long")
-    found = scratch.save(found, "found")
-    edges = found.where("b is not null").select("a", "b")
-    large = found.where("b is null").select("a", "fp").distinct()
-    if large.limit(1).count():
-        edges = edges.unionAll(midpoint_edges(large, radius))
-    roots = components(edges, scratch)
-    labels = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    cover = masks(radius)
+    posted = nodes.select(F.explode(F.array(*map(F.lit, cover))).alias("mask"), "fp")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(cover) // 2_000_000)
+    roots = components(edges_of(posted, parts, radius, bucket_limit, scratch), scratch)
+    whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = whole.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

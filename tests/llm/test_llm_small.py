@@ -106,26 +106,25 @@ def test_simhash(docs, rows, none):
     fps = [fingerprint(t) for _, t, *_ in rows]
     group = list(range(len(rows)))
     for a, b in itertools.combinations(range(len(rows)), 2):
-        both = rows[a][0] is not None and rows[b][0] is not None
-        if fps[a] == fps[b] or (both and (fps[a] ^ fps[b]).bit_count() <= 4) or (both and rows[a][0] == rows[b][0]):
+        if (fps[a] ^ fps[b]).bit_count() <= 4:
             group = [group[a] if g == group[b] else g for g in group]
     least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
     assert got == Counter((rows[i][0], f"{fps[i]:016x}", least[group[i]]) for i in range(len(rows)))
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1, 3, 2048])
-def test_simhash_links_are_whole_at_any_bucket_limit(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "radius"), [(1, 4), (3, 4), (2048, 4), (3, 3), (2, 5)])
+def test_simhash_links_are_whole_at_any_bucket_limit(spark, limit, radius, monkeypatch):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
     fps = {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 7))) for _ in range(60)} | {rng.getrandbits(64) for _ in range(20)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     monkeypatch.setattr(simhash, "with_fingerprints", lambda df, *a: df.selectExpr("doc_id AS id", "fp"))
     df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, bucket_limit=limit).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, radius=radius, bucket_limit=limit).collect()}
     label = list(range(len(signed)))
     for a, b in itertools.combinations(range(len(signed)), 2):
-        if ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count() <= 4:
+        if ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count() <= radius:
             label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
     assert got == {i: min(j for j in range(len(label)) if label[j] == label[i]) for i in range(len(label))}
 
