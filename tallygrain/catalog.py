@@ -119,10 +119,14 @@ def numeric_verdict(spark, d):
     return match.judged(_results(spark, d), ["row_index"]).select("row_index", F.col("rank").cast("long").alias("rank"), "v_numeric", "v_brand", "v_domain")
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w IN ('red', 'blue', 'green', 'steel', 'small', 'large'))), ',') = array_to_string(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w IN ('red', 'blue', 'green', 'steel', 'small', 'large'))), ',') AS stable, coalesce(list_filter(string_split(lower(p_name), ' '), lambda w: w IN ('red', 'blue', 'green', 'steel', 'small', 'large'))[1], '') AS first_brand FROM part")
+@query(
+    """SELECT p_partkey, array_to_string(f, ',') AS found, coalesce(f[1], '') AS first_brand FROM (SELECT p_partkey, list_filter(w, lambda x, i: x IN ('red', 'blue', 'green', 'steel', 'small', 'large') AND list_position(w, x) = i) AS f
+    FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type || ' small Reddish'), ' ') AS w FROM part))"""
+)
 def brand_literal(spark, d):
-    found = text.literal_brands(F.col("p_name"), ["Red", "Blue", "Green", "Steel", "Small", "Large"])
-    return fx.read(spark, d, "part").select("p_partkey", F.lit(True).alias("stable"), F.coalesce(F.lower(F.try_element_at(found, F.lit(1))), F.lit("")).alias("first_brand"))
+    found = text.literal_brands(F.concat_ws(" ", "p_name", "p_type", F.lit("small Reddish")), ["Red", "Blue", "Green", "Steel", "Small", "Large"])
+    rows = fx.read(spark, d, "part").select("p_partkey", F.transform(found, F.lower).alias("f"))
+    return rows.select("p_partkey", F.array_join("f", ",").alias("found"), F.coalesce(F.try_element_at("f", F.lit(1)), F.lit("")).alias("first_brand"))
 
 
 @query(fx.sql(f"SELECT row_index, provider_rank, query_idx, result_idx, CASE WHEN {_LEV} >= 0.88 THEN 'pass' WHEN {_LEV} <= 0.4 THEN 'fail' ELSE 'unknown' END AS verdict FROM candidates", "candidates"))
@@ -157,13 +161,13 @@ def failure_kind(spark, d):
 
 def _attempts(spark, d):
     keys = ["row_index", "provider_rank"]
-    rows = match.judged(fx.candidates(spark, d).where("provider_rank = 1 OR row_index % 2 = 0"), keys)
+    rows = match.judged(fx.candidates(spark, d).where("provider_rank = 1 OR website <> 'unlisted'"), keys)
     return rows.groupBy(*keys).agg(F.when(F.count_if(F.col("v_distinguishing") == "pass") > 0, "match").otherwise("no_match").alias("verdict")).select(*keys, F.element_at(F.array(F.lit("duckduckgo"), F.lit("serper")), F.col("provider_rank") + 1).alias("provider"), "verdict", F.lit("").alias("reason"))
 
 
 @query(
     fx.sql(
-        steps(3, "row_index, provider_rank", "WHERE provider_rank = 1 OR row_index % 2 = 0")
+        steps(3, "row_index, provider_rank", "WHERE provider_rank = 1 OR website <> 'unlisted'")
         + """, a AS (SELECT row_index, provider_rank, CASE WHEN count_if(v_distinguishing = 'pass') > 0 THEN 'match' ELSE 'no_match' END AS verdict FROM judged GROUP BY 1, 2),
         r AS (SELECT *, coalesce(min(CASE WHEN verdict = 'match' THEN provider_rank END) OVER (PARTITION BY row_index), max(provider_rank) OVER (PARTITION BY row_index)) AS last_rank, count(*) OVER (PARTITION BY row_index) AS chain, count(*) OVER (PARTITION BY row_index ORDER BY provider_rank) AS nth FROM a)
         SELECT row_index, ['duckduckgo', 'serper'][provider_rank + 1] AS final_provider, verdict, nth AS attempts_run, CASE WHEN chain > 1 THEN '(via ' || ['duckduckgo', 'serper'][provider_rank + 1] || ')' ELSE '' END AS reason FROM r WHERE provider_rank = last_rank""",
@@ -191,9 +195,10 @@ def url_jaccard(spark, d):
     return sets.select("row_index", cand.url_jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
-@query()
+@query(fx.sql("SELECT row_index, found FROM (SELECT row_index, row_index % 3 = 0 AS found, row_number() OVER (PARTITION BY row_index % 3 = 0 ORDER BY md5('42:' || row_index), row_index) AS n FROM sku_tasks) WHERE n <= 20", "sku_tasks"))
 def stratified_sample(spark, d):
-    return cand.stratified_sample(fx.sku_tasks(spark, d).withColumn("found", F.col("row_index") % 3 == 0), "found", "row_index", 40)
+    out = cand.stratified_sample(fx.sku_tasks(spark, d).withColumn("found", F.col("row_index") % 3 == 0), "found", "row_index", 40)
+    return out.select("row_index", "found")
 
 
 @query(fx.sql("SELECT row_index, md5(lower(trim(product_name))) AS product_key FROM sku_tasks", "sku_tasks"))
@@ -318,10 +323,22 @@ def latest_run(spark, d):
     return runlog.latest_run(fx.scrape_runs(spark, d)).select("url", "id", "outcome")
 
 
-@query(fx.sql("SELECT site, page_type, url, id FROM (SELECT site, page_type, url, min(id) AS id, row_number() OVER (PARTITION BY site, page_type ORDER BY min(id)) AS n FROM goldens WHERE id % 3 <> 0 AND (site, page_type, url) NOT IN (SELECT (site, page_type, url) FROM goldens WHERE id % 3 = 0 AND id < 4000) GROUP BY 1, 2, 3) g LEFT JOIN (SELECT site, page_type, count(*) AS have FROM goldens WHERE id % 3 = 0 AND id < 4000 GROUP BY 1, 2) h USING (site, page_type) WHERE n <= 30 - coalesce(have, 0)", "goldens"))
+_EARLY = "shipped < TIMESTAMP '1995-04-01 00:00:00'"
+
+
+@query(
+    fx.sql(
+        f"""SELECT site, page_type, url, id FROM (SELECT seller AS site, page_type, url, min(id) AS id, row_number() OVER (PARTITION BY seller, page_type ORDER BY min(id)) AS n FROM goldens
+            WHERE NOT {_EARLY} AND (seller, page_type, url) NOT IN (SELECT (seller, page_type, url) FROM goldens WHERE {_EARLY}) GROUP BY 1, 2, 3) g
+        LEFT JOIN (SELECT seller AS site, page_type, count(*) AS have FROM goldens WHERE {_EARLY} GROUP BY 1, 2) h USING (site, page_type) WHERE n <= 3 - coalesce(have, 0)""",
+        "goldens",
+    )
+)
 def golden_seed_cap(spark, d):
-    g = fx.goldens(spark, d)
-    return runlog.seed_goldens(g.where("id % 3 = 0 AND id < 4000"), g.where("id % 3 <> 0"), 30)
+    """Samples shipped early are there already; the others are offered."""
+    g = fx.goldens(spark, d).withColumn("site", F.col("seller"))
+    early = F.expr(_EARLY)
+    return runlog.seed_goldens(g.where(early), g.where(~early))
 
 
 @query(fx.sql("#b AS (SELECT site, page_type, count(*) AS before, count_if(NOT is_stale) AS active FROM goldens GROUP BY 1, 2), r AS (SELECT id, site, page_type, row_number() OVER (PARTITION BY site, page_type ORDER BY CAST(NOT is_stale AS INTEGER), CAST(created_by <> 'auto' AS INTEGER), captured_at, id) AS n FROM goldens) SELECT id, site, page_type FROM r JOIN b USING (site, page_type) WHERE n <= CASE WHEN active < 1 THEN 0 ELSE greatest(0, before - 3) END", "goldens"))

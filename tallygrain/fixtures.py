@@ -124,6 +124,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey * 10 + l_linenumber AS id",
         "l_partkey AS part",
+        "concat('p', cast(l_suppkey AS string)) AS seller",
+        "l_shipdate AS shipped",
         "cast(round(l_extendedprice * 100, 0) AS bigint) AS list_c",
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE cast(round(l_extendedprice * (1 - l_discount) * 100, 0) AS bigint) END AS price_c",
         "CASE WHEN l_partkey % 3 = 0 THEN cast(round(l_extendedprice * (1 - l_discount) * (1 - l_tax) * 100, 0) AS bigint) END AS member_c",
@@ -132,20 +134,20 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PRODUCTS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS part, CAST(round(l_extendedprice * 100, 0) AS BIGINT) AS list_c,
+PRODUCTS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS part, 'p' || CAST(l_suppkey AS VARCHAR) AS seller, l_shipdate AS shipped, CAST(round(l_extendedprice * 100, 0) AS BIGINT) AS list_c,
     CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(round(l_extendedprice * (1 - l_discount) * 100, 0) AS BIGINT) END AS price_c,
     CASE WHEN l_partkey % 3 = 0 THEN CAST(round(l_extendedprice * (1 - l_discount) * (1 - l_tax) * 100, 0) AS BIGINT) END AS member_c,
     l_linestatus = 'O' AS in_stock, CASE WHEN l_partkey % 2 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS pack_qty FROM lineitem"""
 
 
 def goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).where("id % 5 = 1").selectExpr("id", "concat('s', cast(part % 3 AS string)) AS site", "CASE part % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'discounted' WHEN 2 THEN 'membership' WHEN 3 THEN 'multipack' ELSE 'out_of_stock' END AS page_type", "part % 4 = 0 AS is_stale", "CASE WHEN part % 7 = 0 THEN 'human' ELSE 'auto' END AS created_by", "list_c AS captured_at", "list_c % 1000 AS snapshot_bytes", "concat('u', cast(part AS string)) AS url")
+    return products(spark, sf_dir).selectExpr("id", "seller", "shipped", "concat('s', cast(part % 3 AS string)) AS site", "CASE part % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'discounted' WHEN 2 THEN 'membership' WHEN 3 THEN 'multipack' ELSE 'out_of_stock' END AS page_type", "part % 4 = 0 AS is_stale", "CASE WHEN part % 7 = 0 THEN 'human' ELSE 'auto' END AS created_by", "list_c AS captured_at", "list_c % 1000 AS snapshot_bytes", "concat('u', cast(part AS string)) AS url")
 
 
-GOLDENS = """SELECT id, 's' || CAST(part % 3 AS VARCHAR) AS site,
+GOLDENS = """SELECT id, seller, shipped, 's' || CAST(part % 3 AS VARCHAR) AS site,
     CASE part % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'discounted' WHEN 2 THEN 'membership' WHEN 3 THEN 'multipack' ELSE 'out_of_stock' END AS page_type,
     part % 4 = 0 AS is_stale, CASE WHEN part % 7 = 0 THEN 'human' ELSE 'auto' END AS created_by, list_c AS captured_at, list_c % 1000 AS snapshot_bytes,
-    'u' || CAST(part AS VARCHAR) AS url FROM products WHERE id % 5 = 1"""
+    'u' || CAST(part AS VARCHAR) AS url FROM products"""
 
 VIEWS = {"sku_tasks": SKU_TASKS, "candidates": CANDIDATES, "scrape_runs": SCRAPE_RUNS, "parsers": PARSERS, "node_events": NODE_EVENTS, "tasks": TASKS, "runs": RUNS, "products": PRODUCTS, "goldens": GOLDENS}
 #: Which views a view stands on.

@@ -19,14 +19,11 @@ def top_k(results: DataFrame, k: int = config.SEARCH_K) -> DataFrame:
 def rank_candidates(results: DataFrame, keys: list[str]) -> DataFrame:
     """URLs cleaned, the first of each clean URL in an attempt kept, and its rank (from 1) in query, then result order.
 
-    The first of a URL is an aggregate, so its duplicates fold before the shuffle; both steps share the attempt's key.
+    One shuffle by the attempt's key serves both windows, and what comes after by that key.
     """
-    order = F.struct("query_idx", "result_idx")
-    rest = [c for c in results.columns if c not in (*keys, "url")]
-    clean = results.withColumn("url", urls.clean_url(F.col("url")))
-    first = clean.groupBy(*keys, "url").agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "url", "r.*")
-    w = Window.partitionBy(*keys).orderBy("query_idx", "result_idx")
-    return first.withColumn("rank", F.row_number().over(w))
+    clean = results.withColumn("url", urls.clean_url(F.col("url"))).repartition(*keys)
+    first = clean.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "url").orderBy("query_idx", "result_idx"))).where("_n = 1").drop("_n")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("query_idx", "result_idx")))
 
 
 def domain_verdicts(candidates: DataFrame) -> DataFrame:
@@ -120,9 +117,9 @@ def url_jaccard(a: Column, b: Column) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, ids: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, the same number of each stratum as far as there are, by hash of the id."""
-    strata = 2
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), ids), ids)
+    """n rows, the same number of each stratum as far as there are, by a hash of the id."""
+    strata = max(df.select(stratum).distinct().count(), 1)
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ids).cast("string")).cast("binary")), ids)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n // strata).drop("_n")
 
 

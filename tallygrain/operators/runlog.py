@@ -13,17 +13,27 @@ C = config.ScrapingConfig()
 def dedup_successes(runs: DataFrame, seconds: int = C.dedup_seconds) -> DataFrame:
     """Runs as they are recorded: a success within the window of the last recorded success of its URL is left out.
 
-    Only recorded successes reset the window, so it is a fold over a URL's successes in order of time.
+    Only recorded successes reset the window, so it is a fold over a URL's successes in order of time. They stream past in
+    that order, and all that is held is the time of the last one recorded. Successes without a time count as the oldest.
     """
-    ok = runs.where("outcome = 'success'")
-    at = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("scraped_at").cast("timestamp")).alias("t"), F.col("id").alias("id"))))
-    none = F.array().cast("array<struct<t:bigint,id:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))["t"]
-        return F.when(last.isNull() | (x["t"] - last >= seconds * 1_000_000), F.array_append(acc, x)).otherwise(acc)
-
-    kept = ok.groupBy("url").agg(F.aggregate(at, none, step).alias("kept")).select(F.explode("kept.id").alias("id"))
+    import numpy as np
+    import pyarrow as pa
+
+    gap = seconds * 1_000_000
+
+    def run(batches):
+        url, last = None, None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            own, at = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (u, t) in enumerate(zip(own, at)):
+                if i == 0 and last is None or u != url or t - last >= gap:
+                    keep[i], url, last = True, u, t
+            yield pa.record_batch([batch.column(2).filter(pa.array(keep))], ["id"])
+
+    micros = F.coalesce(F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(-(1 << 62)))
+    ok = runs.where("outcome = 'success'").select("url", micros.alias("t"), F.col("id").cast("long").alias("id"))
+    kept = ok.repartition("url").sortWithinPartitions("url", "t", "id").mapInArrow(run, "id long")
     return runs.where("outcome <> 'success'").unionByName(runs.join(kept, "id", "left_semi").select(runs.columns))
 
 
@@ -49,15 +59,17 @@ def is_surge(total: Column, invalid: Column) -> Column:
 
 
 def surges(runs: DataFrame, hours: int = C.surge_window_hours) -> DataFrame:
-    """Each run with its site's counts over the hours up to it, and whether they are a surge.
+    """Each second with runs, its site's counts over the hours up to it, and whether they are a surge.
 
-    Counts are kept by second and site before the window runs, so a busy site does not bring all its runs to one task.
+    Counts by second and site enter a running total when they happen and leave it when they are too old, so each second costs
+    one step, however long the window is, and a busy site does not bring all its runs to one task.
     """
     second = F.unix_seconds(F.col("scraped_at").cast("timestamp"))
     per = runs.groupBy("site", second.alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "invalid_target").alias("bad"))
-    w = Window.partitionBy("site").orderBy("s").rangeBetween(-hours * 3600, 0)
-    per = per.select("site", "s", F.sum("n").over(w).alias("total"), F.sum("bad").over(w).alias("invalid"))
-    return per.withColumn("surge", is_surge(F.col("total"), F.col("invalid")))
+    gone = per.select("site", (F.col("s") + hours * 3600 + 1).alias("s"), (-F.col("n")).alias("n"), (-F.col("bad")).alias("bad"), F.lit(False).alias("own"))
+    w = Window.partitionBy("site").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    both = per.withColumn("own", F.lit(True)).unionByName(gone).select("site", "s", "own", F.sum("n").over(w).alias("total"), F.sum("bad").over(w).alias("invalid"))
+    return both.where("own").drop("own").withColumn("surge", is_surge(F.col("total"), F.col("invalid")))
 
 
 def recent_winners(runs: DataFrame, window: int = C.prune_window) -> DataFrame:

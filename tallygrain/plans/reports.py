@@ -24,17 +24,25 @@ def path_counts(reports: DataFrame) -> DataFrame:
     return reports.groupBy(F.coalesce("path", F.lit("(no run record)")).alias("path")).agg(F.count("*").alias("n"))
 
 
-def latency_stats(reports: DataFrame) -> DataFrame:
+def latency_stats(reports: DataFrame, coarse: int = 16) -> DataFrame:
     """By position in the sorted list: the upper median, the 95th percentile at int(0.95 n); the mean rounds down.
 
-    Each distinct latency counts once with its frequency, so the list that is ranked is as long as there are values.
+    In two levels: counts by the high bits say in which block of 2 ** ``coarse`` values a position lies, and only those two
+    blocks' values are ranked, each block by itself. No task sees more than a block's distinct values or the list of blocks.
     """
-    freq = reports.groupBy("latency_ms").agg(F.count("*").alias("c"))
-    w = Window.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = freq.withColumn("upto", F.sum("c").over(w)).crossJoin(F.broadcast(freq.agg(F.sum("c").alias("n"))))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("latency_ms")))
-    n, x, c = F.col("n"), F.col("latency_ms"), F.col("c")
-    return ranked.agg(F.floor(F.sum(x * c) / F.sum(c)).cast("long").alias("avg_ms"), at(F.floor(n / 2)).alias("median_ms"), at(F.floor(n * 0.95)).alias("p95_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"), F.sum(x * c).alias("sum_ms"))
+    x = F.col("latency_ms")
+    freq = reports.where(x.isNotNull()).groupBy("latency_ms").agg(F.count("*").alias("c")).withColumn("block", F.shiftright("latency_ms", coarse))
+    blocks = freq.groupBy("block").agg(F.sum("c").alias("c"))
+    total = freq.agg(F.sum("c").alias("n"), F.sum(x * F.col("c")).alias("sum_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"))
+    upto = F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    places = total.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.floor(F.col("n") * p).alias("i")) for k, p in (("median", 0.5), ("p95", 0.95))])).alias("p")).select("p.*")
+    upto = blocks.withColumn("upto", upto)
+    inside = upto.crossJoin(F.broadcast(places)).where((F.col("upto") > F.col("i")) & (F.col("upto") - F.col("c") <= F.col("i")))
+    inside = inside.select("kind", "block", (F.col("i") - F.col("upto") + F.col("c")).alias("left"))  # one block for each place
+    w = Window.partitionBy("kind").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = freq.join(F.broadcast(inside), "block").withColumn("here", F.sum("c").over(w)).where(F.col("here") > F.col("left"))
+    at = ranked.agg(*[F.min(F.when(F.col("kind") == k, x)).alias(f"{k}_ms") for k in ("median", "p95")])
+    return total.crossJoin(F.broadcast(at)).select(F.floor(F.col("sum_ms") / F.col("n")).cast("long").alias("avg_ms"), "median_ms", "p95_ms", "min_ms", "max_ms", "sum_ms")
 
 
 def mechanisms(outcome: Column, path: Column, source: Column, reason: Column, error: Column) -> Column:

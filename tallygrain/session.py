@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
@@ -42,3 +43,13 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     _shipped.add(context)
     return spark
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that all executors see: under spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), f"tallygrain-{os.getuid()}")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
