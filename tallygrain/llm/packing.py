@@ -2,9 +2,12 @@
 
 Tokenising, cutting and counting happen in one pass: a piece is known by its document, its length, its task and its rank
 among the task's pieces of that length. The histogram of lengths - at most ``limit`` numbers, whatever the input - is all
-that planning needs. For each length, longest first, an index of single, pair and triple sums gives combinations that
-fill its gap exactly; they are used as often as the counts allow. What is left is packed best-fit, longest first, again
-by counts. The plan says, for an interval of ranks of a length, in which sequences and where its pieces stand; every piece
+that planning needs. An index hashes the sums of available lengths: a sum leads to the lengths and pairs that make it, and a
+triple's to a length and the pair that the rest leads to. For each length, longest first, combinations that fill its gap exactly
+are looked up and used as often as the counts allow. What is left is packed best-fit, longest first, again by counts. An
+exact fill of many small pieces can cost more than it saves, so a fill's largest piece must lie within a window of the largest
+that fits; plans with several windows, and with the residuals packed length by length or at the end, are made, and the one
+of fewest sequences is taken: with the narrowest window and residuals at once it is best-fit decreasing. The plan says, for an interval of ranks of a length, in which sequences and where its pieces stand; every piece
 finds its place by a binary search, so no pieces are shuffled and no group of equal lengths is gathered anywhere.
 
 Defined cases: a null text is empty; an empty document is the end id alone; a null doc_id stays null and is packed
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -38,28 +42,29 @@ def ids_bytes(ids: list[int]) -> bytes:
 
 
 def load_encoding(path: str):
-    """The byte-level BPE of a tokenizers JSON file, run by the faster of the two libraries where both agree.
+    """text -> ids as ``tokenizers`` gives them without special tokens added, by the faster of two libraries where they agree.
 
-    The JSON's own merges give the ranks, so the ids are those of the file; pre-tokenisation is the GPT-2 pattern that
-    a ByteLevel pre-tokenizer with its regular expression stands for. Any other kind of file is run by tokenizers.
+    A byte-level BPE of the GPT-2 pattern has its own merges run by tiktoken; a text that holds the literal of an added token,
+    which tokenizers cuts out first, and any other kind of file are run by tokenizers.
     """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-    if not plain:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if not (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"):
+        return plain
     import tiktoken
     from public_tokenizers import PATTERN
 
-    special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+    added = {t["content"] for t in spec.get("added_tokens", [])}
     shown = byte_letters()
-    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    literal = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+    return lambda text: plain(text) if literal.search(text) else fast(text)
 
 
 def byte_letters() -> dict[str, int]:
@@ -103,73 +108,89 @@ def pieces(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int
 
 
 class Sums:
-    """Index of the single, pair and triple sums of the lengths still available."""
-
-    def __init__(self, counts: list[int]):
-        self.counts = counts
+    """Hash index of the sums of available lengths: under a sum, the larger parts of the pairs that make it, largest first.
 
-    def enough(self, lengths: tuple[int, ...]) -> bool:
-        return all(self.counts[n] >= lengths.count(n) for n in set(lengths))
-
-    def fills(self, gap: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of one, two, then three available lengths that sum to the gap, longest parts first."""
-        have = self.counts
-        if have[gap]:
-            yield (gap,)
-        for a in range(gap - 1, (gap - 1) // 2, -1):
-            if have[a] and have[gap - a] and self.enough((a, gap - a)):
-                yield (a, gap - a)
-        for a in range(gap - 2, (gap - 1) // 3, -1):
-            if have[a]:
-                rest = gap - a
-                for b in range(min(a, rest - 1), (rest - 1) // 2, -1):
-                    if have[b] and have[rest - b] and self.enough((a, b, rest - b)):
-                        yield (a, b, rest - b)
+    Counts go down as lengths are used up; what the index leads to is checked against them.
+    """
 
+    def __init__(self, counts: list[int], limit: int):
+        self.left = counts
+        have = np.flatnonzero(counts)
+        a, b = np.nonzero((have[:, None] >= have[None, :]) & (have[:, None] + have[None, :] < limit))
+        sums, larger = have[a] + have[b], have[a]
+        order = np.lexsort((-larger, sums))
+        ends = np.searchsorted(sums[order], np.arange(limit + 1))
+        self.pairs = {g: larger[order[ends[g] : ends[g + 1]]].tolist() for g in range(1, limit)}
 
-def plan(counts: list[int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences): exact fills while there are any, then best fit."""
-    left = [*counts]
-    made = []
+    def enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[n] >= lengths.count(n) for n in set(lengths))
+
+    def largest(self, gap: int) -> int:
+        return next((m for m in range(gap, 0, -1) if self.left[m]), 0)
+
+    def fill(self, n: int, window: int) -> tuple[int, ...] | None:
+        """The base length and one, two or three others that fill its gap exactly; the largest of them within the window."""
+        gap = len(self.left) - 1 - n
+        if self.left[gap] and self.enough((n, gap)):
+            return n, gap
+        self.left[n] -= 1
+        top = self.largest(gap)
+        self.left[n] += 1
+        for a in self.pairs.get(gap, ()):
+            if a < top - window:
+                break
+            if self.enough((n, a, gap - a)):
+                return n, a, gap - a
+        for a in range(top, max(top - window - 1, (gap - 1) // 3, 0), -1):
+            if self.left[a]:
+                for b in self.pairs.get(gap - a, ()):
+                    if b <= a and self.enough((n, a, b, gap - a - b)):
+                        return n, a, b, gap - a - b
+        return None
+
+    def fit(self, n: int) -> tuple[int, ...]:
+        """The base length, then again and again the largest that fits."""
+        lengths, gap = [n], len(self.left) - 1 - n
+        self.left[n] -= 1
+        while gap and (m := self.largest(gap)):
+            self.left[m] -= 1
+            lengths.append(m)
+            gap -= m
+        for m in lengths:
+            self.left[m] += 1
+        return tuple(lengths)
+
+
+#: How far below the largest piece that fits an exact fill's largest may lie, in the plans that are compared.
+WINDOWS = (0, 8, 64, 1 << 30)
+
+
+def one_plan(counts: list[int], limit: int, window: int, at_once: bool) -> list[tuple[tuple[int, ...], int]]:
+    sums, made = Sums([*counts], limit), []
 
     def use(lengths: tuple[int, ...]) -> None:
-        times = min(left[n] // lengths.count(n) for n in set(lengths))
+        times = min(sums.left[n] // lengths.count(n) for n in set(lengths))
         for n in lengths:
-            left[n] -= times
+            sums.left[n] -= times
         if times:
             made.append((lengths, times))
 
     use((limit,))
     for n in range(limit - 1, 0, -1):
-        if not left[n]:
-            continue
-        left[n] -= 1  # one of this length is the base while its gap's fills are sought
-        sums = Sums(left)
-        for fill in sums.fills(limit - n):
-            if not sums.enough(fill):
-                continue
-            left[n] += 1
-            use((n, *fill))
-            if not left[n]:
-                break
-            left[n] -= 1
-        else:
-            left[n] += 1
+        while sums.left[n] and ((found := sums.fill(n, window)) or at_once):
+            use(found or sums.fit(n))
     for n in range(limit, 0, -1):
-        while left[n]:
-            lengths, gap, own = [n], limit - n, [*left]
-            own[n] -= 1
-            while gap:
-                fit = next((m for m in range(gap, 0, -1) if own[m]), 0)
-                if not fit:
-                    break
-                own[fit] -= 1
-                lengths.append(fit)
-                gap -= fit
-            use(tuple(lengths))
+        while sums.left[n]:
+            use(sums.fit(n))
     return made
 
 
+def plan(counts: list[int], limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences): exact fills, then best fit; the fewest sequences of several windows."""
+    tries = (one_plan(counts, limit, window, at_once) for at_once in (False, True) for window in WINDOWS)
+    return min(tries, key=lambda made: sum(times for _, times in made))
+
+
 def placing(made: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int]]]:
     """For each length, ascending (first rank, first sequence, offset): its pieces from that rank on go to that sequence
     and the following ones, each at that offset."""
