@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingles of five words link at a similarity of 0.8 or more: that of the smallest
-    doc_id, one without an id where no other is in the group."""
+    """One document of each group of near copies: fingerprints of five-word shingles within the radius, and a similarity of
+    0.8 or more. That of the smallest doc_id stays, one without an id where no other is in the group."""
     return first_of_copies(docs, words=5, similarity=0.8)
 
 

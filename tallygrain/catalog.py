@@ -432,24 +432,65 @@ def json_path_lookup(spark, d):
 
 # ---- pages and payloads -------------------------------------------------------------------------------------------
 
-_PAGE = """CASE page_id % 3 WHEN 0 THEN concat('<h1>T</h1><div class="price-block"><s>Was £', cast(page_id + 2 AS string), '.00</s> <b>Now £', cast(page_id + 1 AS string), '.50</b></div>')
-    WHEN 1 THEN concat('<h1>T</h1><div class="buy-box clubcard-price"><b>£', cast(page_id + 1 AS string), '.00</b> Clubcard price <i>£', cast(page_id + 1 AS string), '.50</i></div>')
-    ELSE concat('<h1>T</h1><div class="price-block">£', cast(page_id + 1 AS string), '.00 (£', cast(page_id + 2 AS string), '.00/kg)</div>') END"""
+# Blocks that are put into whole pages, @ standing for a number of the page: a struck price beside a lower one; a membership
+# block with a box of another name before it; a price with its rate; visible prices that only the product's JSON-LD, the id beside
+# them or the heading ties to it, with a recommendation that goes; and a promotion that only the trusted price finds.
+_BLOCKS = [
+    '<div class="price-block"><s>Was £9@.00</s> <b>Now £8@.50</b></div>',
+    '<div class="promotion">Spend £5@.00 today</div><div class="buy-box clubcard-price"><b>£7@.00</b> Clubcard price <i>£7@.50</i></div>',
+    '<div class="price-block">£6@.00 (£3@.00/kg)</div>',
+    '<p>only £4@.25 each</p><p>fee £1@.10 flat</p><div class="related"><h2>Others like it</h2>£2@.99 and more</div><script type="application/ld+json">{"@type":"Product","name":"x","offers":{"sku":"PID@","price":"4@.25","priceCurrency":"GBP"}}</script>',
+    '<div><span>item PID@</span> £5@.75 flat</div><h1>Sole £3@.20 heading</h1>',
+    '<div class="price-container">from £1@.00 up</div><div class="pricing"><b>£2@.40</b> was £6@.00 once</div><script type="application/ld+json">{"offers":{"url":"/p/PID@","price":"2@.40","priceCurrency":"GBP"}}</script>',
+]
+# of each block: value, struck, rate, source, anchored
+_EVIDENCE = [
+    [("9@.00", True, False, "dom_text", True), ("8@.50", False, False, "dom_text", True)],
+    [("5@.00", False, False, "dom_text", False), ("7@.00", False, False, "dom_text", True), ("7@.50", False, False, "dom_text", True)],
+    [("6@.00", False, False, "dom_text", True), ("3@.00", False, True, "dom_text", True)],
+    [("4@.25", False, False, "dom_text", True), ("1@.10", False, False, "dom_text", False), ("4@.25", False, False, "json_ld", True)],
+    [("5@.75", False, False, "dom_text", True), ("3@.20", False, False, "dom_text", True)],
+    [("1@.00", False, False, "dom_text", False), ("2@.40", False, False, "dom_text", True), ("6@.00", False, False, "dom_text", True), ("2@.40", False, False, "json_ld", True)],
+]
+# of each block: kind, current, reference and regular price
+_PROMOTION = [("discount", "8@.50", "9@.00", None), ("membership", "7@.50", None, "7@.50"), (None, "6@.00", None, None), None, None, ("discount", "2@.40", "6@.00", None)]
+
+
+def _sql_value(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, bool) else "replace(" + _quoted(x) + ", '@', n)"
 
 
 def _priced_pages(spark, d):
-    return fx.read(spark, d, "pages").selectExpr("cast(page_id AS string) AS url", f"{_PAGE} AS html")
+    k = F.col("page_id")
+    block = F.element_at(F.array(*map(F.lit, _BLOCKS)), (k % len(_BLOCKS) + 1).cast("int"))
+    number = (k % 90 + 10).cast("string")
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.replace(block, F.lit("@"), number)))
+    html = F.regexp_replace(html, r"([£€$])(\s?\d)(?!\d*\.\d\d\D)", "$1 # $2")  # amounts of the page's own prose
+    return fx.read(spark, d, "pages").select(k.cast("string").alias("url"), html.alias("html"), F.concat(F.lit("PID"), number).alias("pid"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS url, CASE page_id % 3 WHEN 0 THEN 'discount' WHEN 1 THEN 'membership' END AS kind, CASE page_id % 3 WHEN 0 THEN (page_id + 1) || '.50' ELSE (page_id + 1) || '.00' END AS current_price, CASE page_id % 3 WHEN 0 THEN (page_id + 2) || '.00' END AS reference_price, CASE page_id % 3 WHEN 1 THEN (page_id + 1) || '.50' END AS regular_price FROM pages")
+@query(
+    "SELECT url, kind, current_price, reference_price, regular_price FROM ("
+    + " UNION ALL ".join(
+        f"SELECT CAST(page_id AS VARCHAR) AS url, {', '.join(f'{_sql_value(x)} AS {c}' for c, x in zip(('kind', 'current_price', 'reference_price', 'regular_price'), row))} FROM (SELECT page_id, CAST(page_id % 90 + 10 AS VARCHAR) AS n FROM pages) WHERE page_id % {len(_BLOCKS)} = {i}"
+        for i, row in enumerate(_PROMOTION)
+        if row
+    )
+    + ")"
+)
 def promotion_signal(spark, d):
-    return evidence.promotions(_priced_pages(spark, d)).select("url", "kind", "current_price", "reference_price", "regular_price")
+    return evidence.promotions(_priced_pages(spark, d), pid_col="pid").select("url", "kind", "current_price", "reference_price", "regular_price")
 
 
-@query("""SELECT CAST(page_id AS VARCHAR) AS url, pos, value, 'GBP' AS currency, page_id % 3 = 0 AND pos = 0 AS struck, page_id % 3 = 2 AND pos = 1 AS unit_price FROM (
-    SELECT page_id, CAST(unnest([0, 1]) AS INTEGER) AS pos, unnest(CASE page_id % 3 WHEN 0 THEN [(page_id + 2) || '.00', (page_id + 1) || '.50'] WHEN 1 THEN [(page_id + 1) || '.00', (page_id + 1) || '.50'] ELSE [(page_id + 1) || '.00', (page_id + 2) || '.00'] END) AS value FROM pages)""")
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST(page_id AS VARCHAR) AS url, CAST({pos} AS INTEGER) AS pos, {_sql_value(v)} AS value, 'GBP' AS currency, {s} AS struck, {u} AS unit_price, '{src}' AS source, {a} AS anchored FROM (SELECT page_id, CAST(page_id % 90 + 10 AS VARCHAR) AS n FROM pages) WHERE page_id % {len(_BLOCKS)} = {i}"
+        for i, rows in enumerate(_EVIDENCE)
+        for pos, (v, s, u, src, a) in enumerate(rows)
+    )
+)
 def price_evidence(spark, d):
-    return evidence.price_evidence(_priced_pages(spark, d)).select("url", "pos", "value", "currency", "struck", "unit_price")
+    return evidence.price_evidence(_priced_pages(spark, d), pid_col="pid").select("url", "pos", "value", "currency", "struck", "unit_price", "source", "anchored")
 
 
 @query("SELECT p_partkey, p_name AS title, CAST(round(p_retailprice * 100) AS BIGINT) AS price_c, 'GBP' AS currency, CASE WHEN p_partkey % 2 = 0 THEN CAST(round(p_retailprice * 200) AS BIGINT) END AS list_c, p_partkey % 3 = 0 AS in_stock, 1 AS images FROM part")

@@ -24,9 +24,13 @@ AMOUNT = re.compile(r"[£€$]\s?\d[\d,]*\.?\d*|\d[\d,]*\.\d{2}\s?(?:GBP|EUR|USD
 RATE = re.compile(r"[£€$]?\s?\d[\d,]*\.?\d*\s*(?:GBP|EUR|USD)?\s*/\s*(?:kg|litre|l|100\s*g|g|oz|lb|each|unit)", re.I)
 REGULAR = re.compile(r"regular\s+price\s+\D{0,3}\d", re.I)
 MEMBER = re.compile(r"(?:clubcard|member|prime|loyalty|会员)\s+price\s+(?:is\s+)?\D{0,3}\d", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
-EVIDENCE = "url string, pos int, value string, currency string, raw_text string, label string, source string, source_path string, struck boolean, unit_price boolean, member_tier boolean, anchored boolean, cross_sell boolean, css_hint string"
+# Names of a buy box.
+BUY_BOX = ("pdp-buy-box", "buybox", "buy-box", "product-price", "price-block", "value-bar")
+
+EVIDENCE = "url string, pos int, value string, currency string, raw_text string, label string, source string, source_path string, struck boolean, unit_price boolean, member_tier boolean, anchored boolean, css_hint string"
 PROMOTION = "url string, kind string, current_price string, reference_price string, member_price string, regular_price string, gated_by string"
 
 
@@ -40,6 +44,23 @@ class Node:
     def marks(self) -> str:
         return " ".join(v for k, v in self.attrs.items() if v and (k in ("class", "id") or k.startswith("data-"))).lower()
 
+    def tokens(self) -> list[str]:
+        """Class names, the id and the three test marks, lower case."""
+        own = self.attrs.get("class", "").split() + [self.attrs.get(a, "") for a in ("id", "data-auto", "data-test", "data-testid")]
+        return [t.lower() for t in own if t]
+
+    def plain(self) -> str:
+        """All text as it stands, without separators, and without scripts, styles and templates."""
+        out, stack = [], [self]
+        while stack:
+            at = stack.pop()
+            if isinstance(at, Node):
+                if at is self or at.tag not in ("script", "style", "template"):
+                    stack += reversed(at.children)
+            else:
+                out.append(at)
+        return "".join(out)
+
     def up(self) -> Iterator[Node]:
         at = self
         while at is not None:
@@ -88,7 +109,7 @@ class Tree(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if data.strip():
+        if data:
             self.at.children.append(data)
 
 
@@ -133,14 +154,40 @@ def is_zero_decoy(node: Node, value: str) -> bool:
     return "guide price" in near or "basket" in near or any(t in n.marks() for n in node.up() for t in config.ZERO_DECOYS)
 
 
-def is_cross_sell(node: Node, title: str) -> bool:
-    """Inside a block that is named like recommendations and has a heading of its own that is not the page's title."""
-    for n in node.up():
-        if any(w in n.marks() for w in config.CROSS_SELL_WORDS):
-            head = next((h.text().strip().lower() for h in n.walk() if h.tag in ("h1", "h2", "h3", "h4")), "")
-            if not title or not head or not (head in title.lower() or title.lower() in head):
-                return True
-    return False
+def headed_texts(root: Node) -> Iterator[tuple[str, Node, Node | None]]:
+    """Texts in order, their element, and the last heading that began before them."""
+    heading, stack = None, [root]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, tuple):
+            yield at[0], at[1], heading
+            continue
+        if at.tag in HEADINGS:
+            heading = at
+        if at.tag not in ("script", "style"):
+            stack += [c if isinstance(c, Node) else (c, at) for c in reversed(at.children)]
+
+
+def alike(a: str, b: str) -> bool:
+    """One text in the other, whatever the case and the blanks."""
+    a, b = (" ".join(x.lower().split()) for x in (a, b))
+    return a in b or b in a
+
+
+def is_cross_sell(node: Node, heading: Node | None, title: str) -> bool:
+    """Two signs at once: something around the node is named like recommendations, and the heading before it is not the title."""
+    named = any(w in " ".join((n.attrs.get("class", ""), n.attrs.get("id", ""))).lower() for n in node.up() for w in config.CROSS_SELL_WORDS)
+    return named and not (title and heading is not None and alike(heading.plain(), title))
+
+
+def main_heading(tree: Node, title: str) -> Node | None:
+    """The first <h1> that has the title's words; else, on a page without <main>, the first of all."""
+    all_h1 = [n for n in tree.walk() if n.tag == "h1"]
+    if title:
+        found = next((n for n in all_h1 if n.plain().strip() and alike(n.plain(), title)), None)
+        if found or any(n.tag == "main" for n in tree.walk()):
+            return found
+    return all_h1[0] if all_h1 else None
 
 
 def json_blocks(html: str) -> Iterator:
@@ -185,18 +232,21 @@ def page_title(tree: Node, html: str) -> str:
 
 
 def page_evidence(html: str, pid: str | None, tree: Node | None = None) -> list[dict]:
-    """Amounts of the page's text, meta descriptions and JSON-LD, one for each value, currency and source."""
+    """Amounts of the page's text, meta descriptions and JSON-LD: anchored to the product where one of four signs says so, those
+    of recommendations left out, one for each value, currency and source."""
     tree = tree or Tree(html).root
     title = page_title(tree, html)
     out: list[dict] = []
-    for text, node in tree.texts():
+    seen = set()
+    for text, node, heading in headed_texts(tree):
         rates = [m.span() for m in RATE.finditer(text)]
         for m in AMOUNT.finditer(text):
             value = number(m[0])
-            if not value or is_zero_decoy(node, value):
+            if not value or is_zero_decoy(node, value) or (value, coin(m[0])) in seen:
                 continue
+            seen.add((value, coin(m[0])))
             hints = " ".join(n.marks() for n in node.up() if n.marks())[:200]
-            out.append(dict(value=value, currency=coin(m[0]), raw_text=text.strip()[:200], label=label_of(text), source="dom_text", source_path="", struck=is_struck(node), unit_price=any(a <= m.start() < b for a, b in rates), css_hint=hints, cross_sell=is_cross_sell(node, title)))
+            out.append(dict(value=value, currency=coin(m[0]), raw_text=text.strip()[:200], label=label_of(text), source="dom_text", source_path="", struck=is_struck(node), unit_price=any(a <= m.start() < b for a, b in rates), css_hint=hints, node=node, heading=heading))
     for n in tree.walk():
         name = (n.attrs.get("name") or n.attrs.get("property") or "").lower()
         if n.tag == "meta" and name in config.META_NAMES:
@@ -208,15 +258,25 @@ def page_evidence(html: str, pid: str | None, tree: Node | None = None) -> list[
                     out.append(dict(value=value, currency=coin(m[0]), raw_text=content[:200], label=label, source="meta", source_path=f"meta:{name}"))
     for data in json_blocks(html):
         out += [dict(source="json_ld", **p) for p in json_prices(data, "", pid)]
-    seen, kept = set(), []
+    trusted = {dec(e["value"]) for e in out if e.get("anchored")} - {None}
+    block, head = price_block(tree, trusted), main_heading(tree, title)
+    kept, seen = [], set()
     for e in out:
-        key = (e["value"], e["currency"], e["source"])
-        if key not in seen:
-            seen.add(key)
-            kept.append(e)
-    trusted = {dec(e["value"]) for e in kept if e.get("anchored")}
-    for e in kept:  # a value that the product's own JSON-LD has is the product's
-        e["anchored"] = bool(e.get("anchored")) or (dec(e["value"]) in trusted and not e.get("cross_sell"))
+        node, heading = e.pop("node", None), e.pop("heading", None)
+        if node is not None and is_cross_sell(node, heading, title):
+            continue
+        if (e["value"], e["currency"], e["source"]) in seen:
+            continue
+        seen.add((e["value"], e["currency"], e["source"]))
+        around = [*node.up()] if node is not None else []
+        e["anchored"] = bool(
+            e.get("anchored")  # the product's own JSON-LD says so
+            or dec(e["value"]) in trusted  # or has the same value
+            or (block is not None and any(n is block for n in around))  # or it stands in the main price block
+            or (head is not None and any(n is head for n in around))  # or in the main heading
+            or (pid and around and (pid in e["raw_text"] or any(pid in n.plain()[:500] for n in around)))  # or beside the product's id
+        )
+        kept.append(e)
     return kept
 
 
@@ -250,31 +310,42 @@ def block_prices(block: Node) -> list[dict]:
 
 
 def price_block(tree: Node, trusted: set[Decimal]) -> Node | None:
-    """The block that most looks like the main price: +100 with a trusted value, +50 a hint of its class, +30 of middle size,
-    +25 with a price, +40 with a lower and a struck one, +10 gated, +20 near the main heading; the first of equals."""
-    best, best_score = None, 0
-    for n in tree.walk():
-        hints = sum(h in n.marks() for h in config.CONTAINER_HINTS)
-        if not hints and not trusted:
+    """The block that most looks like the main price, among those in <main> (else <body>) that are named like one and have eight
+    characters: +100 with a trusted value, +50 for each of its names that is a buy box's, +30 of middle size, +25 with any price,
+    +40 with a trusted value and a higher one that is struck or labelled as a reference, +10 with words of a membership scheme,
+    +35 inside the main heading's parent. Of equals the middle-sized, then the first; if none scores, likewise."""
+    nodes = [*tree.walk()]
+    scope = next((n for t in ("main", "body") for n in nodes if n.tag == t), tree)
+    h1 = next((n for n in nodes if n.tag == "h1"), None)
+    found: list[tuple[int, bool, Node]] = []
+    for n in scope.walk():
+        names = n.tokens()
+        if n is scope or n.tag in ("script", "style", "noscript") or not any(h in t for t in names for h in config.CONTAINER_HINTS):
             continue
-        if n.tag in ("", "html", "body", "head", "script", "style"):
+        text = n.plain()
+        size = len(text.strip())
+        if size < 8:
             continue
-        prices = block_prices(n)
-        values = {dec(p["value"]) for p in prices}
-        size = len(n.text())
-        score = 100 * bool(values & trusted) + 50 * hints + 30 * (20 <= size <= 800) + 25 * bool(prices)
-        score += 40 * (len(prices) > 1 and any(p["struck"] for p in prices)) + 10 * (gating(n) is not None if hints else 0)
-        score += 20 * bool(n.parent and any(x.tag == "h1" for x in n.parent.children if isinstance(x, Node)))
-        if prices and score > best_score:
-            best, best_score = n, score
-    return best
+        prices = [(dec(p["value"]), p) for p in block_prices(n)]
+        values = {v for v, _ in prices}
+        middle = 20 <= size <= 2000
+        score = 100 * bool(values & trusted) + 50 * sum(any(h in t for h in BUY_BOX) for t in names) + 30 * middle + 25 * bool(prices)
+        score += 40 * any(v is not None and v > t and is_reference(p) for t in trusted & values for v, p in prices)
+        score += 10 * any(h in text.lower() for h in config.MEMBER_HINTS)
+        score += 35 * (h1 is not None and h1.parent is not None and any(a is h1.parent for a in n.up() if a is not n))
+        found.append((score, middle, n))
+    return max(found, key=lambda x: (x[0], x[1]), default=(0, False, None))[2]
+
+
+def is_reference(price: dict) -> bool:
+    return price["struck"] or any(w in price["label"] for w in config.REFERENCE_HINTS)
 
 
 def promotion(html: str, pid: str | None, membership_possible: bool = True) -> dict | None:
     """membership, discount or neither, with the prices that tell; null without a price block."""
     tree = Tree(html).root
     evidence = page_evidence(html, pid, tree)
-    trusted = {dec(e["value"]) for e in evidence if e["source"] == "json_ld" and e["anchored"]} - {None}
+    trusted = {dec(e["value"]) for e in evidence if e["anchored"]} - {None}
     block = price_block(tree, trusted)
     if block is None:
         return None
@@ -282,9 +353,8 @@ def promotion(html: str, pid: str | None, membership_possible: bool = True) -> d
     if not prices:
         return None
     program = gating(block) if membership_possible else None
-    is_ref = lambda p: p["struck"] or any(w in p["label"] for w in config.REFERENCE_HINTS)
     own = [x for x in prices if x[0] in trusted]
-    fair = [x for x in own if not is_ref(x[1])]
+    fair = [x for x in own if not is_reference(x[1])]
     anchored = bool(own)
     value, now = (fair[-1] if program else fair[0]) if fair else own[0] if own else prices[0]
     higher = [x for x in prices if x[0] > value]
@@ -294,7 +364,7 @@ def promotion(html: str, pid: str | None, membership_possible: bool = True) -> d
             lower = [p for v, p in prices if v < value and any(h in p["marks"] or h in p["label"] for h in [*config.MEMBER_HINTS, program])]
             return out | dict(kind="membership", member_price=lower[-1]["value"] if lower else None, regular_price=now["value"])
         return out | dict(kind="membership", member_price=now["value"], regular_price=higher[-1][1]["value"] if higher else None)
-    refs = [p for _, p in higher if is_ref(p)]
+    refs = [p for _, p in higher if is_reference(p)]
     if refs:
         return out | dict(kind="discount", reference_price=refs[-1]["value"])
     return out
@@ -303,8 +373,8 @@ def promotion(html: str, pid: str | None, membership_possible: bool = True) -> d
 def price_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html", pid_col: str | None = None) -> DataFrame:
     """One row for each amount of each page, in order of appearance."""
     pid = F.col(pid_col) if pid_col else F.lit(None).cast("string")
-    schema = pa.schema([("url", pa.string()), ("pos", pa.int32()), *[(n, pa.string()) for n in ("value", "currency", "raw_text", "label", "source", "source_path")], *[(n, pa.bool_()) for n in ("struck", "unit_price", "member_tier", "anchored", "cross_sell")], ("css_hint", pa.string())])
-    usual = dict(label="", source_path="", struck=False, unit_price=False, member_tier=False, anchored=False, cross_sell=False, css_hint="")
+    schema = pa.schema([("url", pa.string()), ("pos", pa.int32()), *[(n, pa.string()) for n in ("value", "currency", "raw_text", "label", "source", "source_path")], *[(n, pa.bool_()) for n in ("struck", "unit_price", "member_tier", "anchored")], ("css_hint", pa.string())])
+    usual = dict(label="", source_path="", struck=False, unit_price=False, member_tier=False, anchored=False, css_hint="")
 
     def run(batches):
         for batch in batches:

@@ -191,7 +191,7 @@ def test_json(spark):
 PAGES = [
     ("discount", '<html><h1>Tea</h1><div class="price-block"><span class="was">Was £3.00</span> <b>Now £2.50</b></div></html>', "discount", dict(current_price="2.50", reference_price="3.00")),
     ("member", '<h1>Tea</h1><div class="buy-box clubcard-price"><b>£2.00</b> Clubcard price <i>£2.50</i></div>', "membership", dict(member_price="2.00", regular_price="2.50")),
-    ("nonmember", '<h1>Tea</h1><div class="buy-box non-clubcard"><b>£2.00</b></div>', None, dict(current_price="2.00")),
+    ("nonmember", '<h1>Tea</h1><div class="buy-box non-clubcard"><b>£2.00</b> each</div>', None, dict(current_price="2.00")),
     ("plain", '<h1>Tea</h1><div class="price-block">£2.00 <small>£4.00/kg</small></div>', None, dict(current_price="2.00")),
 ]
 
@@ -210,8 +210,8 @@ def test_price_evidence(spark):
     )
     df = spark.createDataFrame([("u", html, "77"), ("v", None, None)], "url string, html string, pid string")
     rows = evidence.price_evidence(df, pid_col="pid").orderBy("pos").collect()
-    told = [(r.source, r.value, r.struck, r.unit_price, r.cross_sell, r.anchored) for r in rows]
-    assert told == [("dom_text", "3.00", True, False, False, False), ("dom_text", "2.50", False, False, False, True), ("dom_text", "6.00", False, True, False, False), ("dom_text", "9.99", False, False, True, False), ("meta", "2.50", False, False, False, True), ("json_ld", "2.50", False, False, False, True)]
+    told = [(r.source, r.value, r.struck, r.unit_price, r.anchored) for r in rows]
+    assert told == [("dom_text", "3.00", True, False, False), ("dom_text", "2.50", False, False, True), ("dom_text", "6.00", False, True, False), ("meta", "2.50", False, False, True), ("json_ld", "2.50", False, False, True)]
     assert [r.label for r in rows if r.source == "meta"] == ["regular"]
     spec = [p["source_path"] for p in evidence.json_prices({"offers": {"priceSpecification": {"price": 3}, "priceCurrency": "GBP"}}, "", None)]
     assert spec == ["offers.priceSpecification.price", "offers.priceSpecification.price"] or len(spec) == 2
