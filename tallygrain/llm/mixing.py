@@ -6,13 +6,15 @@ which no source is repeated more than a limit. All candidate exponents of a roun
 the table of source totals, so that table is never collected.
 
 The weights are realised within a token budget. A source's quota is as many whole passes over its documents as fit, and a
-part of one more. Documents lie in blocks by a hash of doc_id, each pass takes the blocks in an order of its own (a hash of
-seed, source, pass and block), and the last pass ends inside a block, which is cut by the same rule on finer and finer
-blocks until the next document would not fit: sizes are summed by block, and no source's documents are gathered or sorted.
+part of one more. Documents lie in 1024 blocks by a hash of doc_id, and each pass takes the blocks in a permutation of its own: a
+Feistel network keyed by seed, source and pass gives every block its place, which the result carries (``mix_place``), so a
+reader that goes by pass and place reads each pass in its order. The last pass ends inside a block, which is cut by the same
+rule on finer and finer blocks until the next document would not fit: sizes are summed by block, and no source's documents
+are gathered or sorted.
 
 Defined cases: a null source is the source ""; a null text has no tokens; documents without tokens (and sources that hold
 only such) come once; rows that share a doc_id within a source lie in one block and are taken or left together; an empty
-table gives no rows; columns whose names clash with the result's are kept only as those.
+table gives no rows; input columns named as one of the result's five mix columns give way to it, any other name is kept as it is.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tallygrain.llm.common import Scratch
 
 #: Blocks of one level, and how many levels a 60-bit hash has.
 FANOUT, LEVELS = 1024, 6
+#: Bits of half a block's number, and rounds of the network that permutes blocks.
+HALF, ROUNDS_KEYED = 5, 4
 #: Exponents that one round of the bisection evaluates, and rounds: the exponent's error is below PROBES ** -ROUNDS.
 PROBES, ROUNDS = 32, 5
 
@@ -39,9 +43,14 @@ def digit(level: int) -> Column:
     return F.shiftrightunsigned(F.col("h"), 10 * level).bitwiseAND(F.lit(FANOUT - 1)).cast("int")
 
 
-def turn(seed: int, level: int) -> Column:
-    """The place of a block in a pass's order; equal hashes fall back on the block number."""
-    return F.xxhash64(F.lit(seed), F.lit(level), F.col("source"), F.col("epoch"), F.col("block"))
+def place(seed: int, level: int) -> Column:
+    """The place, from 0, that a pass's permutation gives a block: ``ROUNDS_KEYED`` Feistel rounds on its two halves of five bits."""
+    half = F.lit((1 << HALF) - 1)
+    left, right = F.shiftright(F.col("block"), HALF), F.col("block").bitwiseAND(half)
+    for r in range(ROUNDS_KEYED):
+        key = F.xxhash64(F.lit(seed), F.lit(level), F.lit(r), F.col("source"), F.col("epoch").cast("long"), right)
+        left, right = right, left.bitwiseXOR(key.bitwiseAND(half).cast("int"))
+    return F.shiftleft(left, HALF).bitwiseOR(right)
 
 
 def bisect_exponent(totals: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
@@ -52,10 +61,12 @@ def bisect_exponent(totals: DataFrame, target_entropy: float | None, max_repeats
     when the budget lets the source that is repeated least be seen once; the smallest exponent that keeps to it.
     """
     low, high = 0.0, 1.0
-    p = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
     shares = totals.where("tokens > 0")
     whole = shares.agg(F.sum("tokens").alias("all"))
     shares = shares.crossJoin(F.broadcast(whole)).select((F.col("tokens") / F.col("all")).alias("p"))
+    extremes = shares.agg(F.min("p").alias("p0"), F.max("p").alias("p1")).first()
+    if extremes.p0 is None:
+        return 1.0
     for _ in range(ROUNDS):
         tries = [low + (high - low) * i / PROBES for i in range(PROBES + 1)]
         if target_entropy is not None:  # entropy of p^a / z is log z - a * sum(p^a log p) / z
@@ -72,10 +83,7 @@ def bisect_exponent(totals: DataFrame, target_entropy: float | None, max_repeats
                 return tries[-1]
             low, high = tries[k], tries[k + 1]
         else:  # repeats of a source go as p^(a - 1)
-            row = shares.agg(F.min("p").alias("p0"), F.max("p").alias("p1")).first()
-            if row.p0 is None:
-                return 1.0
-            repeats = [(row.p0 / row.p1) ** (a - 1) for a in tries]
+            repeats = [(extremes.p0 / extremes.p1) ** (a - 1) for a in tries]
             k = next(i for i, r in enumerate(repeats) if r <= max_repeats or i == PROBES)
             if k == 0:
                 return tries[0]
@@ -100,7 +108,7 @@ def quotas(totals: DataFrame, exponent: float, budget: int | None) -> DataFrame:
     return rows.select("source", "tokens", "weight", "quota", passes.cast("long").alias("passes"), F.when(live, F.col("quota") % F.col("tokens")).otherwise(0).alias("rest"))
 
 
-def cut_blocks(rows: DataFrame, plan: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+def cut_blocks(rows: DataFrame, plan: DataFrame, seed: int, scratch: Scratch, hint) -> DataFrame:
     """source, path: the blocks, as prefixes of digits, that a source's last pass takes whole.
 
     Level by level, the blocks that fit are taken and the first that does not is opened, until nothing of it fits.
@@ -110,9 +118,9 @@ def cut_blocks(rows: DataFrame, plan: DataFrame, seed: int, scratch: Scratch) ->
     taken = []
     for level in range(LEVELS):
         path = F.concat_ws(".", *[digit(i) for i in range(level)]) if level else F.lit("")
-        inside = rows.withColumn("path", path).join(F.broadcast(open_) if level == 0 else open_, ["source", "path"])
+        inside = rows.withColumn("path", path).join(hint(open_), ["source", "path"])
         blocks = inside.groupBy("source", "path", "epoch", "left", digit(level).alias("block")).agg(F.sum("n").alias("n"), F.countDistinct("h").alias("docs"))
-        order = Window.partitionBy("source", "path").orderBy(turn(seed, level), "block").rowsBetween(Window.unboundedPreceding, 0)
+        order = Window.partitionBy("source", "path").orderBy(place(seed, level)).rowsBetween(Window.unboundedPreceding, 0)
         blocks = blocks.withColumn("upto", F.sum("n").over(order)).withColumn("own", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("block")))
         blocks = scratch.save(blocks, f"blocks{level}")
         taken.append(blocks.where(F.col("upto") <= F.col("left")).select("source", F.lit(level).alias("level"), F.col("own").alias("path")))
@@ -138,9 +146,10 @@ def mix(
     source_col: str = "source",
     small_sources: int = 50_000,
 ) -> DataFrame:
-    """The documents' columns, once for each time a document is drawn, with mix_epoch, mix_block, mix_tokens and mix_weight.
+    """The documents' columns, once for each time a document is drawn, with mix_epoch (the pass), mix_block, mix_place (the
+    block's place in the pass), mix_tokens and mix_weight.
 
-    Exactly one of target_entropy and max_repeats steers the exponent. Table of sources: joined by broadcast up to
+    Exactly one of target_entropy and max_repeats steers the exponent. Tables of sources: joined by broadcast up to
     ``small_sources`` rows, which bounds what is sent, else by a shuffle whose skewed keys Spark splits.
     """
     if (target_entropy is None) == (max_repeats is None):
@@ -148,23 +157,23 @@ def mix(
     scratch = Scratch(docs.sparkSession, "mixing")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    own = docs.withColumns({"mix_source": source, "mix_h": F.xxhash64(F.lit(seed), source, key).bitwiseAND(F.lit((1 << 60) - 1)), "mix_tokens": word_count(F.col(text_col))})
-    rows = scratch.save(own.select(F.col("mix_source").alias("source"), F.col("mix_h").alias("h"), F.col("mix_tokens").alias("n")), "sizes")
+    hashed = F.xxhash64(F.lit(seed), source, key).bitwiseAND(F.lit((1 << 60) - 1))
+    # the documents' own columns travel as one, so that no name of theirs meets one of these
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), hashed.alias("h"), word_count(F.col(text_col)).alias("n"))
+    rows = scratch.save(own.select("source", "h", "n"), "sizes")
     totals = scratch.save(rows.groupBy("source").agg(F.sum("n").alias("tokens")), "totals")
     exponent = bisect_exponent(totals, target_entropy, max_repeats)
     plan = scratch.save(quotas(totals, exponent, budget), "plan")
     small = plan.count() <= small_sources
     hint = F.broadcast if small else (lambda df: df)
     # a source's cut, level by level: at most FANOUT blocks a level
-    cut = scratch.save(cut_blocks(rows, plan, seed, scratch).groupBy("source").agg(F.collect_set("path").alias("taken")), "cut")
+    cut = scratch.save(cut_blocks(rows, plan, seed, scratch, hint).groupBy("source").agg(F.collect_set("path").alias("taken")), "cut")
     plan = scratch.save(plan.join(cut, "source", "left"), "whole")
-    drawn = own.join(hint(plan.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), F.col("passes").alias("mix_passes"), F.col("taken").alias("mix_taken"))), "mix_source")
-    h = F.col("mix_h")
-    digits = [F.shiftrightunsigned(h, 10 * i).bitwiseAND(F.lit(FANOUT - 1)).cast("string") for i in range(LEVELS)]
-    paths = F.array(*[F.concat_ws(".", *digits[: i + 1]) for i in range(LEVELS)])
-    more = F.coalesce(F.arrays_overlap("mix_taken", paths), F.lit(False)).cast("long")
-    times = F.col("mix_passes") + F.when(F.col("mix_tokens") > 0, more).otherwise(F.when(F.col("mix_passes") > 0, 0).otherwise(1))
-    drawn = drawn.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    keep = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_tokens", "mix_weight")]
-    block = h.bitwiseAND(F.lit(FANOUT - 1)).cast("int")
-    return drawn.select(*keep, "mix_epoch", block.alias("mix_block"), "mix_tokens", "mix_weight")
+    drawn = own.join(hint(plan.select("source", "weight", "passes", "taken")), "source")
+    paths = F.array(*[F.concat_ws(".", *[digit(i).cast("string") for i in range(k + 1)]) for k in range(LEVELS)])
+    more = F.coalesce(F.arrays_overlap("taken", paths), F.lit(False)).cast("long")
+    times = F.col("passes") + F.when(F.col("n") > 0, more).otherwise(F.when(F.col("passes") > 0, 0).otherwise(1))
+    drawn = drawn.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).withColumn("block", digit(0))
+    mixed = {"mix_epoch": F.col("epoch"), "mix_block": F.col("block"), "mix_place": place(seed, 0), "mix_tokens": F.col("n"), "mix_weight": F.col("weight")}
+    keep = [F.col("row")[c].alias(c) for c in docs.columns if c not in mixed]
+    return drawn.select(*keep, *[c.alias(k) for k, c in mixed.items()])

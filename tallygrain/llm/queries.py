@@ -42,7 +42,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"), max_repeats=2.0)
-    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens", "mix_weight")
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place", "mix_tokens", "mix_weight")
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
