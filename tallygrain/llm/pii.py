@@ -32,13 +32,17 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-# The four base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# What the four base patterns are made of. They are matched in parts, because as one pattern each the first two
+# would look again and again at a long text without a break: an e-mail is sought from its @, an address by runs of numbers.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Other spans that could be personal data: something around an @ or a written-out at, or seven digits and more.
-CANDIDATE = re.compile(r"[^\s<>\"',;:()\[\]]+(?:@|\(at\)|\[at\])[^\s<>\"',;:()\[\]]+|(?:\+|\b)[0-9(](?:[\x20().-]{0,2}[0-9]){6,24}")
+RUN = re.compile(r"[^\s<>\"',;:()\[\]]+")
+AT = re.compile(r"\(at\)|\[at\]")
+DIGIT_RUN = re.compile(r"(?:\+|\b)[0-9(](?:[\x20().-]{0,2}[0-9]){6,24}")
 DIGITS = re.compile(r"[0-9]")
 HAS_DIGITS = re.compile(r"[0-9][\x20().-]{0,2}[0-9]")
 FEATURES = 32
@@ -49,14 +53,43 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches: the characters of a local part up to an @, if a domain follows; none before the last match's end."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1)
+        if start < at and domain:
+            yield start, domain.end()
+            done = domain.end()
+        else:
+            done = at + 1  # an @ is in no local part
+        at = text.find("@", done)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers joined by points, and four again, of every run of such numbers; parts at most 255."""
+    for run in NUMBERS.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        parts, at = run[0].split("."), run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) by start, then kind: each pattern's leftmost matches, failing ones dropped."""
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+        out += [(a, b, 0) for a, b in emails(text)]
     if DIGITS.search(text):
         if "." in text:
-            out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(a, b, 1) for a, b in addresses(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 out.append((m.start(), m.end(), 2))
@@ -66,18 +99,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Other spans that could be personal data, none over a base span."""
-    if "@" not in text and "at" not in text and not DIGITS.search(text):
-        return []
-    if not (HAS_DIGITS.search(text) or "@" in text or "(at)" in text or "[at]" in text):
-        return []
-    out, b = [], 0
-    for m in CANDIDATE.finditer(text):
-        while b < len(base) and base[b][1] <= m.start():
-            b += 1
-        if any(s < m.end() and e > m.start() for s, e, _ in base[b : b + 8]):
-            continue
-        out.append((m.start(), m.end()))
+    """Other spans that could be personal data, by start, none over a base span or over another."""
+    found = []
+    if HAS_DIGITS.search(text):
+        found += [m.span() for m in DIGIT_RUN.finditer(text)]
+    if "@" in text:
+        found += [m.span() for m in RUN.finditer(text) if "@" in m[0][1:-1]]
+    if "(at)" in text or "[at]" in text:
+        marks = [m.span() for m in AT.finditer(text)]
+        ends, starts = {a for a, _ in marks}, {b for _, b in marks}
+        left, right = {}, {}
+        for m in RUN.finditer(text):
+            if m.end() in ends:
+                left[m.end()] = m.start()
+            if m.start() in starts:
+                right[m.start()] = m.end()
+        found += [(left[a], right[b]) for a, b in marks if a in left and b in right]
+    out, k, done = [], 0, 0
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        while k < len(base) and base[k][1] <= a:
+            k += 1
+        if a >= done and not (k < len(base) and base[k][0] < b):
+            out.append((a, b))
+            done = b
     return out
 
 
@@ -207,7 +251,8 @@ def fit(feats: np.ndarray, gold: np.ndarray, chain: np.ndarray, skip: np.ndarray
 def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Beliefs (nodes x labels) by loopy sum-product over all edges; seen: observed labels, -1 if none.
 
-    rounds: of each of the two dampings, at most; null: four a node of the longest chain, and 200 at least.
+    rounds: of each of the two dampings, at most; null: four a node of a document's chain, and 200 at least. A document's
+    messages stop as they settle or are out of rounds, whatever other documents' messages do.
     """
     k = len(LABELS)
     own = feats @ field.unary.T
@@ -219,16 +264,20 @@ def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray,
     first = np.ones(len(own), int)
     first[chain[:, 1]] = 0
     doc = np.cumsum(first) - 1  # a document's nodes are one chain
-    limit = rounds or max(200, 4 * int(np.bincount(doc).max()))
+    limit = np.maximum(200, 4 * np.bincount(doc)) if rounds is None else np.full(doc[-1] + 1, rounds)
     table = np.concatenate((np.repeat(field.chain[None], len(chain), 0), np.repeat((field.skip * np.eye(k))[None], len(skip), 0)))
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     table = np.concatenate((table, table.transpose(0, 2, 1)))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     msg = np.zeros((len(src), k))
     total = own.copy()
-    live = np.arange(len(src))  # the messages of documents that have not settled
+    at = doc[src]
+    settled = np.zeros(doc[-1] + 1, bool)
     for damp in (0.5, 0.9):
-        for _ in range(limit):
+        for r in range(int(limit.max())):
+            live = np.flatnonzero(~settled[at] & (r < limit[at]))  # the messages of documents that have not settled
+            if not len(live):
+                break
             x = (total[src[live]] - msg[back[live]])[:, :, None] + table[live]
             top = x.max(axis=1)
             new = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
@@ -237,14 +286,9 @@ def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray,
             msg[live] += step
             total[dst[live]] = own[dst[live]]
             np.add.at(total, dst[live], msg[live])
-            moving = np.zeros(len(own), bool)
-            far = np.abs(step).max(axis=1) >= 2e-4 * (1 - damp)
-            moving[doc[src[live[far]]]] = moving[doc[dst[live[far]]]] = True
-            still = moving[doc[src[live]]] | moving[doc[dst[live]]]
-            if not still.all():
-                live = live[still]
-            if not len(live):
-                break
+            moving = np.zeros(len(settled), bool)
+            moving[at[live[np.abs(step).max(axis=1) >= 2e-4 * (1 - damp)]]] = True
+            settled[at[live]] = ~moving[at[live]]
     total = own.copy()
     np.add.at(total, dst, msg)
     return softmax(total)
@@ -276,7 +320,9 @@ class Graph:
 
 def train(rows: DataFrame, sample: int) -> str:
     """The field, fitted in one task on at most ``sample`` documents that may have nodes."""
-    some = rows.where(F.col("text").rlike("@|[0-9]{4}|[0-9][ ().-]{1,2}[0-9]")).withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id").limit(sample)
+    may = rows.where(F.col("text").rlike("@|[0-9]{4}|[0-9][ ().-]{1,2}[0-9]")).withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = may.select("h").orderBy("h").limit(sample).distinct()  # hashes only; texts travel once they are chosen
+    some = may.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
 
     def run(batches):
         graph = Graph()
