@@ -50,9 +50,11 @@ RANKED = f"""first AS (SELECT *, row_number() OVER (PARTITION BY {{keys}}, u ORD
 JUDGED_DOMAIN = f"""dom AS (SELECT *, CASE WHEN target IS NULL OR host = '' OR NOT (host = target OR ends_with(host, '.' || target)) THEN 'host' WHEN NOT ({PATH_OK}) THEN 'not_product_page' END AS reject
     FROM (SELECT *, {DOMAIN} AS target, lower({HOST.format(u='url')}) AS host FROM ranked))"""
 _LEV = "(1 - levenshtein(lower(string_split(title, ' ')[1]), lower(string_split(product_name, ' ')[1])) / greatest(length(string_split(title, ' ')[1]), length(string_split(product_name, ' ')[1])))"
+#: A title's brand is the product's own, another of the dictionary that is wholly different, or none that is known.
+_BRAND = "CASE WHEN contains(title, brand) THEN 'pass' WHEN starts_with(title, 'Quixotic ') THEN 'fail' ELSE 'unknown' END"
 _NUM = lambda c, i: f"TRY_CAST(regexp_extract({c}, '(\\d+) x (\\d+(?:\\.\\d+)?)ml', {i}) AS DOUBLE)"
 _CONFLICT = f"({_NUM('product_name', 1)} <> {_NUM('title', 1)} OR abs({_NUM('product_name', 2)} - {_NUM('title', 2)}) / greatest(abs({_NUM('product_name', 2)}), abs({_NUM('title', 2)}), 1e-9) > 0.1)"
-JUDGED = f"""v1 AS (SELECT *, CASE WHEN reject IS NULL THEN 'pass' ELSE 'fail' END AS v_domain, CASE WHEN reject IS NULL THEN CASE WHEN {_LEV} >= 0.88 THEN 'pass' WHEN {_LEV} <= 0.4 THEN 'fail' ELSE 'unknown' END END AS v_brand FROM dom),
+JUDGED = f"""v1 AS (SELECT *, CASE WHEN reject IS NULL THEN 'pass' ELSE 'fail' END AS v_domain, CASE WHEN reject IS NULL THEN {_BRAND} END AS v_brand FROM dom),
     v2 AS (SELECT *, CASE WHEN v_domain = 'pass' AND v_brand <> 'fail' THEN CASE WHEN {_NUM('product_name', 1)} IS NULL OR {_NUM('title', 1)} IS NULL THEN 'unknown' WHEN {_CONFLICT} THEN 'fail' ELSE 'pass' END END AS v_numeric FROM v1),
     v3 AS (SELECT *, coalesce(v_domain = 'pass' AND v_brand <> 'fail' AND coalesce(v_numeric, '') <> 'fail', false) AS alive FROM v2),
     v4 AS (SELECT *, CASE WHEN alive THEN row_number() OVER (PARTITION BY {{keys}}, alive ORDER BY rank) - 1 END AS llm_index FROM v3),
@@ -82,7 +84,7 @@ def _results(spark, d):
     )
 )
 def match_result_per_sku(spark, d):
-    return match.match_results(fx.sku_tasks(spark, d), _results(spark, d))
+    return match.match_results(fx.sku_tasks(spark, d), _results(spark, d), fx.brands(spark, d))
 
 
 @query(f"SELECT page_id, {clean_sql('u')} AS clean FROM (SELECT page_id, url || '?srsltid=a&keep=1&UTM_x=2#f' AS u FROM pages)")
@@ -116,7 +118,7 @@ def query_variants(spark, d):
 
 @query(fx.sql(steps(3, "row_index", "WHERE provider_rank = 0") + "SELECT row_index, rank, v_numeric, v_brand, v_domain FROM judged", "candidates"))
 def numeric_verdict(spark, d):
-    return match.judged(_results(spark, d), ["row_index"]).select("row_index", F.col("rank").cast("long").alias("rank"), "v_numeric", "v_brand", "v_domain")
+    return match.judged(_results(spark, d), fx.brands(spark, d), ["row_index"]).select("row_index", F.col("rank").cast("long").alias("rank"), "v_numeric", "v_brand", "v_domain")
 
 
 @query(
@@ -144,7 +146,7 @@ def brand_levenshtein(spark, d):
     )
 )
 def failure_kind(spark, d):
-    rows = match.judged(_results(spark, d), ["row_index"])
+    rows = match.judged(_results(spark, d), fx.brands(spark, d), ["row_index"])
     ok = lambda c: F.coalesce(F.col(c), F.lit("")) != "fail"
     per = rows.groupBy("row_index").agg(
         F.count("*").alias("n"),
@@ -161,7 +163,7 @@ def failure_kind(spark, d):
 
 def _attempts(spark, d):
     keys = ["row_index", "provider_rank"]
-    rows = match.judged(fx.candidates(spark, d).where("provider_rank = 1 OR website <> 'unlisted'"), keys)
+    rows = match.judged(fx.candidates(spark, d).where("provider_rank = 1 OR website <> 'unlisted'"), fx.brands(spark, d), keys)
     return rows.groupBy(*keys).agg(F.when(F.count_if(F.col("v_distinguishing") == "pass") > 0, "match").otherwise("no_match").alias("verdict")).select(*keys, F.element_at(F.array(F.lit("duckduckgo"), F.lit("serper")), F.col("provider_rank") + 1).alias("provider"), "verdict", F.lit("").alias("reason"))
 
 
@@ -180,12 +182,12 @@ def provider_chain(spark, d):
 
 @query(fx.sql(steps(3, "row_index", "WHERE provider_rank = 0") + "SELECT row_index, count(*) AS found, count_if(v_domain = 'pass') AS alive_after_domain, count_if(v_domain = 'pass' AND coalesce(v_brand, '') <> 'fail' AND coalesce(v_numeric, '') <> 'fail') AS alive_after_base FROM judged GROUP BY 1", "candidates"))
 def attempt_rollup(spark, d):
-    return views.attempt_rollup(match.judged(_results(spark, d), ["row_index"]), ["row_index"])
+    return views.attempt_rollup(match.judged(_results(spark, d), fx.brands(spark, d), ["row_index"]), ["row_index"])
 
 
 @query(fx.sql(steps(3, "row_index", "WHERE provider_rank = 0") + "SELECT layer, verdict, count(*) AS n FROM (SELECT unnest(['domain', 'brand', 'numeric', 'distinguishing']) AS layer, unnest([v_domain, coalesce(v_brand, 'none'), coalesce(v_numeric, 'none'), coalesce(v_distinguishing, 'none')]) AS verdict FROM judged) GROUP BY 1, 2", "candidates"))
 def layer_mix(spark, d):
-    return reports.layer_mix(match.judged(_results(spark, d), ["row_index"]))
+    return reports.layer_mix(match.judged(_results(spark, d), fx.brands(spark, d), ["row_index"]))
 
 
 @query(fx.sql(f"SELECT row_index, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS jaccard FROM (SELECT row_index, list(DISTINCT c) FILTER (provider_rank = 0) AS a, list(DISTINCT c) FILTER (provider_rank = 1) AS b FROM (SELECT row_index, provider_rank, {clean_sql('url')} AS c FROM candidates) GROUP BY 1)", "candidates"))
@@ -219,7 +221,7 @@ def country_regions(spark, d):
 
 @query(fx.sql(steps(3, "row_index", "WHERE provider_rank = 0") + "SELECT row_index, rank, coalesce(url = max(CASE WHEN v_distinguishing = 'pass' THEN url END) OVER (PARTITION BY row_index), false) AS is_matched FROM judged", "candidates"))
 def matched_flags(spark, d):
-    rows = match.judged(_results(spark, d), ["row_index"])
+    rows = match.judged(_results(spark, d), fx.brands(spark, d), ["row_index"])
     out = cand.flag_matched(rows.select("row_index", "rank", "url"), cand.task_results(rows.select("row_index").distinct(), rows, ["row_index"]), ["row_index"])
     return out.select("row_index", F.col("rank").cast("long").alias("rank"), "is_matched")
 

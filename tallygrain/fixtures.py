@@ -27,6 +27,12 @@ SKU_TASKS = """SELECT p_partkey AS row_index, p_brand || ' ' || p_name || ' ' ||
     CASE p_partkey % 4 WHEN 0 THEN 'tesco' WHEN 1 THEN 'argos' WHEN 2 THEN 'amazon.nl' ELSE 'unlisted' END AS website,
     CASE p_partkey % 3 WHEN 0 THEN 'uk' WHEN 1 THEN 'de' ELSE 'nl' END AS country, p_brand AS brand, p_size AS size FROM part"""
 
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand dictionary: the products' brands and one more."""
+    extra = spark.createDataFrame([("Quixotic",)], "brandname_en string")
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("brandname_en")).unionByName(extra)
+
+
 _URL = """CASE WHEN k % 5 = 4 THEN 'https://www.example.org/products/' || lpad({s}, 6, '0')
     WHEN website = 'tesco' THEN 'https://www.tesco.com/' || CASE WHEN k % 7 = 3 THEN 'gallery/' ELSE 'products/' END || lpad({s}, 6, '0')
     WHEN website = 'argos' THEN 'https://www.argos.co.uk/product/' || lpad({s}, 6, '0')
@@ -41,12 +47,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("k", F.col("result_idx") + F.col("query_idx") * 5 + F.col("provider_rank") * 3)
     rows = rows.withColumn("item", (F.col("row_index") * 7 + F.col("k") * 13) % 1000000)
     rows = rows.withColumn("url", F.expr(_URL.format(s="cast(item AS string)", k="cast(k AS string)")))
-    title = F.when(F.col("k") % 2 == 0, F.col("product_name")).otherwise(F.concat(F.lit("Brand#00 thing "), (1 + F.col("k") % 6).cast("string"), F.lit(" x "), (F.col("size") * 10 + F.col("k")).cast("string"), F.lit("ml")))
+    title = F.when(F.col("k") % 2 == 0, F.col("product_name")).otherwise(F.concat(F.when(F.col("k") % 4 == 1, "Quixotic thing ").otherwise("Brand#00 thing "), (1 + F.col("k") % 6).cast("string"), F.lit(" x "), (F.col("size") * 10 + F.col("k")).cast("string"), F.lit("ml")))
     return rows.select("row_index", "product_name", "website", "country", "brand", "size", "provider_rank", "query_idx", "result_idx", "k", title.alias("title"), "url")
 
 
 CANDIDATES = f"""SELECT row_index, product_name, website, country, brand, size, provider_rank, query_idx, result_idx, k,
-    CASE WHEN k % 2 = 0 THEN product_name ELSE 'Brand#00 thing ' || CAST(1 + k % 6 AS VARCHAR) || ' x ' || CAST(size * 10 + k AS VARCHAR) || 'ml' END AS title,
+    CASE WHEN k % 2 = 0 THEN product_name ELSE CASE WHEN k % 4 = 1 THEN 'Quixotic thing ' ELSE 'Brand#00 thing ' END || CAST(1 + k % 6 AS VARCHAR) || ' x ' || CAST(size * 10 + k AS VARCHAR) || 'ml' END AS title,
     {_URL.format(s="CAST(item AS VARCHAR)", k="CAST(k AS VARCHAR)")} AS url
     FROM (SELECT t.*, p.provider_rank, q.query_idx, r.result_idx, r.result_idx + q.query_idx * 5 + p.provider_rank * 3 AS k,
                  (row_index * 7 + (r.result_idx + q.query_idx * 5 + p.provider_rank * 3) * 13) % 1000000 AS item

@@ -8,6 +8,9 @@ scores can differ.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,19 +111,67 @@ def levenshtein_verdict(a: Column, b: Column, same: float = 0.88, differ: float
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), "unknown").when(score >= same, "pass").when(score <= differ, "fail").otherwise("unknown")
 
 
+class BrandIndex:
+    """Names that could score at or above a cutoff against a text, by blocking; only they are scored.
+
+    Of unequal lengths (half as long again and more) only the best window counts, at 0.9 at most: above 0.9 times 1 - 1 / n
+    that takes a window without any fault, so a name of n letters must stand in the text, or the text in it. Of like
+    lengths, what the two have in common is at most what their bags of letters share.
+    """
+
+    def __init__(self, names: tuple[str, ...], cutoff: float):
+        import ahocorasick
+
+        self.names, self.cutoff = names, cutoff
+        self.folded = [fold(n) for n in names]
+        self.bags = [Counter(f) for f in self.folded]
+        self.by_length: dict[int, list[int]] = {}
+        self.inside = ahocorasick.Automaton()
+        for i, f in enumerate(self.folded):
+            self.by_length.setdefault(len(f), []).append(i)
+            self.inside.add_word(f, self.inside.get(f, []) + [i])
+        if names:
+            self.inside.make_automaton()
+        #: From this length on, one fault in a window still reaches the cutoff.
+        self.faulty = 90 / (90 - cutoff) if cutoff < 90 else float("inf")
+
+    def options(self, text: str) -> set[int]:
+        n = len(text)
+        found = {i for _, own in self.inside.iter(text) for i in own if n < 8 * len(self.folded[i]) or n == len(self.folded[i])}
+        bag = Counter(text)
+        for length, own in self.by_length.items():
+            short, long = sorted((n, length))
+            if long < 1.5 * short:
+                found |= {i for i in own if 200 * (bag & self.bags[i]).total() >= self.cutoff * (n + length) or " " in text or " " in self.folded[i]}
+            elif length > n and long <= 8 * short:
+                found |= {i for i in own if text in self.folded[i]}
+            if long <= 8 * short and short >= self.faulty:
+                found |= {*own}
+        return found
+
+    def nearest(self, text: str) -> str | None:
+        if not text or not self.names:
+            return None
+        options = range(len(self.names)) if self.cutoff < 86 else self.options(text)
+        best = max(((weighted_ratio(text, self.folded[i]), -i) for i in options), default=(0, 0))
+        return self.names[-best[1]] if best[0] >= self.cutoff else None
+
+
+@functools.cache  # a Python worker serves many batches
+def brand_index(names: tuple[str, ...], cutoff: float) -> BrandIndex:
+    return BrandIndex(names, cutoff)
+
+
 def nearest_brand(brands: list[str], cutoff: float = config.FUZZY_SAME):
-    """A function from a text column to the nearest brand at or above the cutoff, or null."""
-    names = fuzzy_safe(brands)
-    folded = [fold(b) for b in names]
+    """A function from a text column to the nearest brand at or above the cutoff, or null; the first of equals."""
+    names = tuple(fuzzy_safe(brands))
 
     @F.pandas_udf(T.StringType())
     def nearest(text: pd.Series) -> pd.Series:
-        def one(t):
-            f = fold(t) if t else ""
-            best = max(((weighted_ratio(f, b), -i) for i, b in enumerate(folded)), default=(0, 0))
-            return names[-best[1]] if best[0] >= cutoff and names else None
-
-        return text.map(one)
+        index = brand_index(names, cutoff)
+        folded = text.map(lambda t: fold(t) if t else "")
+        told = {f: index.nearest(f) for f in folded.unique()}
+        return folded.map(told)
 
     return nearest
 
@@ -129,7 +180,7 @@ def extract_brands(text: Column, brands: list[str], supplied: Column | None = No
     """Supplied, else all literal, else the nearest, else a leading word in capitals."""
     none = F.array().cast("array<string>")
     literal = literal_brands(text, brands)
-    near = nearest_brand(brands)(text)
+    near = nearest_brand(brands)(F.when(F.size(literal) <= 0, text))  # only where nothing stands in the text as it is
     found = F.when(F.coalesce(text, F.lit("")) == "", none).when(F.size(literal) > 0, literal).when(near.isNotNull(), F.array(near)).otherwise(leading_token(text))
     if supplied is None:
         return found

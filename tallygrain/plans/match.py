@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.quantity import compare_numerics
-from tallygrain.functions.fuzzy import levenshtein_verdict
+from tallygrain.functions.fuzzy import compare_brands_exact_first, extract_brands
+from tallygrain.functions.quantity import compare_numerics, extract_numerics
+from tallygrain.functions.text import load_brands
 from tallygrain.operators import candidates as ops
 
 
-def simple_numerics(title: Column) -> Column:
-    """count and volume of 'N x M ml' titles, as a map, in the JVM only."""
-    p = r"(\d+) x (\d+(?:\.\d+)?)ml"
-    pairs = F.array(F.struct(F.lit("count").alias("k"), F.regexp_extract(title, p, 1).try_cast("double").alias("v")), F.struct(F.lit("volume_ml").alias("k"), F.regexp_extract(title, p, 2).try_cast("double").alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+def judged(results: DataFrame, brands: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranked candidates with all verdicts; the offline last layer takes the first that is alive.
 
-
-def judged(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranked candidates with all verdicts; the offline last layer takes the first that is alive."""
-    ranked = ops.domain_verdicts(ops.rank_candidates(results, keys))
-    brand = levenshtein_verdict(F.substring_index("title", " ", 1), F.substring_index("product_name", " ", 1))
-    numeric = compare_numerics(simple_numerics(F.col("product_name")), simple_numerics(F.col("title")))
+    brands: the dictionary, in the column brandname_en. Titles of candidates that the domain layer refused are not read.
+    """
+    rows = ops.domain_verdicts(ops.rank_candidates(results, keys))
+    title = F.when(F.col("v_domain") == "pass", F.col("title"))
+    names = load_brands(brands)
+    brand = compare_brands_exact_first(extract_brands(F.when(F.col("v_domain") == "pass", F.col("product_name")), names, F.col("brand")), extract_brands(title, names))
+    numeric = compare_numerics(extract_numerics(F.when(F.col("v_domain") == "pass", F.col("product_name")), F.col("country")), extract_numerics(title, F.col("country")))
     b, n, alive = ops.base_verdicts(brand, numeric, F.col("v_domain"))
-    rows = ranked.withColumn("v_brand", b).withColumn("v_numeric", n).withColumn("alive", F.coalesce(alive, F.lit(False)))
+    rows = rows.withColumn("v_brand", b).withColumn("v_numeric", n).withColumn("alive", F.coalesce(alive, F.lit(False)))
     rows = ops.llm_index(rows, keys)
     return rows.withColumn("v_distinguishing", F.when(F.col("alive"), F.when(F.col("llm_index") == 0, "pass").otherwise("fail")))
 
 
-def match_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+def match_results(tasks: DataFrame, results: DataFrame, brands: DataFrame) -> DataFrame:
     """The matched URL, or the deepest trace, of every product over one provider's results."""
-    return ops.task_results(tasks.select("row_index", "product_name", "website"), judged(results, ["row_index"]), ["row_index"])
+    return ops.task_results(tasks.select("row_index", "product_name", "website"), judged(results, brands, ["row_index"]), ["row_index"])
