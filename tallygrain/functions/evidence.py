@@ -410,3 +410,14 @@ def distrusted(price: Column, list_price: Column, member: Column, raw_availabili
         .when((kind == "membership") & member.isNull(), "missed_membership")
         .when((kind == "discount") & list_price.isNull(), "missed_discount")
     )
+
+
+def page_titles(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """url and canonical title of every page."""
+
+    def run(batches):
+        for batch in batches:
+            htmls = [h or "" for h in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([page_title(Tree(h).root, h) for h in htmls], pa.string())], ["url", "title"])
+
+    return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "url string, title string")

@@ -147,3 +147,14 @@ def json_lines(df: DataFrame, column: str = "body") -> DataFrame:
     items = F.when(body.startswith("["), F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")).when(first.isNotNull(), lines).otherwise(F.array(F.try_parse_json(body)))
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.posexplode(items).alias("pos", "record")).where("record is not null")
+
+
+def unknown_keys(document: Column, known: list[str]) -> Column:
+    """Keys of a JSON object that are not among the known ones, sorted."""
+    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")), F.array(*map(F.lit, known))))
+
+
+def flattened(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """JSON records as columns beside the others; fields that a record lacks are null."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.from_json(column, schema).alias("_record")).select(*rest, "_record.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +98,20 @@ def traced(df: DataFrame, site: str, version: str, as_of: Column) -> DataFrame:
 
 def version_stamp(at: Column) -> Column:
     return F.concat(F.lit("cs_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+#: Makers of chat clients: provider -> function(model, temperature, thinking); a client is made once for each setting.
+CLIENTS: dict[str, Callable] = {}
+_made: dict[tuple, object] = {}
+
+
+def chat_client(model: str, temperature: float = 0.1, thinking: bool = False):
+    """The client of a model's provider - the one before the slash, else the one that lists it, else the default."""
+    name, _, bare = model.rpartition("/")
+    provider = name if name in config.MODEL_PROVIDERS else next((p for p, models in config.MODEL_PROVIDERS.items() if model in models), config.DEFAULT_PROVIDER)
+    if provider not in CLIENTS:
+        raise KeyError(f"no client is registered for {provider}")
+    key = provider, bare if name == provider else model, temperature, thinking
+    if key not in _made:
+        _made[key] = CLIENTS[provider](*key[1:])
+    return _made[key]

@@ -95,3 +95,30 @@ def skipped_events(attempts: DataFrame, reached: DataFrame, nodes: list[str]) ->
 
 def provider_comparison(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("provider").agg(F.count("*").alias("attempts"), F.round(F.avg("alive_after_domain"), 2).alias("avg_alive"), F.sum((F.col("verdict") == "match").cast("int")).alias("matched"))
+
+
+def stage_events(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """One event for each node of each attempt, from its judged candidates: how many went in and came out, and how it ended.
+
+    A node that nothing came to is skipped; a search that found nothing warns; a website without a host is an error.
+    """
+    passed = lambda c: F.coalesce(F.col(c), F.lit("")) == "pass"
+    kept = lambda c: F.coalesce(F.col(c), F.lit("")) != "fail"
+    base = passed("v_domain") & kept("v_brand") & kept("v_numeric")
+    per = candidates.groupBy(*keys).agg(F.count("rank").alias("n0"), F.count_if(passed("v_domain")).alias("n1"), F.count_if(base).alias("n2"), F.count_if(passed("v_distinguishing")).alias("n3"), F.any_value("target").alias("target"))
+    steps = (("search", F.lit(0).cast("long"), "n0"), ("domain_filter", F.col("n0"), "n1"), ("base_match", F.col("n1"), "n2"), ("distinguishing", F.col("n2"), "n3"))
+    events = []
+    for i, (node, n_in, out) in enumerate(steps):
+        skipped = F.lit(False) if not i else n_in == 0
+        status = F.when(skipped, "skipped").when(F.lit(node == "domain_filter") & F.col("target").isNull(), "error").when(F.lit(not i) & (F.col(out) == 0), "warning").otherwise("ok")
+        events.append(F.struct(F.lit(i + 1).cast("long").alias("seq"), F.lit(node).alias("node"), n_in.alias("candidates_in"), F.col(out).alias("candidates_out"), status.alias("status")))
+    return per.select(*keys, F.explode(F.array(*events)).alias("e")).select(*keys, "e.*")
+
+
+def run_scopes(marks: DataFrame) -> DataFrame:
+    """Each run's status from its marks (run_id, seq, mark): running until the first of completed, failed and interrupted;
+    what is marked after that does not count. Tasks done are those marked before."""
+    end = F.col("mark").isin("completed", "failed", "interrupted")
+    per = marks.groupBy("run_id").agg(F.min(F.when(end, F.struct("seq", "mark"))).alias("end"))
+    done = marks.join(per, "run_id").where((F.col("mark") == "task_done") & (F.col("end").isNull() | (F.col("seq") < F.col("end.seq")))).groupBy("run_id").agg(F.count("*").alias("n_done"))
+    return per.join(done, "run_id", "left").select("run_id", F.coalesce("end.mark", F.lit("running")).alias("status"), F.coalesce("n_done", F.lit(0)).alias("n_done"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallygrain import config
+from tallygrain.functions.detect import poll_state
 from tallygrain.functions.text import cell
 from tallygrain.functions.urls import hostname
 
@@ -184,3 +185,31 @@ def run_parsers(pages: DataFrame, names: list[str]) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string()))], ["url", "position", "parser", "ok", "output", "error"])
 
     return pages.select("url", "html").mapInArrow(run, "url string, position int, parser string, ok boolean, output string, error string")
+
+
+def poll_outcomes(polls: DataFrame, deadline: int) -> DataFrame:
+    """How each job's polling ended, from its recorded polls (job_id, at, status): ready or failed at the first such state by
+    the deadline (seconds from the start), auth_error where access was refused, else timeout; and how many polls it took.
+
+    Polls after the end do not count, and none triggers the job again.
+    """
+    state = F.when(F.lower("status").isin("unauthorized", "forbidden"), "auth_error").otherwise(poll_state(F.col("status")))
+    own = polls.where(F.col("at") <= deadline).withColumn("state", state)
+    per = own.groupBy("job_id").agg(F.min(F.when(F.col("state") != "pending", F.struct("at", "state"))).alias("end"), F.sort_array(F.collect_list("at")).alias("times"))
+    took = F.size(F.filter("times", lambda t: F.col("end").isNull() | (t <= F.col("end.at"))))
+    known = polls.select("job_id").distinct().join(per, "job_id", "left")
+    return known.select("job_id", F.coalesce("end.state", F.lit("timeout")).alias("outcome"), F.coalesce(F.when(F.col("times").isNotNull(), took), F.lit(0)).cast("long").alias("polls"))
+
+
+def zipped(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows with what other stages made of them, side by side by row_index; a row that a stage lacks has nulls there."""
+    for other in others:
+        rows = rows.join(other, "row_index", "left")
+    return rows
+
+
+def sandbox_outcome(ok: Column, output: Column, error: Column, fault: Column) -> Column:
+    """struct(ok, value, error_type, message) of a parser's run: a violation found in its source, a timeout, another exception,
+    or its value."""
+    kind = F.when(fault.isNotNull(), "Violation").when(ok, None).when(error.startswith("TimeoutError"), "Timeout").otherwise("Exception")
+    return F.struct(kind.isNull().alias("ok"), F.when(kind.isNull(), output).alias("value"), kind.alias("error_type"), F.when(kind == "Violation", fault).when(kind.isNotNull(), error).alias("message"))

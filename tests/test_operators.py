@@ -220,3 +220,20 @@ def test_model_calls(spark):
     assert {r.url: (r.state, r.fields) for r in repair.review_rounds(cases, answers).collect()} == {"a": ("accepted", []), "b": ("open", ["title"]), "c": ("open", [])}
     assert [r[0] for r in spark.createDataFrame([(" N/A ",), (" x ",), ("-",)], "v string").select(repair.correction(F.col("v"))).collect()] == [None, "x", None]
     assert spark.range(1).select(repair.version_stamp(F.lit(at(1))).alias("x")).first().x == "cs_20240101_000001"
+
+
+def test_chat_clients_are_made_once():
+    from tallygrain.operators import repair
+
+    made = []
+    repair.CLIENTS.update(qwen=lambda *a: made.append(a) or a, deepseek=lambda *a: ("deepseek", *a))
+    try:
+        first = repair.chat_client("qwen/other", 0.2)
+        assert first is repair.chat_client("qwen/other", 0.2) and made == [("other", 0.2, False)]
+        assert repair.chat_client("deepseek-v4-pro")[0] == "deepseek" and repair.chat_client("unheard-of", 0.2) == ("unheard-of", 0.2, False)
+        del repair.CLIENTS["deepseek"]
+        with pytest.raises(KeyError):
+            repair.chat_client("deepseek-v4-pro", 0.9)
+    finally:
+        repair.CLIENTS.clear()
+        repair._made.clear()
