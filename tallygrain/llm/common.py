@@ -3,37 +3,24 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrain.session import shared_dir
+
 #: Spark's xxhash64 uses this seed; functions that hash in Python use it too, so both sides agree.
 SEED = 42
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one in local mode where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + os.path.join(tempfile.gettempdir(), f"tallygrain-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = shared_dir(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

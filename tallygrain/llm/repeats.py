@@ -13,7 +13,8 @@ A byte goes when it lies in a ``width``-byte string that also starts in a docume
 3. Chunks mark what a smaller document has, and tell the rest.
 
 A key with many occurrences is its own destination, one with very many sends each window by a hash of all its bytes, and
-what still comes to much in one place is merged there in lots, by key: no group has to fit in memory as a whole.
+what still comes to much in one place is merged there in lots, by key. A task holds the asks of its own partition: each distinct
+stretch once, and a number for each time that a chunk asks for it.
 
 Defined cases: a null text is empty; a document shorter than ``width`` bytes loses nothing; a row with a null doc_id counts
 as larger than every document and takes nothing from others; rows that share a doc_id take nothing from each other; an

@@ -123,12 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, learn, label_col: str, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(pick), "label_id").select("label_id", "label_y", "text")
 
     def run(batches):
-        got: dict[int, tuple[int, np.ndarray]] = {}
+        got: dict[int, tuple[str, int, np.ndarray]] = {}
         for batch in batches:
-            for i, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                got.setdefault(i, (y, features(text.as_py())))
+            for i, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if i not in got or (text or "") < got[i][0]:  # of rows that share an id, the smallest text
+                    got[i] = text or "", y, features(text)
         ids = sorted(got)  # so that the order of arrival does not matter
-        model = fit([got[i][1] for i in ids], np.array([got[i][0] for i in ids], int), (row.a, row.b), z_least, l2, steps)
+        model = fit([got[i][2] for i in ids], np.array([got[i][1] for i in ids], int), (row.a, row.b), z_least, l2, steps)
         at = np.flatnonzero(model.weights)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(model.weights[at].astype(float), model.bias))], ["feature", "weight"])
 
