@@ -30,7 +30,6 @@ PACK_AFTER = ["pack", "pk", "pcs", "count", "er pack", "stück", "stueck", "stk"
 PACK_BEFORE = ["pack of", "pk of", "packung mit", "set mit", "doos van", "set van", "pak van", "lot de", "paquet de", "pack de", "boîte de", "boite de"]
 INCH_WORDS = ["inch", "inches", "zoll", "pouces", "pouce"]
 ABV_WORDS = ["abv", "vol", "vol.", "alc", "alc.", "alk", "alk.", "alcohol", "alkoholgehalt"]
-UNIT_CASE = {"g": "g", "gb": "GB", "mb": "MB", "mm": "mm", "tb": "TB"}
 NETWORK_GENERATIONS = [2, 3, 4, 5]
 DEVICE_WORDS = ["phone", "smartphone", "mobile", "sim", "lte", "android", "galaxy", "iphone", "смартфон", "lens", "camera", "af-s", "nikkor", "dslr"]
 # Unit -> factor to the attribute's base unit.
@@ -45,7 +44,6 @@ UNIT_CONVERSIONS = {
     "charge_mah": {"milliampere-hour": 1, "ampere-hour": 1000},
 }
 UNIT_CONVERSIONS["ram_gb"] = dict(UNIT_CONVERSIONS["storage_gb"])
-ENTITY_TO_ATTR = {"volume": "volume_ml", "mass": "weight_g", "data storage": "storage_gb", "length": "length_mm", "power": "power_w", "electric potential": "voltage_v", "charge": "charge_mah"}
 DISCRETE_ATTRS = ["storage_gb", "ram_gb", "count", "screen_inch", "voltage_v", "abv_percent", "power_w"]
 AMBIGUITY_RULES = {
     "ram": "ram_gb", "memory": "ram_gb", "memory card": "storage_gb", "storage": "storage_gb", "rom": "storage_gb", "ssd": "storage_gb",
@@ -94,7 +92,6 @@ LLM_ROUTES = {"qwen": "https://dashscope.aliyuncs.com/compatible-mode/v1", "deep
 MODEL_PROVIDERS = {"qwen": ("qwen3.7-plus", "qwen-3.7-plus", "qwen3.7-flash"), "deepseek": ("deepseek-v4-flash", "deepseek-v4-pro")}
 DEFAULT_PROVIDER = "qwen"
 # Words of price evidence.
-PRICE_WORDS = ["was", "rrp", "save", "off", "now", "regular price", "clubcard", "prime", "member", "loyalty", "会员", "原价", "现价", "优惠", "reduced", "clearance", "our price", "list price", "msrp", "uvp", "discount", "special price", "offer price", "promotion"]
 LABEL_WORDS = ["was", "rrp", "save", "now", "from", "only", "regular", "clubcard", "prime", "member", "price", "offer"]
 CROSS_SELL_WORDS = ["recommend", "related", "similar", "carousel", "also-bought", "alsobought", "alternatives", "essential-extras", "essentialextras", "product-card", "productcard", "sponsored", "rail", "you-may-also", "customers-also", "frequently-bought", "compare-with", "cross-sell", "crosssell", "upsell", "bundle"]
 ZERO_DECOYS = ["basket-guide-price", "guide-price", "price-value", "widget-price", "basket-price"]
