@@ -6,7 +6,9 @@ postings of its own nearest pivots, ranks what it met by the footrule distance o
 that one side lacks counts as if it stood at the end of the prefix), and the nearest few by footrule, with all that tie
 with the last of them, are reranked by the exact inner product on the original vectors.
 
-Shards of postings live in a written table of the shared folder; a search streams them past a bounded chunk of queries.
+Shards of postings and blocks of queries are tables in the shared folder; every block meets every shard, and each pair tells the
+block's queries their best of the shard. A query reads 48 of a shard's 512 posting lists, 4.5 postings a vector, and reranks a
+fourteenth of the shard.
 
 Defined cases: rows with a null id, or a vector that is null, zero, or holds null or non-finite components take no part;
 vectors of unequal length are never compared; rows that repeat a vec_id count once; an empty table gives no rows; other
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.llm.common import Scratch
-from tallygrain.llm.vectors import best, matrices, nearest_first, query_chunks, usable
+from tallygrain.llm.vectors import best, block_of, each_pair, matrices, nearest_first, pack_rows, query_blocks, usable
 
 SHARD = "dim int, ids binary, vecs binary, starts binary, posted binary, places binary"
 SCHEMA = "query_id long, vec_id long, score double"
@@ -57,58 +59,61 @@ def order(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest ``prefix`` pivots of each row, nearest first, ties to the smaller pivot number."""
     near = -(unit(m) @ pivots.T)
     prefix = min(prefix, near.shape[1])
+    if prefix < near.shape[1]:
+        # all that tie with the last one are ranked, the others not
+        cut = np.partition(near, prefix - 1, axis=1)[:, prefix - 1 : prefix]
+        near = np.where(near <= cut, near, np.inf)
     return np.argsort(near, axis=1, kind="stable")[:, :prefix]
 
 
 def build(batches: Iterator[pa.RecordBatch], pivots: dict, prefix: int, shard: int):
-    for batch in batches:
-        for ids, m in matrices(batch):
-            p = pivots.get(m.shape[1])
-            for a in range(0, len(ids), shard):
-                own, rows = ids[a : a + shard], m[a : a + shard]
-                if p is None:  # no pivot of this length was sampled: one pivot-less list holds all
-                    flat, places, starts = np.arange(len(own), dtype=np.int32), np.zeros(len(own), np.uint8), np.array([0, len(own)], np.int32)
-                else:
-                    perm = order(rows, p, prefix)
-                    by = np.argsort(perm.reshape(-1), kind="stable")
-                    flat = (by // perm.shape[1]).astype(np.int32)
-                    places = (by % perm.shape[1]).astype(np.uint8)
-                    starts = np.searchsorted(perm.reshape(-1)[by], np.arange(len(p) + 1)).astype(np.int32)
-                values = [[m.shape[1]], [own.astype(np.int64).tobytes()], [rows.tobytes()], [starts.tobytes()], [flat.tobytes()], [places.tobytes()]]
-                yield pa.record_batch([pa.array(values[0], pa.int32()), *(pa.array(v, pa.binary()) for v in values[1:])], ["dim", "ids", "vecs", "starts", "posted", "places"])
-
-
-def search(batches: Iterator[pa.RecordBatch], chunk: dict, pivots: dict, prefix: int, k: int, share: float, least: int):
-    prefixes = {d: order(m, pivots[d], prefix) if d in pivots else None for d, (_, m) in chunk.items()}
-    for batch in batches:
-        for row in batch.to_pylist():
-            d = row["dim"]
-            if d not in chunk:
-                continue
-            ids = np.frombuffer(row["ids"], np.int64)
-            vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(ids), d)
-            starts, posted = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["posted"], np.int32)
-            left = prefix - np.frombuffer(row["places"], np.uint8).astype(np.int16)
-            count = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-            got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for n, (qid, q) in enumerate(zip(*chunk[d])):
-                if prefixes[d] is None:
-                    at = np.arange(len(ids))
-                else:
-                    # half of how far the footrule falls below that of sharing no pivot:
-                    # (2 * prefix - a - b - |a - b|) / 2 for a pivot at places a and b
-                    gain = np.zeros(len(ids), np.int16)
-                    for place, p in enumerate(prefixes[d][n]):
-                        s = slice(starts[p], starts[p + 1])
-                        gain[posted[s]] += np.minimum(left[s], np.int16(prefix - place))
-                    # all that tie at the cut stay: copies have one gain, and which of them are wanted only their ids tell
-                    at = np.flatnonzero(gain >= np.partition(gain, len(ids) - count)[len(ids) - count])
-                at = at[ids[at] != qid]
-                score = (vecs[at] * q).sum(axis=1)
-                top = best(ids[at], score, k)
-                got.append((np.full(len(top), qid), ids[at][top], score[top]))
-            if got:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*got)], ["query_id", "vec_id", "score"])
+    def make(d: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        p = pivots.get(d)
+        if p is None:  # no pivot of this length was sampled: one pivot-less list holds all
+            flat, places, starts = np.arange(len(ids), dtype=np.int32), np.zeros(len(ids), np.uint8), np.array([0, len(ids)], np.int32)
+        else:
+            perm = order(rows, p, prefix)
+            by = np.argsort(perm.reshape(-1), kind="stable")
+            flat = (by // perm.shape[1]).astype(np.int32)
+            places = (by % perm.shape[1]).astype(np.uint8)
+            starts = np.searchsorted(perm.reshape(-1)[by], np.arange(len(p) + 1)).astype(np.int32)
+        blobs = [ids.astype(np.int64), rows.astype(np.float64), starts, flat, places]
+        return pa.record_batch([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["dim", "ids", "vecs", "starts", "posted", "places"])
+
+    return pack_rows(batches, shard, make)
+
+
+def search(batches: Iterator[pa.RecordBatch], pivots: dict, prefix: int, k: int, share: float, least: int):
+    for row in each_pair(batches):
+        d = row["dim"]
+        if d != row["q_dim"]:
+            continue
+        qids, queries = block_of(row)
+        ids = np.frombuffer(row["ids"], np.int64)
+        vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(ids), d)
+        starts, posted = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["posted"], np.int32)
+        left = prefix - np.frombuffer(row["places"], np.uint8).astype(np.int32)
+        count = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+        prefixes = order(queries, pivots[d], prefix) if d in pivots else None
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, (qid, q) in enumerate(zip(qids, queries)):
+            if prefixes is None:
+                at = np.arange(len(ids))
+            else:
+                # half of how far the footrule falls below that of sharing no pivot:
+                # (2 * prefix - a - b - |a - b|) / 2 for a pivot at places a and b
+                lists = [slice(starts[p], starts[p + 1]) for p in prefixes[n]]
+                met = np.concatenate([posted[s] for s in lists])
+                worth = np.concatenate([np.minimum(left[s], prefix - place) for place, s in enumerate(lists)])
+                gain = np.bincount(met, worth, len(ids))
+                # all that tie at the cut stay: copies have one gain, and which of them are wanted only their ids tell
+                at = np.flatnonzero(gain >= np.partition(gain, len(ids) - count)[len(ids) - count])
+            at = at[ids[at] != qid]
+            score = (vecs[at] * q).sum(axis=1)
+            top = best(ids[at], score, k)
+            got.append((np.full(len(top), qid), ids[at][top], score[top]))
+        if got:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*got)], ["query_id", "vec_id", "score"])
 
 
 def ann_topk(
@@ -117,11 +122,11 @@ def ann_topk(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    pivots: int = 128,
-    prefix: int = 64,
+    pivots: int = 512,
+    prefix: int = 48,
     sample: int = 4096,
     shard: int = 8192,
-    share: float = 0.1,
+    share: float = 0.07,
     least: int = 512,
     seed: int = 7,
 ) -> DataFrame:
@@ -132,11 +137,8 @@ def ann_topk(
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     fitted = fit_pivots(rows, pivots, sample, seed)
-    index = Scratch(spark, "permutation-index").save(rows.mapInArrow(lambda it: build(it, fitted, prefix, shard), SHARD), "shards")
-    out = None
-    for chunk in query_chunks(rows.where(query_of(F.col("id")))):
-        found = index.mapInArrow(lambda it, c=chunk: search(it, c, fitted, prefix, k, share, least), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], SCHEMA)
-    return nearest_first(out, k)
+    scratch = Scratch(spark, "permutation-index")
+    index = scratch.save(rows.mapInArrow(lambda it: build(it, fitted, prefix, shard), SHARD), "shards")
+    blocks = query_blocks(rows.where(query_of(F.col("id"))), scratch)
+    pairs = index.crossJoin(blocks)  # a stated query set, in blocks; lengths are told apart in the task, as most are one
+    return nearest_first(pairs.mapInArrow(lambda it: search(it, fitted, prefix, k, share, least), SCHEMA), k)

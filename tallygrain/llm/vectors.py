@@ -1,4 +1,4 @@
-"""What the two vector searches share: which rows take part, query sets in bounded chunks, and the final merge."""
+"""What the two vector searches share: which rows take part, query sets in bounded blocks, and the final merge."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A chunk of the query set is broadcast; its vectors never take more than this many bytes.
-QUERY_BYTES = 32 << 20
+from tallygrain.llm.common import Scratch, partitions_for
+
+#: The vectors of a block of queries take about this many bytes.
+QUERY_BYTES = 8 << 20
+BLOCK = "q_dim int, q_ids binary, q_vecs binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -34,20 +37,50 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[at], flat[(ends[at][:, None] + np.arange(d)).reshape(-1)].reshape(len(at), d)
 
 
-def query_chunks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The query set by vector length, chunk after chunk; each holds at most QUERY_BYTES of vectors.
+def pack_rows(batches: Iterator[pa.RecordBatch], most: int, make) -> Iterator[pa.RecordBatch]:
+    """``make(dim, ids, matrix)`` for each run of at most ``most`` rows of one vector length."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for ids, m in matrices(batch):
+            own = held.setdefault(m.shape[1], [])
+            own.append((ids, m))
+            if sum(len(i) for i, _ in own) >= most:
+                ids, m = (np.concatenate(x) for x in zip(*own))
+                for a in range(0, len(ids) - len(ids) % most, most):
+                    yield make(m.shape[1], ids[a : a + most], m[a : a + most])
+                held[m.shape[1]] = [(ids[len(ids) - len(ids) % most :], m[len(ids) - len(ids) % most :])]
+    for d, own in held.items():
+        ids, m = (np.concatenate(x) for x in zip(*own))
+        if len(ids):
+            yield make(d, ids, m)
+
+
+def query_blocks(queries: DataFrame, scratch: Scratch) -> DataFrame:
+    """The query set as a table of blocks in the shared folder, each of one vector length; nothing of it comes to the driver.
 
     Rows that repeat an id count once: the smallest vector in array order stays.
     """
-    once = queries.groupBy("id").agg(F.min("vec").alias("vec"))
+    once = scratch.save(queries.groupBy("id").agg(F.min("vec").alias("vec")), "queries")
     total = once.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // QUERY_BYTES)) if total > QUERY_BYTES else 1
-    for k in range(n):
-        part = once.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) if n > 1 else once
-        table = part.toArrow()
-        if not table.num_rows:
-            continue
-        yield {m.shape[1]: (ids, m) for b in table.combine_chunks().to_batches() for ids, m in matrices(b)}
+
+    def make(d: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([d], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.astype(np.float64).tobytes()], pa.binary())], ["q_dim", "q_ids", "q_vecs"])
+
+    dealt = once.repartition(partitions_for(total, QUERY_BYTES), "id")
+    return scratch.save(dealt.mapInArrow(lambda it: pack_rows(it, 1 << 20, make), BLOCK), "blocks")
+
+
+def block_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A block's query ids and vectors."""
+    ids = np.frombuffer(row["q_ids"], np.int64)
+    return ids, np.frombuffer(row["q_vecs"], np.float64).reshape(len(ids), row["q_dim"])
+
+
+def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of a shard and a block, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def nearest_first(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
