@@ -1,17 +1,19 @@
 """Exact top-k inner-product search by branch and bound over a vertical (dimension-major) layout.
 
-A pass holds one bounded chunk of queries in every task and streams the vectors past it, so vectors are never
-shuffled. A block of vectors is turned to dimension-major order; partial products accumulate one block of dimensions
-after another, and after each the survivors are compacted to those whose bound - partial product plus the product of
-the remaining norms - still reaches the query's k-th best.
+Vectors are written once to the shared folder in shards of whole numbers, dimension by dimension, with the norms that remain
+after each block of dimensions; queries in blocks of bounded size beside them. Every block meets every shard, and nothing else
+moves. Partial products accumulate one block of dimensions after another, and after each the survivors are compacted to those
+whose bound - partial product plus the product of the remaining norms - still reaches the query's k-th best of the shard.
 
 Defined cases: rows with a null id, a null vector or a null or non-finite component take no part; vectors of unequal
 length are never compared; rows that repeat a vec_id count once, with their best score; an empty table gives no rows;
-other columns are ignored, whatever their names. Scores beyond the range of a long saturate.
+other columns are ignored, whatever their names. Where sums could leave what doubles hold exactly, whole integers of any size
+are used, however large a finite component is. Scores beyond the range of a long saturate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,31 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.llm.vectors import best, matrices, nearest_first, query_chunks, usable
+from tallygrain.llm.common import Scratch
+from tallygrain.llm.vectors import best, block_of, each_pair, nearest_first, pack_rows, query_blocks, usable
 
 SCHEMA = "query_id long, vec_id long, score long"
+SHARD = "dim int, ids binary, kind string, columns binary, rests binary"
 #: Sums of integers in float64 are exact below this.
 EXACT = float(1 << 53)
 
 
+def whole(x: float, scale: float) -> int:
+    """floor(scale * x) as an integer of any size; a double of 2 ** 53 and more is a whole number itself."""
+    return math.floor(x * scale) if abs(x) < EXACT else int(x) * int(scale)
+
+
 def quantised(m: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(m * scale)
+    with np.errstate(over="ignore"):
+        return np.floor(m * scale)
 
 
 class Query:
-    """One query's vector, its remaining norms, and the best k found so far in this task."""
+    """One query's vector, its remaining norms, and the best k of a shard."""
 
     def __init__(self, qid: int, q: np.ndarray, cuts: list[int], k: int):
         self.id, self.q, self.k = qid, q, k
         self.rest = [float(np.sqrt(np.dot(q[c:], q[c:]))) for c in cuts[1:]]
         self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.float64)
 
-    @property
-    def floor(self) -> float:
-        return self.scores.min() if len(self.ids) == self.k else -np.inf
-
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
         at = best(ids, scores, self.k)
         self.ids, self.scores = ids[at], scores[at]
 
@@ -60,8 +65,8 @@ def search_block(query: Query, ids: np.ndarray, columns: np.ndarray, rests: np.n
             break
         slack = query.rest[j] * rests[j, alive]
         slack += 1e-9 * (np.abs(part) + slack)  # rounding of the norms
-        floor = query.floor
-        if len(part) > query.k:  # what k vectors are sure to reach also bounds from below
+        floor = -np.inf
+        if len(part) > query.k:  # what k vectors are sure to reach bounds from below
             low = part - slack
             ids_low = np.argpartition(low, len(low) - query.k)[len(low) - query.k :]
             if len(np.unique(ids[alive[ids_low]])) == query.k:
@@ -74,40 +79,64 @@ def search_block(query: Query, ids: np.ndarray, columns: np.ndarray, rests: np.n
     query.add(ids[alive], part)
 
 
-def search(batches: Iterator[pa.RecordBatch], chunk: dict, k: int, scale: float, block: int, dims: int):
-    """Each query's k best among the batches, by branch and bound where float64 sums are exact, else with whole integers."""
-    state: dict[int, list[Query]] = {}
-    cuts_of = {d: [*range(0, d, dims), d] if d else [0, 0] for d in chunk}
-    for batch in batches:
-        for ids, m in matrices(batch):
-            d = m.shape[1]
-            if d not in chunk:
-                continue
-            cuts = cuts_of[d]
-            if d not in state:
-                state[d] = [Query(int(i), quantised(q, scale), cuts, k) for i, q in zip(*chunk[d])]
-            most_q = max((np.abs(q.q).max(initial=0) for q in state[d]), default=0)
-            for a in range(0, len(ids), block):
-                columns = np.ascontiguousarray(quantised(m[a : a + block], scale).T)
-                own = ids[a : a + block]
-                if np.abs(columns).max(initial=0) * most_q * max(d, 1) >= EXACT:
-                    for q in state[d]:
-                        at = np.flatnonzero(own != q.id)
-                        big = [int(x) for x in q.q]
-                        sums = [sum(x * int(y) for x, y in zip(big, columns[:, i])) for i in at]
-                        q.add(own[at], np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], object))
-                    continue
-                tails = np.cumsum((columns * columns)[::-1], axis=0)[::-1]
-                rests = np.sqrt(np.array([tails[c] if c < d else np.zeros(len(own)) for c in cuts[1:]]))
-                for q in state[d]:
-                    search_block(q, own, columns, rests, cuts)
-    for queries in state.values():
-        for q in queries:
-            if len(q.ids):
-                yield pa.record_batch(
-                    [pa.array([q.id] * len(q.ids), pa.int64()), pa.array(q.ids), pa.array([int(s) for s in q.scores], pa.int64())],
-                    ["query_id", "vec_id", "score"],
-                )
+def cuts_of(d: int, dims: int) -> list[int]:
+    return [*range(0, d, dims), d] if d else [0, 0]
+
+
+def build(batches: Iterator[pa.RecordBatch], scale: float, block: int, dims: int):
+    """Shards: columns of whole numbers in the smallest type that holds them, or, where none does, the vectors as they are."""
+
+    def make(d: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        columns = np.ascontiguousarray(quantised(m, scale).T)
+        rests = np.empty(0)
+        if np.abs(columns).max(initial=0) ** 2 * max(d, 1) >= EXACT:
+            kind, columns = "raw", np.ascontiguousarray(m.T)
+        else:
+            tails = np.cumsum((columns * columns)[::-1], axis=0)[::-1]
+            rests = np.sqrt(np.array([tails[c] if c < d else np.zeros(len(ids)) for c in cuts_of(d, dims)[1:]]))
+            kind = "int16" if np.abs(columns).max(initial=0) < 1 << 15 else "float64"
+        held = columns if kind == "raw" else columns.astype(kind)
+        return pa.record_batch([pa.array([d], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([held.tobytes()], pa.binary()), pa.array([rests.tobytes()], pa.binary())], ["dim", "ids", "kind", "columns", "rests"])
+
+    return pack_rows(batches, block, make)
+
+
+def search(batches: Iterator[pa.RecordBatch], k: int, scale: float, dims: int):
+    """Each query's k best of a shard, by branch and bound where float64 sums are exact, else with whole integers."""
+    for row in each_pair(batches):
+        d = row["dim"]
+        if d != row["q_dim"]:
+            continue
+        ids = np.frombuffer(row["ids"], np.int64)
+        qids, vectors = block_of(row)
+        cuts = cuts_of(d, dims)
+        raw = row["kind"] == "raw"
+        columns = np.frombuffer(row["columns"], np.float64 if raw else row["kind"]).reshape(d, len(ids)).astype(np.float64)
+        numbers = quantised(vectors, scale)
+        exact = not raw and np.abs(numbers).max(initial=0) * np.abs(columns).max(initial=0) * max(d, 1) < EXACT
+        out = []
+        if exact:
+            rests = np.frombuffer(row["rests"], np.float64).reshape(len(cuts) - 1, len(ids))
+            for qid, q in zip(qids, numbers):
+                query = Query(int(qid), q, cuts, k)
+                search_block(query, ids, columns, rests, cuts)
+                out.append((query.id, query.ids, query.scores.astype(np.int64)))
+        else:
+            large = [[whole(x, scale) if raw else int(x) for x in column] for column in columns.T.tolist()]
+            for qid, v in zip(qids, vectors.tolist()):
+                q, at = [whole(x, scale) for x in v], np.flatnonzero(ids != qid)
+                sums = [min(max(sum(x * y for x, y in zip(q, large[i])), -(1 << 63)), (1 << 63) - 1) for i in at]
+                first = sorted(range(len(at)), key=lambda i: (-sums[i], ids[at[i]]))
+                taken: dict[int, int] = {}
+                for i in first:
+                    if len(taken) < k:
+                        taken.setdefault(int(ids[at[i]]), sums[i])
+                out.append((int(qid), np.array([*taken], np.int64), np.array([*taken.values()], np.int64)))
+        if out:
+            yield pa.record_batch(
+                [pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))],
+                ["query_id", "vec_id", "score"],
+            )
 
 
 def exact_topk(
@@ -121,15 +150,10 @@ def exact_topk(
     dims: int = 8,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (long): for each row whose ``query_of(id)`` holds, the k other rows of the highest
-    inner product of floor(scale * x) components.
-
-    The number of passes over the vectors is the query set's size over a fixed bound; nothing larger is broadcast.
-    """
+    inner product of floor(scale * x) components. scale: a whole number."""
     rows = usable(vectors, id_col, vec_col)
-    out = None
-    for chunk in query_chunks(rows.where(query_of(F.col("id")))):
-        found = rows.mapInArrow(lambda it, c=chunk: search(it, c, k, scale, block, dims), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], SCHEMA)
-    return nearest_first(out, k)
+    scratch = Scratch(vectors.sparkSession, "exact-topk")
+    shards = scratch.save(rows.mapInArrow(lambda it: build(it, scale, block, dims), SHARD), "shards")
+    blocks = query_blocks(rows.where(query_of(F.col("id"))), scratch)
+    pairs = shards.crossJoin(blocks)  # a stated query set, in blocks; lengths are told apart in the task, as most are one
+    return nearest_first(pairs.mapInArrow(lambda it: search(it, k, scale, dims), SCHEMA), k)
