@@ -409,10 +409,19 @@ def page_type(spark, d):
     return fx.products(spark, d).select("id", prices.page_type(F.col("in_stock"), F.col("price_c"), F.col("list_c"), F.col("member_c"), F.col("pack_qty")).alias("page_type"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Few left' WHEN 1 THEN CASE WHEN contains(lower('{x:http://schema.org/OutOfStock}'), 'instock') THEN 'In stock' ELSE 'Out of stock' END WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'In stock' ELSE 'Out of stock' END ELSE 'Pre-order' END AS label FROM orders")
+_TOKENS = list(config.AVAILABILITY.items())
+
+
+@query(
+    f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN [{', '.join(_quoted(v) for _, v in _TOKENS)}][o_orderkey % {len(_TOKENS)} + 1]
+    WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'In stock' ELSE 'Out of stock' END ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'In stock' ELSE 'Out of stock' END END AS label FROM orders"""
+)
 def availability_label(spark, d):
-    raw = F.element_at(F.array(F.lit("Few left"), F.lit("{x:http://schema.org/OutOfStock}"), F.lit(None).cast("string"), F.lit("@context schema.org/PreOrder")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return fx.read(spark, d, "orders").select("o_orderkey", prices.availability(raw, F.col("o_orderkey") % 3 == 0).alias("label"))
+    """Short labels, each token inside a blob, nothing, and a long text without any token."""
+    k = F.col("o_orderkey")
+    blob = F.concat(F.lit('{"@type": "Offer", "availability": "http://schema.org/'), F.upper(F.element_at(F.array(*[F.lit(t) for t, _ in _TOKENS]), (k % len(_TOKENS) + 1).cast("int"))), F.lit('"}'))
+    raw = F.when(k % 4 == 0, F.col("o_orderpriority")).when(k % 4 == 1, blob).when(k % 4 == 3, F.repeat(F.lit("x "), 50))
+    return fx.read(spark, d, "orders").select("o_orderkey", prices.availability(raw, k % 3 == 0).alias("label"))
 
 
 _SIGN = lambda signs: f"regexp_matches(html, {_quoted('(?i)' + '|'.join(f'(?:{s})' for s in signs))})"
@@ -513,10 +522,15 @@ def reply_decisions(spark, d):
     return fx.read(spark, d, "events").select("event_id", x["match_idx"].alias("match_idx"), x["reason"].alias("reason"), x["parse_error"].alias("parse_error"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'http_status' WHEN page_id % 5 = 0 AND length(html) < 1000 THEN 'error_header' WHEN length(html) < 1000 THEN 'near_empty_body' END AS kind FROM pages")
+@query(
+    """SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'http_status' WHEN page_id % 5 = 0 AND n < 1000 THEN 'error_header' WHEN n < 1000 THEN 'near_empty_body' WHEN n < 5000 AND page_id % 3 = 0 THEN 'upstream_page' END AS kind
+    FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 16 + least(length(html), 3000) WHEN 1 THEN least(length(html), 400) ELSE length(html) END AS n FROM pages)"""
+)
 def infra_kinds(spark, d):
-    status = F.when(F.col("page_id") % 8 == 0, 503).otherwise(200)
-    kind = detect.infra_error(status, F.col("html"), F.when(F.col("page_id") % 5 == 0, "min_size"), F.lit(True))
+    k = F.col("page_id")
+    status = F.when(k % 8 == 0, 503).otherwise(200)
+    body = F.when(k % 3 == 0, F.concat(F.lit("502 Bad Gateway "), F.substring("html", 1, 3000))).when(k % 3 == 1, F.substring("html", 1, 400)).otherwise(F.col("html"))
+    kind = detect.infra_error(status, body, F.when(k % 5 == 0, "min_size"), F.lit(True))
     return fx.read(spark, d, "pages").select("page_id", kind.alias("kind"))
 
 
