@@ -1,13 +1,17 @@
-"""Near copies by the similarity of their word shingles.
+"""One document of each group of near copies: SimHash candidates by covering masks, links verified on the shingles.
 
-A document's set is the distinct XXH64 hashes of its runs of ``words`` words; equal sets are folded to one node first. Two
-nodes link when their sets' Jaccard similarity, counted on the sets themselves, is at least ``similarity``. Only pairs
-that share a key are counted: ``BANDS`` keys a node, each of ``ROWS`` minimal hashes, so a pair of similarity s shares
-none with probability (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8, less above.
+Two documents link when in one of ``prints`` independent 64-bit SimHash fingerprints of their word shingles they differ in at
+most ``radius`` bits and the Jaccard similarity of their sets of shingles is at least ``similarity``. Candidates come from
+``simhash``: its covering masks let no pair within the radius slip, and each bucket tells a spanning forest of its pairs, never
+all of them. Equal sets are folded to one node first.
 
-All nodes of a key are first counted against its smallest. Where that leaves a key in several components, every pair of
-its nodes that lie in different ones is counted too: pairs inside a component could not change the result, so a group of
-copies costs one pair a member, and no key is capped.
+Masks are tried in rounds, the first ``FIRST`` of them, then the others. A round's pairs are verified on the sets themselves, and
+the next round's buckets know which nodes are in one group by then: they tell only pairs that bring groups together, so a
+large group of near copies costs a few pairs a member, not one a mask.
+
+What the radius costs: sets of similarity s have an angle of acos(2 s / (1 + s)), and a fingerprint differs in that share of pi
+of its 64 bits on average. Within 6 bits lie about 0.13 of the pairs at 0.8, 0.52 at 0.9 and 0.87 at 0.95; two fingerprints
+make that 0.25, 0.77 and 0.98. A bit more in the radius doubles the masks, so 0.8 cannot be covered whole by this method.
 
 Defined cases: a text without words, or a null, has the empty set, equal to itself only; fewer words than a shingle: the
 whole sequence is the one shingle; rows that share a doc_id are told apart by their contents; rows without one count
@@ -26,53 +30,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.llm.common import SEED, Scratch, text_bytes
-from tallygrain.llm.simhash import components
+from tallygrain.llm.simhash import BATCH, components, edges_of, masks
 
-BANDS, ROWS = 32, 4
-#: Shingles whose minimal hashes are taken at a time, and pairs of a key that are told at a time.
-BATCH, TOLD = 2048, 1 << 16
-_RNG = np.random.default_rng(SEED)
-_MUL, _ADD = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first round of a fingerprint.
+FIRST = 4
+#: Keys of up to so many nodes are broadcast (16 bytes each); more are joined by a shuffle.
+SENT = 1 << 20
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """The ascending distinct hashes of a text's runs of words."""
-    own = text_bytes(text).lower().split()  # as in simhash.fingerprint
+    """The XXH64 hashes of a text's runs of words, repeats included; words as in ``simhash``."""
+    own = text_bytes(text).lower().split()
     if not own:
         return np.empty(0, np.uint64)
     buf, digest = b" ".join(own), xxhash.xxh64_intdigest
     if len(own) <= words:
         return np.array([digest(buf, SEED)], np.uint64)
     ends = list(itertools.accumulate((len(w) + 1 for w in own), initial=0))
-    return np.unique(np.fromiter((digest(buf[s : e - 1], SEED) for s, e in zip(ends, ends[words:])), np.uint64, len(own) - words + 1))
+    return np.fromiter((digest(buf[s : e - 1], SEED) for s, e in zip(ends, ends[words:])), np.uint64, len(own) - words + 1)
+
+
+def other_hash(h: np.ndarray, kind: int) -> np.ndarray:
+    """An independent hash of a hash: the finisher of splitmix64, ``kind`` steps on; kind 0 is the hash itself."""
+    if not kind:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * kind & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def keys(own: np.ndarray) -> np.ndarray:
-    """The keys of a set: one for each band, none for the empty set."""
-    if not len(own):
-        return np.empty(0, np.int64)
-    least = np.min([(own[a : a + BATCH, None] * _MUL + _ADD).min(axis=0) for a in range(0, len(own), BATCH)], axis=0)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), BATCH):
+        ones += np.unpackbits(h[a : a + BATCH].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_keys(docs: DataFrame, words: int) -> DataFrame:
-    """Of id, own and text: id, own, node (the set's hash), size and keys."""
+def with_prints(docs: DataFrame, words: int, kinds: int) -> DataFrame:
+    """Of id, own and text: id, own, node (the set's hash) and the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            found = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("id"), batch.column("own"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), found], ["id", "own", "node", "size", "keys"])
+            hashes = [shingles(t.as_py(), words) for t in batch.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+            found = [np.array([majority(other_hash(h, k)) for k in range(kinds)], np.uint64).view(np.int64) for h in hashes]
+            yield pa.record_batch([batch.column("id"), batch.column("own"), pa.array(nodes), pa.array(found, pa.list_(pa.int64()))], ["id", "own", "node", "prints"])
 
-    return docs.mapInArrow(run, "id long, own long, node long, size long, keys array<long>")
+    return docs.mapInArrow(run, "id long, own long, node long, prints array<long>")
 
 
 def with_sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("node"), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], ["node", "set"])
+            yield pa.record_batch([batch.column("node"), pa.array([np.unique(shingles(t.as_py(), words)).tobytes() for t in batch.column("text")], pa.binary())], ["node", "set"])
 
     return texts.mapInArrow(run, "node long, set binary")
 
@@ -92,74 +104,51 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, label): pairs of a key's nodes in different components whose sizes let them link."""
-    key, label = None, None
-    done: list[tuple[int, int]] = []  # node and size of the key's earlier components
-    now: list[tuple[int, int]] = []
-    told: list[tuple[np.ndarray, np.ndarray]] = []
-    held, before = 0, np.empty((0, 2), np.int64)
-
-    def out():
-        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*told)], ["a", "b"])
-
-    for batch in batches:
-        for k, m, n, s in zip(*(batch.column(c).to_pylist() for c in ("key", "label", "node", "size"))):
-            if k != key:
-                key, label, done, now, before = k, m, [], [], np.empty((0, 2), np.int64)
-            elif m != label:
-                done += now
-                label, now, before = m, [], np.array(done, np.int64)
-            now.append((n, s))
-            if len(before):
-                small, big = np.minimum(before[:, 1], s), np.maximum(before[:, 1], s)
-                near = before[small >= similarity * big - 1e-9, 0]
-                if len(near):
-                    told.append((near, np.full(len(near), n)))
-                    held += len(near)
-            if held > TOLD:
-                yield out()
-                told, held = [], 0
-    if told:
-        yield out()
-
-
-def first_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, prints: int = 2, bucket_limit: int = 1 << 16
+) -> DataFrame:
     """One row of each group of rows that links connect: that of the smallest id, rows without an id last."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     own = F.xxhash64(*docs.columns)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), own.alias("own"), F.col(text_col).cast("string").alias("text"))
-    prints = scratch.save(with_keys(rows, words), "prints")
-    nodes = prints.dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
-    posted = scratch.save(nodes, "posted")
-    least = posted.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    buckets = scratch.save(posted.join(least, "key").where("node <> least").select("key", "node", "size", "least"), "buckets")
-    scratch.drop("posted")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        one = prints.groupBy("node").agg(F.min("own").alias("own")).join(wanted, "node")
-        texts = rows.join(one, "own").dropDuplicates(["node"]).select("node", "text")
+    marked = scratch.save(with_prints(rows, words, prints), "prints")
+    nodes = scratch.save(marked.groupBy("node").agg(F.min("own").alias("own"), F.any_value("prints").alias("prints")), "nodes")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cover = masks(radius)
+    links, roots = None, spark.createDataFrame([], "node long, root long")
+    done = 0
+
+    def linked(some: DataFrame, name: str) -> DataFrame:
+        wanted = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        wanted = scratch.save(nodes.select("node", "own").join(wanted, "node"), f"{name}-nodes")
+        hint = F.broadcast if wanted.count() <= SENT else (lambda df: df)
+        texts = rows.join(hint(wanted), "own").dropDuplicates(["node"]).select("node", "text")
         sets = scratch.save(with_sets(texts, words), f"{name}-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        links = scratch.save(similar(both, similarity), f"{name}-links")
+        both = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        found = scratch.save(similar(both, similarity), f"{name}-links")
         scratch.drop(f"{name}-sets")
-        return links
-
-    links = linked(buckets.select(F.col("node").alias("a"), F.col("least").alias("b")), "star")
-    roots = components(links, scratch)
-    labelled = buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label"))
-    labelled = scratch.save(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = labelled.join(mixed, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "label")
-    rest = scratch.save(rest.mapInArrow(lambda it: across(it, similarity), "a long, b long"), "rest")
-    if rest.limit(1).count():
-        more = linked(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
-        roots = components(links.union(more), Scratch(spark, "copies-rest"))
-    groups = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
-    first = groups.agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "own")).alias("x")).select(F.col("x.own").alias("copies_own"))
-    kept = docs.withColumn("copies_own", own).join(first, "copies_own", "left_semi")
-    return kept.dropDuplicates(["copies_own"]).select(docs.columns)
+        return found
+
+    for k in range(prints):
+        mine = nodes.select("node", F.col("prints")[k].alias("fp"))
+        first = scratch.save(mine.groupBy("fp").agg(F.min("node").alias("node")), f"first{k}")
+        parts = max(least, first.count() * len(cover) // 2_000_000)
+        ends = [first.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")) for x in ("a", "b")]
+        for own_masks in (cover[:FIRST], cover[FIRST:]):
+            name = f"round{done}"
+            label = first.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("label"))
+            posted = label.select(F.explode(F.array(*map(F.lit, own_masks))).alias("mask"), "fp", "label")
+            edges = edges_of(posted, parts, radius, bucket_limit, Scratch(spark, f"copies-{name}")).distinct()
+            near = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            if own_masks[0] == cover[0]:  # other sets with the same fingerprint
+                near = near.unionAll(mine.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b"))
+            pairs = scratch.save(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-pairs")
+            done += 1
+            if pairs.limit(1).count():
+                found = linked(pairs, name)
+                links = found if links is None else links.unionAll(found)
+                roots = components(links, Scratch(spark, f"copies-{name}-roots"))
+    groups = marked.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
+    kept = groups.agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "own")).alias("x")).select(F.col("x.own").alias("copies_own"))
+    return docs.withColumn("copies_own", own).join(kept, "copies_own", "left_semi").dropDuplicates(["copies_own"]).select(docs.columns)

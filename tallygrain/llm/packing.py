@@ -41,16 +41,22 @@ def ids_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+@functools.cache  # only texts that need it pay for its memory
+def tokenizer_of(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def load_encoding(path: str):
     """text -> ids as ``tokenizers`` gives them without special tokens added, by the faster of two libraries where they agree.
 
     A byte-level BPE of the GPT-2 pattern has its own merges run by tiktoken; a text that holds the literal of an added token,
     which tokenizers cuts out first, and any other kind of file are run by tokenizers.
     """
-    from tokenizers import Tokenizer
+    def plain(text: str) -> list[int]:
+        return tokenizer_of(path).encode(text, add_special_tokens=False).ids
 
-    tokenizer = Tokenizer.from_file(path)
-    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}

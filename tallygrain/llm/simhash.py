@@ -21,7 +21,9 @@ a null component; rows that share a doc_id are told apart by their fingerprints;
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,6 @@ from tallygrain.llm.common import SEED, Scratch, text_bytes
 BATCH = 1 << 15
 #: Rows told at a time; and with so many free bits a bucket is small enough, whatever its limit.
 TOLD, FREE = 1 << 16, 16
-#: Which vector comes after which: few bits have vectors of all kinds too.
-STEP = 11
 
 
 def fingerprint(text: str | None, words_in_shingle: int) -> int:
@@ -69,11 +69,23 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shin
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
+@functools.cache
+def step_of(space: int, bits: int) -> int:
+    """Which vector comes after which, so that every mask has as many of the bits as can be."""
+
+    def least(step: int) -> int:
+        vectors = [1 + step * i % (space - 1) for i in range(bits)]
+        return min(sum((m & v).bit_count() & 1 for m in vectors) for v in range(1, space))
+
+    return max((s for s in range(1, min(space, 64)) if math.gcd(s, space - 1) == 1), key=lambda s: (least(s), -s))
+
+
 def masks(radius: int, free: list[int] | None = None) -> list[int]:
     """The covering masks of the free bits (all 64 where not given): 2 ** (radius + 1) - 1 of them, about half of the bits each."""
     space = 1 << (radius + 1)
     bits = range(64) if free is None else free
-    vectors = {b: 1 + STEP * i % (space - 1) for i, b in enumerate(bits)}  # every non-zero vector as often as any other
+    step = step_of(space, len(bits))
+    vectors = {b: 1 + step * i % (space - 1) for i, b in enumerate(bits)}  # every non-zero vector as often as any other
     out = [sum(1 << b for b, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, space)]
     return [signed(m) for m in out]
 
@@ -107,67 +119,93 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
+def merging(a: np.ndarray, b: np.ndarray, label: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges, those that bring labels together which the edges before have not."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(label[x]), find(label[y])
+        if x != y:
+            keep[i], top[x] = True, y
+    return a[keep], b[keep]
+
+
 def bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Distinct rows (mask, fp) sorted by mask and masked bits: edges (a, b, null) of each bucket; of one with more than
-    ``limit`` rows, its rows as (fp, null, mask)."""
-    bucket, held, size = None, [], 0  # the bucket so far: its mask and bits, its fingerprints up to the limit, its rows
-    most = limit
-    told: list[tuple[np.ndarray, np.ndarray | None, int]] = []
+    ``limit`` rows, its rows as (fp, null, mask). Where rows have a label, edges inside a label are left out."""
+    bucket, held, size, most = None, [], 0, limit  # the bucket so far: its mask and bits, its rows up to the limit, how many
+    told: list[tuple[np.ndarray, np.ndarray | None, int, np.ndarray]] = []
 
     def out():
-        a = np.concatenate([x for x, _, _ in told])
-        b = np.concatenate([x if y is None else y for x, y, _ in told])
-        grown = np.concatenate([np.full(len(x), y is None) for x, y, _ in told])
-        mask = np.concatenate([np.full(len(x), m, np.int64) for x, _, m in told])
+        a, b, mask, label = ([x[i] for x in told] for i in range(4))
+        grown = np.concatenate([np.full(len(x), y is None) for x, y in zip(a, b)])
+        a, b = np.concatenate(a), np.concatenate([x if y is None else y for x, y in zip(a, b)])
+        mask, label = np.concatenate([np.full(len(x), m, np.int64) for x, m in zip(label, mask)]), np.concatenate(label)
         told.clear()
-        return pa.record_batch([pa.array(a), pa.array(b, mask=grown), pa.array(mask, mask=~grown)], ["a", "b", "mask"])
+        return pa.record_batch([pa.array(a), pa.array(b, mask=grown), pa.array(mask, mask=~grown), pa.array(label)], ["a", "b", "mask", "label"])
+
+    def close():
+        if size > 1 and held:
+            fps = np.concatenate([f for f, _ in held])
+            a, b = forest(fps, radius)
+            if labelled and len(a):
+                a, b = merging(a, b, dict(zip(fps.tolist(), np.concatenate([x for _, x in held]).tolist())))
+            told.append((a, b, 0, a))
 
     for batch in batches:
+        labelled = "label" in batch.schema.names
         m, fp = (batch.column(x).to_numpy() for x in ("mask", "fp"))
+        label = batch.column("label").to_numpy() if labelled else fp
         k = fp & m
         starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])))) if len(m) else []
         for s, e in zip(starts, [*starts[1:], len(m)]):
             if (m[s], k[s]) != bucket:
-                if size > 1 and held:
-                    told.append((*forest(np.concatenate(held), radius), 0))
+                close()
                 bucket, held, size = (m[s], k[s]), [], 0
                 few = np.bitwise_count(m[s : s + 1].view(np.uint64))[0] >= 64 - FREE
                 most = 1 << FREE if few else limit
-            held.append(fp[s:e])
+            held.append((fp[s:e], label[s:e]))
             size += e - s
             if size > most:
-                told += [(x, None, int(m[s])) for x in held]
+                told += [(f, None, int(m[s]), x) for f, x in held]
                 held = []
-        if sum(len(x) for x, _, _ in told) > TOLD:
+        if sum(len(x[0]) for x in told) > TOLD:
             yield out()
-    if size > 1 and held:
-        told.append((*forest(np.concatenate(held), radius), 0))
+    close()
     if told:
         yield out()
 
 
 def split(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows of outgrown buckets (mask, fp), dealt anew."""
+    """Rows of outgrown buckets (mask, fp, label), dealt anew."""
     for batch in batches:
-        m, fp = (batch.column(x).to_numpy() for x in ("mask", "fp"))
+        m, fp, label = (batch.column(x).to_numpy() for x in ("mask", "fp", "label"))
         for own in np.unique(m):
-            new, at = np.array(finer(int(own), radius), np.int64), fp[m == own]
-            yield pa.record_batch([pa.array(np.tile(new, len(at))), pa.array(np.repeat(at, len(new)))], ["mask", "fp"])
+            new, here = np.array(finer(int(own), radius), np.int64), m == own
+            yield pa.record_batch([pa.array(np.tile(new, here.sum())), pa.array(np.repeat(fp[here], len(new))), pa.array(np.repeat(label[here], len(new)))], ["mask", "fp", "label"])
 
 
 def edges_of(posted: DataFrame, parts: int, radius: int, limit: int, scratch: Scratch) -> DataFrame:
-    """a, b: edges over all buckets of rows (mask, fp); outgrown buckets are dealt anew by finer masks until none is left."""
-    edges = None
+    """a, b: edges over all buckets of rows (mask, fp), with a label or without; outgrown buckets are dealt anew by finer masks
+    until none is left."""
+    edges, plain = None, posted.columns
     for depth in itertools.count():
         key = F.col("fp").bitwiseAND(F.col("mask"))
         dealt = posted.repartition(parts, "mask", key).sortWithinPartitions("mask", key)
-        found = scratch.save(dealt.mapInArrow(lambda it: bucket_edges(it, radius, limit), "a long, b long, mask long"), f"found{depth}")
+        found = scratch.save(dealt.mapInArrow(lambda it: bucket_edges(it, radius, limit), "a long, b long, mask long, label long"), f"found{depth}")
         own = found.where("mask is null").select("a", "b")
         edges = own if edges is None else edges.unionAll(own)
-        large = found.where("mask is not null").select("mask", F.col("a").alias("fp"))
+        large = found.where("mask is not null").select("mask", F.col("a").alias("fp"), "label")
         if not large.limit(1).count():
             return edges
-        posted = large.mapInArrow(lambda it: split(it, radius), "mask long, fp long").distinct()
+        posted = large.mapInArrow(lambda it: split(it, radius), "mask long, fp long, label long").select(plain).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

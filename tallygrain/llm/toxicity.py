@@ -79,31 +79,53 @@ def log_odds(text: str | None, model: Model) -> float:
     return model.bias + float(model.weights[at].sum(dtype=np.float64))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: tuple[int, int], z_least: float, l2: float, steps: int) -> Model:
-    """prior: documents of class 0 and 1 among all labels that may be learnt from."""
+class Sums:
+    """Sums, group by group, of what a vector has at the places of each group; a block of places at a time."""
+
+    def __init__(self, places: np.ndarray, sizes: np.ndarray, block: int = 1 << 20):
+        self.places, self.n, self.some = places, len(sizes), np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[self.some]
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(places), block)))
+        self.blocks = [(a, b, starts[a:b] - starts[a], starts[a], starts[b] if b < len(starts) else len(places)) for a, b in zip(cuts, [*cuts[1:], len(starts)]) if a < b]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for a, b, starts, first, end in self.blocks:
+            out[self.some[a:b]] = np.add.reduceat(x[self.places[first:end]], starts)
+        return out
+
+
+def fit(texts: list[str], y: np.ndarray, prior: tuple[int, int], z_least: float, l2: float, steps: int) -> Model:
+    """prior: documents of class 0 and 1 among all labels that may be learnt from. Features are taken twice, so that only those
+    that keep a weight are ever held."""
     weights = np.zeros(1 << BITS, np.float32)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if n.min() == 0:
         share = (prior[1] + 0.5) / (sum(prior) + 1.0)
         return Model(weights, float(np.log(share / (1 - share))))
     df = np.zeros((2, 1 << BITS))
-    for f, label in zip(rows, y):
-        df[label, f] += 1
+    for text, label in zip(texts, y):
+        df[label, features(text)] += 1
     a = df + 0.5
     ratio = np.log(a[1] / (n[1] + 1)) - np.log(a[0] / (n[0] + 1))
     keep = (np.abs(ratio) / np.sqrt(1 / a[0] + 1 / a[1]) >= z_least) & (df.sum(axis=0) >= 4)
-    number = np.cumsum(keep) - 1
-    cols = [number[f[keep[f]]] for f in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-    col = np.concatenate(cols)
+    number = (np.cumsum(keep) - 1).astype(np.int32)
+    rows = [number[f[keep[f]]] for f in map(features, texts)]
+    sizes = np.array([len(f) for f in rows])
+    col = np.concatenate(rows)
+    by_doc = Sums(col, sizes)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    order = np.argsort(col, kind="stable")
     r = ratio[keep]
+    by_feature = Sums(doc[order], np.bincount(col, minlength=len(r)))
+    del order, doc, col, rows
     w, b = np.zeros(len(r)), 0.0
     m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1)
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])  # both classes weigh alike in training
     for t in range(1, steps + 1):
-        z = b + np.bincount(doc, (w * r)[col], len(rows))
+        z = b + by_doc(w * r)
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(r * np.bincount(col, g[doc], len(r)) + l2 * w, g.sum())
+        grad = np.append(r * by_feature(g) + l2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -123,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, learn, label_col: str, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(pick), "label_id").select("label_id", "label_y", "text")
 
     def run(batches):
-        got: dict[int, tuple[str, int, np.ndarray]] = {}
+        got: dict[int, tuple[str, int]] = {}
         for batch in batches:
             for i, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if i not in got or (text or "") < got[i][0]:  # of rows that share an id, the smallest text
-                    got[i] = text or "", y, features(text)
+                    got[i] = text or "", y
         ids = sorted(got)  # so that the order of arrival does not matter
-        model = fit([got[i][2] for i in ids], np.array([got[i][1] for i in ids], int), (row.a, row.b), z_least, l2, steps)
+        model = fit([got[i][0] for i in ids], np.array([got[i][1] for i in ids], int), (row.a, row.b), z_least, l2, steps)
         at = np.flatnonzero(model.weights)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(model.weights[at].astype(float), model.bias))], ["feature", "weight"])
 

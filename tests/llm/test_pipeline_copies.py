@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tallygrain.llm import copies
@@ -41,18 +42,27 @@ def table(rng):
     return [*rows, one, (one[0], " ".join(words(90)), "s1"), (None, rows[1][1] + " tail", "s1"), (None, " ".join(lone), "s2"), (None, " ".join(lone + ["end"]), "s2"), (900, "", "s0"), (901, None, "s0"), (902, "one two", "s0"), (903, "One  two", "s0")]
 
 
+def within(a, b, radius=6, kinds=2):
+    h = [copies.shingles(t, 5) for t in (a, b)]
+    return any((copies.majority(copies.other_hash(h[0], k)) ^ copies.majority(copies.other_hash(h[1], k))).bit_count() <= radius for k in range(kinds))
+
+
+def grouped(links, n):
+    group = list(range(n))
+    for a, b in links:
+        if group[a] != group[b]:
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    return group
+
+
 def test_near_copies_equal_brute_force(spark):
     rows = table(random.Random(8))
     own = [sets(t) for _, t, _ in rows]
-    group = list(range(len(rows)))
-    near = 0
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        s = similarity(own[a], own[b])
-        near += 0.8 <= s < 0.95
-        if s >= 0.8 and group[a] != group[b]:
-            old, new = group[b], group[a]
-            group = [new if g == old else g for g in group]
-    assert near > 20
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if similarity(own[a], own[b]) >= 0.8]
+    links = [(a, b) for a, b in pairs if own[a] == own[b] or within(rows[a][1], rows[b][1])]
+    group = grouped(links, len(rows))
+    assert sum(own[a] != own[b] for a, b in links) > 20
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
     where = {r: group[i] for i, r in enumerate(rows)}
@@ -63,8 +73,13 @@ def test_near_copies_equal_brute_force(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
 
 
-def test_pairs_at_the_threshold_share_a_key():
+@pytest.mark.parametrize(("near", "least"), [(0.9, 0.65), (0.95, 0.9)])
+def test_fingerprints_reach_what_the_angle_says(near, least):
     rng = np.random.default_rng(1)
+    n, hits = 400, 0
+    own = round(n * (1 - near) / (1 + near))  # of each set; similarity is shared over all
     for _ in range(300):
-        both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (80, 10, 10))
-        assert np.intersect1d(copies.keys(np.concatenate((both, a))), copies.keys(np.concatenate((both, b)))).size
+        both, a, b = (rng.integers(0, 1 << 63, k, np.uint64) for k in (n, own, own))
+        x, y = np.concatenate((both[own:], a)), np.concatenate((both[own:], b))
+        hits += any((copies.majority(copies.other_hash(x, k)) ^ copies.majority(copies.other_hash(y, k))).bit_count() <= 6 for k in range(2))
+    assert hits >= least * 300
