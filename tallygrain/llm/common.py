@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import struct
+import uuid
 
 import numpy as np
 import zstandard
@@ -18,16 +20,28 @@ SEED = 42
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, frees: bool = False):
+        """frees: after each table, let go of the shuffle files that led to it, where they are large against the input."""
+        self.spark, self.frees = spark, frees
         self.root = shared_dir(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        release(self.spark)
+        if self.frees:
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_homes(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """``save`` of a table that is then joined again and again by ``key``: its rows stay where they were written, one file a task
+        where a task's rows have one key, and only the other side of such a join moves."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(parts, key).saveAsTable(table)
+        if self.frees:
+            release(self.spark)
+        return self.spark.table(table)
+
     def drop(self, name: str = "") -> None:
         """Delete a table once nothing will read it again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -51,19 +65,27 @@ def crc_mod(column: str, modulus: int):
 
 
 def pack(array: np.ndarray, level: int = 3) -> bytes:
-    """Byte planes of an integer or float array, compressed: high bytes of small numbers cost nothing."""
+    """Byte planes of an integer or float array, each compressed by itself: high bytes of small numbers cost nothing, and short
+    arrays do not pay for what their planes differ in. Behind the count and how many planes are not zero, each one's number
+    and length, then the planes."""
     array = np.ascontiguousarray(array)
     planes = array.view(np.uint8).reshape(len(array), array.itemsize).T
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
+    some = [i for i in range(array.itemsize) if planes[i].any()]
+    squeeze = zstandard.ZstdCompressor(level=level).compress
+    blobs = [squeeze(np.ascontiguousarray(planes[i]).tobytes()) for i in some]
+    return b"".join((struct.pack("<IB", len(array), len(some)), *(struct.pack("<BI", i, len(b)) for i, b in zip(some, blobs)), *blobs))
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
     """The array that ``pack`` coded."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+    n, some = struct.unpack_from("<IB", blob)
+    planes = np.zeros((np.dtype(dtype).itemsize, n), np.uint8)
+    expand, at = zstandard.ZstdDecompressor().decompress, 5 + 5 * some
+    for k in range(some):
+        i, size = struct.unpack_from("<BI", blob, 5 + 5 * k)
+        planes[i] = np.frombuffer(expand(blob[at : at + size]), np.uint8)
+        at += size
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
 def pack_sorted(array: np.ndarray, level: int = 3) -> bytes:

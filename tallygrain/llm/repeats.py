@@ -457,7 +457,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    scratch = Scratch(docs.sparkSession, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats", frees=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = scratch.save(rows.mapInArrow(chunked, CHUNK), "chunks")
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
