@@ -53,7 +53,6 @@ def test_packing(docs, rows, none):
 
     voc = path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(voc)
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs, voc).toPandas()
     want = Counter()
     for i, t, *_ in rows:
@@ -92,6 +91,31 @@ def test_plan_uses_each_piece_once(seed):
         assert packing.plan([0 if i not in (n, 64 - n) else 3 for i in range(65)], 64) == [((64 - n, n), 3)]
 
 
+@pytest.mark.parametrize("kind", ["uniform", "gamma", "exponential", "two humps"])
+def test_plan_takes_no_more_sequences_than_best_fit(kind):
+    rng = np.random.default_rng(3)
+    x = {"uniform": rng.integers(1, 1025, 8000), "gamma": rng.gamma(2, 200, 8000), "exponential": rng.exponential(300, 8000), "two humps": np.concatenate((rng.integers(600, 700, 3000), rng.integers(100, 400, 5000)))}[kind]
+    counts = np.bincount(np.clip(x.astype(int) + 1, 1, 1024), minlength=1025).tolist()
+    left, plain = [*counts], 0
+    for n in range(1024, 0, -1):
+        while left[n]:
+            left[n], gap, plain = left[n] - 1, 1024 - n, plain + 1
+            while gap and (m := next((m for m in range(gap, 0, -1) if left[m]), 0)):
+                left[m], gap = left[m] - 1, gap - m
+    assert sum(times for _, times in packing.plan(counts, 1024)) <= plain
+
+
+def test_special_literals_are_tokens():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    voc = path("byte_bpe_50k.json")
+    rng, tok, fast = random.Random(4), Tokenizer.from_file(voc), packing.load_encoding(voc)
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", " <|endoftext|><|endoftext|>  ", "<|endoftext", *("".join(rng.choice(["a", "Be ", "\n", "  ", "9", "é", "汉", "'s", "\t", "<|", "😀"]) for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    for t in texts:
+        assert fast(t) == tok.encode(t, add_special_tokens=False).ids
+
+
 def fingerprint(text):
     w = tokens(text)
     if not w:
@@ -377,6 +401,45 @@ def test_mixing(spark, docs, rows, none):
     assert 0 < some <= 2000
 
 
+@pytest.mark.parametrize("seed", [11, 5])
+def test_passes_are_permutations_of_blocks(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.randint(1, 9), "big" if i % 9 else "small") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, max_repeats=2.5, seed=seed).toPandas()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    own = {i: s for i, _, s in rows}
+    orders = {}
+    for (s, e), g in got.groupby(["source", "mix_epoch"]):
+        order = dict(zip(g.mix_block, g.mix_place))
+        assert len({*zip(g.mix_block, g.mix_place)}) == len(order) == len({*order.values()})  # one place a block, one block a place
+        assert min(order.values()) >= 0 and max(order.values()) < 1024
+        orders[s, e] = order
+        if e:
+            assert order != {b: p for b, p in orders[s, e - 1].items() if b in order}  # another order each time
+    block = dict(zip(got.doc_id, got.mix_block))  # every document comes once at least
+    assert block.keys() == size.keys()
+    for s in ("big", "small"):
+        last = got[(got.source == s) & (got.mix_epoch == got[got.source == s].mix_epoch.max())]
+        whole = defaultdict(set)
+        for i, b in block.items():
+            if own[i] == s:
+                whole[b].add(i)
+        here = last.groupby("mix_block").doc_id.apply(set).to_dict()
+        full = [p for b, p in orders[s, last.mix_epoch.max()].items() if here[b] == whole[b]]
+        part = [p for b, p in orders[s, last.mix_epoch.max()].items() if here[b] != whole[b]]
+        assert len(part) <= 1 and all(p > max(full) for p in part)  # blocks are taken in order, and one is cut
+        if len(here) < len(whole):  # the next in order was not taken whole because it does not fit
+            quota = round(got[got.source == s].mix_weight.iloc[0] / got[got.source == "big"].mix_weight.iloc[0] * sum(n for i, n in size.items() if own[i] == "big"))
+            assert quota - 30 <= got[got.source == s].mix_tokens.sum() <= quota + 1
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, 8, 9, "q", 3)], "doc_id long, text string, source string, mix_weight int, h int, n int, mix_source string, epoch int")
+    (row,) = mixing.mix(docs, max_repeats=2.0).collect()
+    assert (row.h, row.n, row.mix_source, row.epoch, row.mix_tokens, row.mix_weight) == (8, 9, "q", 3, 2, 1.0)
+
+
 def alpha(size, limit):
     low, high = 0.0, 1.0
     n = [v for v in size.values() if v]
@@ -450,3 +513,46 @@ def test_permutation_index_finds_the_smallest_ids_of_a_group_of_copies(spark):
     got = permutation_index.ann_topk(df, lambda i: i.isin(asked)).toPandas()
     for q in asked:
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in group if i != q][:20]
+
+
+def test_base_spans_are_the_patterns_matches():
+    # The base patterns as they are given.
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(8)
+    for letters in ("a1.@-", "ab.@ %+", "12.", "0123456789. ", "25.@a1 .."):
+        for _ in range(1500):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            want = [(m.start(), m.end(), 0) for m in email.finditer(text)]
+            want += [(m.start(), m.end(), 1) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+            assert [s for s in pii.base_spans(text) if s[2] < 2] == sorted(want, key=lambda s: (s[0], s[2]))
+
+
+@pytest.mark.parametrize("part", ["a", "1", "a.", "1.", "a@", "1 ", "+1", "(", "x-", "a1", "(at)"])
+def test_long_unbroken_texts_take_linear_time(part):
+    import time
+
+    text, start = part * (1_000_000 // len(part)), time.perf_counter()
+    base = pii.base_spans(text)
+    pii.candidates(text, base)
+    assert time.perf_counter() - start < 20
+
+
+def test_beliefs_do_not_depend_on_neighbouring_documents():
+    rng = np.random.default_rng(6)
+    field = pii.Field(rng.normal(size=(5, pii.FEATURES)), rng.normal(size=(5, 5)), 3.0)
+    graphs = []
+    for n in (3, 40, 7):
+        chain = np.array([(i, i + 1) for i in range(n - 1)])
+        skip = np.array([(i, j) for i in range(n) for j in range(i + 2, n) if rng.random() < 0.2]).reshape(-1, 2)
+        graphs.append((rng.normal(size=(n, pii.FEATURES)), np.where(rng.random(n) < 0.2, 1, -1), chain, skip))
+    alone = [pii.infer(field, *g) for g in graphs]
+    first = np.cumsum([0, 3, 40])
+    both = pii.infer(field, np.concatenate([g[0] for g in graphs]), np.concatenate([g[1] for g in graphs]), np.concatenate([g[2] + f for g, f in zip(graphs, first)]), np.concatenate([g[3] + f for g, f in zip(graphs, first)]))
+    assert np.array_equal(np.concatenate(alone), both)
+
+
+def test_components_near_the_end_of_doubles(spark):
+    df = spark.createDataFrame([(0, [1.7e308, -1.0]), (1, [9e307, 0.5]), (2, [-1e306, 3.0]), (50, [0.0, 0.01]), (51, [5e-324, 2.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk.exact_topk(df, lambda i: i % 50 == 0).collect()}
+    assert got[0, 1] == (1, (1 << 63) - 1) and got[0, 4] == (2, -(1 << 63))
+    assert got[50, 1] == (2, 2 * 768) and got[50, 2] == (51, 2 * 512) and got[50, 4] == (0, -2 * 256)
