@@ -54,7 +54,7 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each stage's result written to the shared folder and read again."""
-    docs, scratch = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline", frees=True)
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
