@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm.common import SEED, Scratch, pack, pack_sorted, partitions_for, release, text_bytes, unpack, unpack_sorted
 
 #: Tokens of a chunk, and distinct n-grams of a partition of asks, about.
-CHUNK_TOKENS, PART_ASKS = 1_500_000, 1_600_000
+CHUNK_TOKENS, PART_ASKS = 1_200_000, 1_300_000
 #: Documents whose words are told apart at a time.
 READ = 2048
 #: A document's end. Words are hashed with another seed, so that none is it.
@@ -204,7 +204,7 @@ class Chunk:
         by_rank = np.argsort(-unpack(row["uses"], np.uint32).astype(np.int64), kind="stable")
         self.tokens = by_rank[unpack(row["tokens"], np.uint32)]
         starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)  # of a token in its document
+        self.place = (np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)).astype(np.int32)  # of a token in its document
         self.trains = np.repeat(self.learn, self.sizes)
         self.level, self.whole = 0, None
         for level in range(1, len(model.parts) + 1):
@@ -219,12 +219,14 @@ class Chunk:
         at = at[self.ask_ids[context[at]] >= 0]
         ids, code = coded(self.ask_ids)
         both = code[context[at]] << HALF | self.word_codes[at]
+        del code, context
         order = np.argsort(both)
         both = both[order]
         new = starts_of(both)
         which = np.full(len(self.tokens), -1)
         which[at[order]] = np.cumsum(new) - 1
         both = both[new]
+        del at, order, new
         return ids[both >> HALF], self.code_ids[both & np.uint64((1 << 32) - 1)], which
 
     def parts_of(self, level: int, keys: np.ndarray, nxt: np.ndarray | None, parts: int) -> np.ndarray:
