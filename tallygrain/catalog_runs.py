@@ -352,12 +352,12 @@ def brand_dictionary(spark, d):
     return spark.createDataFrame([(b, i + 1, b in safe) for i, b in enumerate(brands)], "brand string, position long, fuzzy_safe boolean")
 
 
-@query("SELECT 'tallygrain_nation' AS \"table\", count(*) AS n FROM nation UNION ALL SELECT 'tallygrain_region', count(*) FROM region UNION ALL SELECT 'tallygrain_supplier', count(*) FROM supplier")
+@query("SELECT 'tallygrain_nation' AS relation, count(*) AS n FROM nation UNION ALL SELECT 'tallygrain_region', count(*) FROM region UNION ALL SELECT 'tallygrain_supplier', count(*) FROM supplier")
 def catalog_counts(spark, d):
     names = ["region", "nation", "supplier"]
     for t in names:
         fx.read(spark, d, t).createOrReplaceTempView(f"tallygrain_{t}")
-    return recorded.table_counts(spark, [f"tallygrain_{t}" for t in names])
+    return recorded.table_counts(spark, [f"tallygrain_{t}" for t in names]).withColumnRenamed("table", "relation")
 
 
 @query(fx.sql("#q AS (SELECT DISTINCT 'duckduckgo' AS provider, product_name AS query FROM sku_tasks) SELECT q.provider, q.query, c.result_idx, c.title, c.url FROM q JOIN candidates c ON c.product_name = q.query AND c.provider_rank = 0 AND c.query_idx = 0 WHERE c.result_idx < 4 AND c.k % 3 > 0", "sku_tasks", "candidates"))
