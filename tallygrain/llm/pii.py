@@ -263,8 +263,14 @@ def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray,
         return softmax(own)
     first = np.ones(len(own), int)
     first[chain[:, 1]] = 0
-    doc = np.cumsum(first) - 1  # a document's nodes are one chain
-    limit = np.maximum(200, 4 * np.bincount(doc)) if rounds is None else np.full(doc[-1] + 1, rounds)
+    doc = np.cumsum(first) - 1  # a document's nodes are one chain; chains that a skip edge joins count as one
+    a, b = doc[edges[:, 0]], doc[edges[:, 1]]
+    while (a != b).any():
+        least = np.arange(doc.max() + 1)
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        doc = least[doc]
+        a, b = doc[edges[:, 0]], doc[edges[:, 1]]
+    limit = np.maximum(200, 4 * np.bincount(doc)) if rounds is None else np.full(doc.max() + 1, rounds)
     table = np.concatenate((np.repeat(field.chain[None], len(chain), 0), np.repeat((field.skip * np.eye(k))[None], len(skip), 0)))
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     table = np.concatenate((table, table.transpose(0, 2, 1)))
@@ -272,7 +278,7 @@ def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray,
     msg = np.zeros((len(src), k))
     total = own.copy()
     at = doc[src]
-    settled = np.zeros(doc[-1] + 1, bool)
+    settled = np.zeros(doc.max() + 1, bool)
     for damp in (0.5, 0.9):
         for r in range(int(limit.max())):
             live = np.flatnonzero(~settled[at] & (r < limit[at]))  # the messages of documents that have not settled
