@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrain.llm import licenses
+from tallygrain.llm import centroids, licenses, rolling
 from tallygrain.llm.common import crc_mod
 from tallygrain.llm.exact_topk import exact_topk
 from tallygrain.llm.katz import score_katz
@@ -79,14 +79,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling_medians(read(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op7_suffix_repeats, op8_license_rules, op9_permutation_index, op10_exact_topk)
+    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op7_suffix_repeats, op8_license_rules, op9_permutation_index, op10_exact_topk, op12_centroid_clustering, op13_rolling_median)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_license_rules": licenses.oracle(),
+        "op12_centroid_clustering": centroids.oracle(),
+        "op13_rolling_median": rolling.ORACLE,
         "op10_exact_topk": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
