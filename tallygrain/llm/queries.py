@@ -15,6 +15,7 @@ from tallygrain.llm.mixing import mix
 from tallygrain.llm.packing import pack_documents
 from tallygrain.llm.permutation_index import ann_topk
 from tallygrain.llm.pii import KINDS, find_pii
+from tallygrain.llm.quality import judge
 from tallygrain.llm.repeats import remove_repeats
 from tallygrain.llm.simhash import near_duplicates
 from tallygrain.llm.toxicity import score_toxicity
@@ -79,6 +80,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -88,7 +93,7 @@ def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op7_suffix_repeats, op8_license_rules, op9_permutation_index, op10_exact_topk, op12_centroid_clustering, op13_rolling_median)
+    found = (op1_best_fit_packing, op2_toxicity, op3_simhash, op4_temperature_mixing, op5_katz_backoff, op6_skip_chain_pii, op7_suffix_repeats, op8_license_rules, op9_permutation_index, op10_exact_topk, op11_quality_rules, op12_centroid_clustering, op13_rolling_median)
     return {f.__name__: f for f in found}
 
 
