@@ -14,8 +14,8 @@ of its 64 bits on average. Within 6 bits lie about 0.13 of the pairs at 0.8, 0.5
 make that 0.24, 0.75 and 0.97. A bit more in the radius doubles the masks, so 0.8 cannot be covered whole by this method.
 
 Defined cases: a text without words, or a null, has the empty set, equal to itself only; fewer words than a shingle: the
-whole sequence is the one shingle; rows that share a doc_id are told apart by their contents; rows without one count
-like any other.
+whole sequence is the one shingle; rows that share a doc_id are told apart by their contents, nulls included; rows without one count
+like any other; columns of any names and types are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from tallygrain.llm.simhash import BATCH, components, edges_of, masks
 
 #: Masks of the first round of a fingerprint.
 FIRST = 4
-#: Keys of up to so many nodes are broadcast (16 bytes each); more are joined by a shuffle.
+#: Keys of up to so many nodes are broadcast (24 bytes each); more are joined by a shuffle.
 SENT = 1 << 20
 
 
@@ -68,6 +68,16 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def row_key(docs: DataFrame):
+    """128 bits of a row's contents, with its nulls told apart from what stands beside them."""
+    own = []
+    for name, kind in docs.dtypes:
+        column = F.col(f"`{name}`")
+        own.append(F.to_json(F.struct(column.alias("x")), {"ignoreNullFields": "false"}) if kind.startswith(("array", "map", "struct")) else column)
+    lacks = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in own])
+    return F.struct(F.xxhash64(*own, lacks).alias("a"), F.xxhash64(lacks, *own, F.lit(1)).alias("b"))
+
+
 def with_prints(docs: DataFrame, words: int, kinds: int) -> DataFrame:
     """Of id, own and text: id, own, node (the set's hash) and the fingerprints."""
 
@@ -78,7 +88,7 @@ def with_prints(docs: DataFrame, words: int, kinds: int) -> DataFrame:
             found = [np.array([majority(other_hash(h, k)) for k in range(kinds)], np.uint64).view(np.int64) for h in hashes]
             yield pa.record_batch([batch.column("id"), batch.column("own"), pa.array(nodes), pa.array(found, pa.list_(pa.int64()))], ["id", "own", "node", "prints"])
 
-    return docs.mapInArrow(run, "id long, own long, node long, prints array<long>")
+    return docs.mapInArrow(run, "id long, own struct<a:bigint,b:bigint>, node long, prints array<long>")
 
 
 def with_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -103,7 +113,10 @@ def first_of_copies(
     """One row of each group of rows that links connect: that of the smallest id, rows without an id last."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
-    own = F.xxhash64(*docs.columns)
+    own = row_key(docs)
+    mark = "copies_own"
+    while mark in docs.columns:
+        mark += "_"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), own.alias("own"), F.col(text_col).cast("string").alias("text"))
     marked = scratch.save(with_prints(rows, words, prints), "prints")
     nodes = scratch.save(marked.groupBy("node").agg(F.min("own").alias("own"), F.any_value("prints").alias("prints")), "nodes")
@@ -143,5 +156,5 @@ def first_of_copies(
                 links = found if links is None else links.unionAll(found)
                 roots = components(links, Scratch(spark, f"copies-{name}-roots"))
     groups = marked.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
-    kept = groups.agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "own")).alias("x")).select(F.col("x.own").alias("copies_own"))
-    return docs.withColumn("copies_own", own).join(kept, "copies_own", "left_semi").dropDuplicates(["copies_own"]).select(docs.columns)
+    kept = groups.agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "own")).alias("x")).select(F.col("x.own").alias(mark))
+    return docs.withColumn(mark, own).join(kept, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -255,7 +255,9 @@ def infer(field: Field, feats: np.ndarray, seen: np.ndarray, chain: np.ndarray,
     messages stop as they settle or are out of rounds, whatever other documents' messages do.
     """
     k = len(LABELS)
-    own = feats @ field.unary.T
+    own = np.zeros((len(feats), k))
+    for f in range(FEATURES):  # not by a product of matrices, whose rounding depends on how many rows there are
+        own += feats[:, f, None] * field.unary[None, :, f]
     own = np.where(seen[:, None] >= 0, np.where(np.arange(k) == seen[:, None], 0.0, -1e9), own)  # beyond what any number of ties adds up to
     chain, skip = chain.reshape(-1, 2).astype(int), skip.reshape(-1, 2).astype(int)
     edges = np.concatenate((chain, skip))

@@ -401,6 +401,35 @@ def test_mixing(spark, docs, rows, none):
     assert 0 < some <= 2000
 
 
+@pytest.mark.parametrize("budget", [1.0, 1.5, 1.8, 2.0])
+def test_a_budget_keeps_to_the_limit(spark, budget):
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 20 else "small" if i % 40 else "tiny") for i in range(3000)]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    whole = int(budget * sum(size.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, max_repeats=2.0, budget=whole).toPandas()
+    times = Counter(zip(got.source, got.doc_id))
+    assert max(times.values()) <= 2
+    taken = Counter()
+    for s, n in zip(got.source, got.mix_tokens):
+        taken[s] += n
+    assert whole - 8 * len(size) <= sum(taken.values()) <= whole  # each source's cut leaves less than its next document
+    # the exponent is the smallest that keeps to it: a smaller one repeats the smallest source more
+    a = mixing.bisect_exponent(spark.createDataFrame(list(size.items()), "source string, tokens long"), None, 2.0, whole)
+    most = lambda x: max(whole * n**x / sum(v**x for v in size.values()) / n for n in size.values())
+    assert most(a) <= 2 + 1e-9 and (a == 0 or most(max(a - 1e-4, 0)) > 2 or most(0) <= 2)
+    for s, n in size.items():
+        assert abs(taken[s] - whole * n**a / sum(v**a for v in size.values())) <= 9
+
+
+def test_a_budget_beyond_the_limit_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a", "y")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_repeats=2.0, budget=9)
+
+
 @pytest.mark.parametrize("seed", [11, 5])
 def test_passes_are_permutations_of_blocks(spark, seed):
     rng = random.Random(seed)

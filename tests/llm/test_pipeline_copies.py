@@ -83,3 +83,14 @@ def test_fingerprints_reach_what_the_angle_says(near, least):
         x, y = np.concatenate((both[own:], a)), np.concatenate((both[own:], b))
         hits += any((copies.majority(copies.other_hash(x, k)) ^ copies.majority(copies.other_hash(y, k))).bit_count() <= 6 for k in range(2))
     assert hits >= least * 300
+
+
+def test_rows_are_told_apart_by_their_nulls(spark):
+    rows = [(1, "only text", None, 5), (1, None, "only text", 5), (2, None, None, 6), (2, None, None, 6), (3, "", None, 7), (3, None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies_own long")
+    keys = df.select(copies.row_key(df).alias("k")).distinct().count()
+    assert keys == 5
+    got = [tuple(r) for r in copies.first_of_copies(df).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[1]], key=repr)  # one text each: "only text", and none
+    nested = spark.createDataFrame([(1, [1, None]), (1, [None, 1]), (1, None), (1, [])], "doc_id long, text array<int>")
+    assert nested.select(copies.row_key(nested).alias("k")).distinct().count() == 4
