@@ -34,7 +34,7 @@ BITS, KAPPA, STEP = 16, 8.0, 0.005
 UNIT = 1 << 20
 #: Code points that are hashed at a time.
 WINDOW = 1 << 19
-#: Labels of up to so many documents are broadcast (at most 32 MB); more are joined by a shuffle.
+#: Labels of up to so many documents are broadcast (about 60 MB); more are joined by a shuffle.
 SENT = 1 << 20
 SYMBOLS = "#*$%&|<>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
