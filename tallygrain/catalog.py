@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrain import config, fixtures as fx
 from tallygrain.functions import detect, evidence, fuzzy, jsonx, prices, quantity, text, urls
-from tallygrain.operators import candidates as cand, repair, runlog
+from tallygrain.operators import brands, candidates as cand, repair, runlog
 from tallygrain.plans import match, reports, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,12 +122,18 @@ def numeric_verdict(spark, d):
 
 
 @query(
-    """SELECT p_partkey, array_to_string(f, ',') AS found, coalesce(f[1], '') AS first_brand FROM (SELECT p_partkey, list_filter(w, lambda x, i: x IN ('red', 'blue', 'green', 'steel', 'small', 'large') AND list_position(w, x) = i) AS f
-    FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type || ' small Reddish'), ' ') AS w FROM part))"""
+    """WITH names AS (SELECT DISTINCT lower(n) AS n FROM (SELECT p_brand AS n FROM part UNION ALL SELECT p_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT p_type FROM part WHERE p_type < 'M')),
+    pattern AS (SELECT ' (' || string_agg(replace(n, ' ', '  '), '|' ORDER BY -length(n), n) || ') ' AS re FROM names),
+    f AS (SELECT p_partkey, list_transform(regexp_extract_all(' ' || replace(lower(p_name || ' ' || p_type || ' ' || p_brand || ' or ' || p_name || ' small Reddish'), ' ', '  ') || ' ', re, 1), lambda x: replace(x, '  ', ' ')) AS a FROM part, pattern),
+    g AS (SELECT p_partkey, list_filter(a, lambda x, i: list_position(a, x) = i) AS f FROM f)
+    SELECT p_partkey, array_to_string(f, ',') AS found, coalesce(f[1], '') AS first_brand FROM g"""
 )
 def brand_literal(spark, d):
-    found = text.literal_brands(F.concat_ws(" ", "p_name", "p_type", F.lit("small Reddish")), ["Red", "Blue", "Green", "Steel", "Small", "Large"])
-    rows = fx.read(spark, d, "part").select("p_partkey", F.transform(found, F.lower).alias("f"))
+    """Names of one word and of several, some within others, from the products themselves."""
+    part = fx.read(spark, d, "part")
+    names = part.select(F.explode(F.array("p_brand", F.when(F.col("p_partkey") % 2 == 0, F.initcap("p_name")), F.initcap(F.substring_index("p_name", " ", 1)), F.when(F.col("p_type") < "M", F.col("p_type")))).alias("brandname_en"))
+    rows = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("or"), "p_name", F.lit("small Reddish")).alias("title"))
+    rows = brands.with_brands(rows, "title", brands.dictionary(names), "f", literal=True).withColumn("f", F.transform("f", F.lower))
     return rows.select("p_partkey", F.array_join("f", ",").alias("found"), F.coalesce(F.try_element_at("f", F.lit(1)), F.lit("")).alias("first_brand"))
 
 

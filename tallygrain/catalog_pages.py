@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallygrain import config, fixtures as fx
 from tallygrain.catalog import query
 from tallygrain.functions import detect, evidence, fuzzy, jsonx, prices, quantity, text, urls
-from tallygrain.operators import repair
+from tallygrain.operators import brands, repair
+from tallygrain.plans import match
 from tallygrain.sources import recorded
 
 
@@ -341,12 +342,28 @@ def brand_compare(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", fuzzy.compare_brands_exact_first(left, right).alias("verdict"))
 
 
-@query("SELECT p_partkey, ['Given', 'Red,Blue', 'ACME', '', 'Château', ''][p_partkey % 6 + 1] AS brands, ['', 'Red', '', '', 'Château', ''][p_partkey % 6 + 1] AS first FROM part")
+@query(
+    """SELECT c.client_id, c.updated_at, CASE WHEN c.client_id % 5 = 0 THEN c.source WHEN c.client_id % 5 = 1 THEN v.name || ',' || w.name WHEN c.client_id % 5 = 2 THEN v.name WHEN c.client_id % 5 = 3 THEN 'ZZ' || c.client_id ELSE '' END AS brands,
+        CASE WHEN c.client_id % 5 <= 1 THEN v.name ELSE '' END AS first
+    FROM clients c JOIN (SELECT vendor_id, any_value(name) AS name FROM vendors GROUP BY 1) v ON v.vendor_id = c.client_id % (SELECT count(DISTINCT vendor_id) FROM vendors) JOIN (SELECT vendor_id, any_value(name) AS name FROM vendors GROUP BY 1) w ON w.vendor_id = (c.client_id + 1) % (SELECT count(DISTINCT vendor_id) FROM vendors)
+    WHERE c.source IS NOT NULL AND v.name IS NOT NULL AND w.name IS NOT NULL"""
+)
 def brand_sources(spark, d):
-    title = _pick("p_partkey", "something", "a red, then BLUE thing", "ACME thing 3", "thing", "le chateau rouge", "")
-    supplied = F.when(F.col("p_partkey") % 6 == 0, " Given ")
-    names = ["Red", "Blue", "Château"]
-    return fx.read(spark, d, "part").select("p_partkey", F.array_join(fuzzy.extract_brands(title, names, supplied), ",").alias("brands"), F.coalesce(text.first_brand(title, names), F.lit("")).alias("first"))
+    """Vendors named in a client's text: given, two as they are but for case, one with a letter too many, a word in capitals, none."""
+    vendors = fx.read(spark, d, "vendors").groupBy("vendor_id").agg(F.any_value("name").alias("name"))
+    n, k = vendors.count(), F.col("client_id") % 5
+    rows = fx.read(spark, d, "clients").where("source IS NOT NULL")
+    for c, more in (("v", 0), ("w", 1)):
+        side = vendors.select(F.col("vendor_id").alias(c), F.col("name").alias(f"name_{c}"))
+        rows = rows.join(side, F.expr(f"(client_id + {more}) % {n}") == F.col(c)).where(F.col(f"name_{c}").isNotNull())
+    middle = F.floor(F.length("name_v") / 2).cast("int")
+    fault = F.concat(F.substring(F.col("name_v"), F.lit(1), middle), F.lit("x"), F.substring(F.col("name_v"), middle + 1, F.length("name_v")))
+    title = F.when(k <= 1, F.concat(F.lit("by "), F.upper("name_v"), F.lit(", and "), F.lower("name_w"))).when(k == 2, fault).when(k == 3, F.concat(F.lit("ZZ"), F.col("client_id").cast("string"), F.lit(" thing"))).otherwise("1")
+    rows = rows.withColumn("title", title)
+    names = brands.dictionary(vendors, "name")
+    rows = brands.with_brands(brands.with_brands(rows, "title", names, "all"), "title", names, "literal", literal=True)
+    told = match.supplied_or(F.when(k == 0, F.concat(F.lit(" "), "source", F.lit(" "))), F.col("all"))
+    return rows.select("client_id", "updated_at", F.array_join(told, ",").alias("brands"), F.coalesce(F.try_element_at("literal", F.lit(1)), F.lit("")).alias("first"))
 
 
 #: Titles of each rule of the grammar, with the part's size where there is an @, and what they hold.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallygrain import config, fixtures as fx
 from tallygrain.catalog import query
 from tallygrain.functions import text, urls
-from tallygrain.operators import candidates as cand, repair, runlog
+from tallygrain.operators import brands, candidates as cand, repair, runlog
 from tallygrain.plans import reports, views
 from tallygrain.session import shared_dir
 from tallygrain.sources import recorded, sinks
@@ -347,9 +347,7 @@ def report_url_rows(spark, d):
 def brand_dictionary(spark, d):
     part = fx.read(spark, d, "part")
     names = part.select(F.col("p_brand").alias("b")).unionAll(part.select(F.substring("p_type", 1, 3))).unionAll(part.select(F.col("p_size").cast("string"))).unionAll(spark.createDataFrame([(" ",), (None,)], "b string"))
-    brands = text.load_brands(names, "b")
-    safe = set(text.fuzzy_safe(brands))
-    return spark.createDataFrame([(b, i + 1, b in safe) for i, b in enumerate(brands)], "brand string, position long, fuzzy_safe boolean")
+    return brands.positions(brands.dictionary(names, "b")).select(F.col("name").alias("brand"), "position", "fuzzy_safe")
 
 
 @query("SELECT 'tallygrain_nation' AS relation, count(*) AS n FROM nation UNION ALL SELECT 'tallygrain_region', count(*) FROM region UNION ALL SELECT 'tallygrain_supplier', count(*) FROM supplier")

@@ -10,6 +10,7 @@ from tallygrain import config, fixtures as fx
 from tallygrain.catalog import _results, query, steps
 from tallygrain.catalog_pages import _pick
 from tallygrain.functions import detect, evidence, fuzzy, jsonx, quantity, text, urls
+from tallygrain.operators import brands
 from tallygrain.plans import match, views
 from tallygrain.sources import recorded, sinks
 
@@ -163,12 +164,18 @@ def markdown_region(spark, d):
     return spark.createDataFrame([(re.search(r"(?s)<!-- BEGIN t -->\n(.*)\n<!-- END t -->\nz$", whole)[1],)], "body string")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Acme Tools' WHEN p_partkey % 5 = 1 THEN 'Acme Tools' WHEN p_partkey % 5 = 2 THEN 'Zephyr' END AS brand FROM part")
+@query(
+    """SELECT vendor_id, CASE vendor_id % 5 WHEN 4 THEN NULL ELSE (SELECT min(w.name) FROM vendors w WHERE lower(strip_accents(trim(w.name))) = lower(strip_accents(trim(v.name)))) END AS brand
+    FROM (SELECT DISTINCT vendor_id, name FROM vendors WHERE name IS NOT NULL) v"""
+)
 def nearest_brands(spark, d):
-    """A name within a word, one with a letter's fault, a text within a name, and texts that are like none."""
-    near = fuzzy.nearest_brand(["Acme Tools", "Zephyr", "Quux Labs"])
-    title = _pick("p_partkey", "superacme toolshop", "Acme Toolz", "zephyr", "hammer with grip", "abcd")
-    return fx.read(spark, d, "part").select("p_partkey", near(title).alias("brand"))
+    """Vendors' names with a letter's fault, within a longer word, with their words in another order, without accents, and texts like none."""
+    vendors = fx.read(spark, d, "vendors").where("name IS NOT NULL").select("vendor_id", "name").distinct()
+    turned = F.array_join(F.reverse(F.split("name", " ")), " ")
+    title = _pick("vendor_id", F.concat("name", F.lit("q")), F.concat(F.lit("##zzzz"), F.upper("name"), F.lit("qqqq,qq")), turned, F.upper(text.remove_accents(F.col("name"))), F.concat(F.lit("??"), F.col("vendor_id").cast("string"), F.lit("??")))
+    rows = vendors.withColumn("text", title)
+    near = brands.nearest_names(rows.select("text").distinct(), brands.dictionary(vendors, "name"))
+    return rows.select("vendor_id", "text").join(near.select("text", F.col("name").alias("brand")), "text", "left").select("vendor_id", "brand")
 
 
 @query("SELECT host, site FROM (VALUES " + ", ".join(f"('{h}', '{s}')" for h, s in config.HOSTS.items()) + ") t(host, site)")

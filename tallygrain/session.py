@@ -9,7 +9,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
@@ -53,3 +53,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"tallygrain-{os.getuid()}")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what is read many times is worked out once, and again by no lost executor."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

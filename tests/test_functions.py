@@ -72,11 +72,6 @@ def test_text(spark):
     assert one(spark, text.strip_fence(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert one(spark, text.title_core(F.lit("Tea 40g | Shop - x"))) == "Tea 40g"
     assert each(spark, [("Was £3.00",), ("£2",), ("some very new price label £5",)], "x string", text.price_label(F.col("x"))) == ["was", "", "new price label"]
-    brands = ["Tetley", "Tropical", "Coca-Cola", "3M", "L'Oréal", "C++"]
-    got = each(spark, [("Tetley 20 Supergreen Tropical Tea",), ("loreal shampoo L'ORÉAL",), ("x3M 3m tape",), ("",), (None,), ("c++ book",)], "x string", text.literal_brands(F.col("x"), brands))
-    assert got == [["Tetley", "Tropical"], ["L'Oréal"], ["3M"], [], [], ["C++"]]
-    df = spark.createDataFrame([(" Ab ",), ("Abc",), (None,), ("",), ("Abc",)], "brandname_en string")
-    assert text.load_brands(df) == ["Abc", "Ab"] and text.fuzzy_safe(["1234", "abcd", "abc"]) == ["abcd"]
 
 
 BRANDS = [(["Kopparberg"], ["Kopparberg"], "pass"), (["L'Oréal"], ["Loreal"], "pass"), (["Tetley", "Tropical"], ["Tetley"], "pass"), (["Coca-Cola"], ["Pepsi"], "fail"), ([], ["Kopparberg"], "unknown"), (["Kopparberg"], [], "unknown"), ([], [], "unknown"), ([" "], ["x"], "fail")]
@@ -87,8 +82,6 @@ def test_brand_verdicts(spark):
     assert each(spark, rows, "a array<string>, b array<string>", fuzzy.compare_brands_exact_first(F.col("a"), F.col("b"))) == [v for *_, v in BRANDS]
     assert fuzzy.brands_verdict(["Coca-Cola", "Cole"], ["Cola"]) != "fail"
     assert fuzzy.weighted_ratio("abc", "abc") == 100 and fuzzy.weighted_ratio("", "a") == 0 and fuzzy.common("kitten", "sitting") == 4
-    got = each(spark, [("Tetley tea", None), ("Tetly", None), ("ACME thing", None), ("12 thing", None), ("x", " Own "), (None, None)], "t string, s string", fuzzy.extract_brands(F.col("t"), ["Tetley"], F.col("s")))
-    assert got == [["Tetley"], ["Tetley"], ["ACME"], [], ["Own"], []]
 
 
 def product(**x):
