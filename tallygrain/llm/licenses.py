@@ -134,12 +134,13 @@ def pattern(rule: list[str]) -> str:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB SQL, but for VERSION: it still cuts after "v.", so texts that have it are told apart."""
+    """The same scan in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = "map {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in known().items()) + "}"
     stems = STEMS + "|this program|you may|either version|neither the name"
 
     def lines(flat: str) -> str:
+        flat = f"regexp_replace({flat}, {quote(VERSION.replace('(?=[0-9])', '([0-9])'))}, 'version \\1', 'g')"
         cut = f"regexp_split_to_array(regexp_replace({flat}, {quote(STOPS)}, '\\1' || chr(10), 'g'), '[\\n\\r]+')"
         norm = "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', '\\1', 'g'), ' ')"
         return f"CASE WHEN regexp_matches(lower(t), {quote(STEMS)}) THEN list_transform(list_filter({cut}, lambda s: regexp_matches(lower(s), {quote(stems)})), lambda s: {norm}) ELSE [] END"

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Orders of the n-grams, in UTF-8 bytes of the lower-cased text; so many bits of a hash name a feature.
+#: Orders of the n-grams, in characters (code points) of the lower-cased text; so many bits of a hash name a feature.
 ORDERS, BITS = (3, 4, 5, 6), 20
-#: Bytes of a text that are hashed at a time.
+#: Characters of a text that are hashed at a time.
 WINDOW = 1 << 20
 STEP, MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -39,19 +39,17 @@ class Model:
 
 
 def text_windows(text: str | None) -> Iterator[np.ndarray]:
-    """The bytes of a text in windows that overlap by the longest n-gram less one."""
-    raw = b" " + (text or "").lower().encode("utf-8", "surrogatepass") + b" "
-    if len(raw) == 2:
+    """The code points of a text in windows that overlap by the longest n-gram less one."""
+    if not text:
         return
-    data = np.frombuffer(raw, np.uint8)
+    data = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     for a in range(0, max(1, len(data) - ORDERS[-1] + 1), WINDOW):
         yield data[a : a + WINDOW + ORDERS[-1] - 1]
 
 
 def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
     """Feature numbers of the n-grams of each order."""
-    codes = data.astype(np.uint32)
-    h = codes
+    h = codes = data
     for n in range(2, ORDERS[-1] + 1):
         if len(codes) < n:
             return

@@ -246,6 +246,18 @@ def test_repeats(docs, rows, none, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_license_sql_reads_versions_as_the_query(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = ["Licensed under the Mozilla Public License, v. 2.0. All rights reserved.", "under license V.  3 here. licensed.", "rev. 2 license. v. x license", "v.\n2 license", None, ""]
+    want = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = c.execute(f"SELECT doc_id, sentence_ids, wrapped_ids, licenses, n_known, n_unknown FROM ({licenses.oracle()}) ORDER BY doc_id").fetchall()
+    assert got == [tuple(r) for r in want]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     texts, labels = [], []
@@ -277,10 +289,57 @@ def test_toxicity(spark, none):
 def test_toxicity_covers_long_texts_across_windows(monkeypatch):
     monkeypatch.setattr(toxicity, "WINDOW", 64)
     text = "abc def " * 50
-    whole = set(np.concatenate(list(toxicity.hashed(np.frombuffer((" " + text + " ").encode(), np.uint8)))).tolist())
+    whole = set(np.concatenate(list(toxicity.hashed(np.frombuffer((" " + text + " ").encode("utf-32-le"), np.uint32)))).tolist())
     assert set(toxicity.features(text).tolist()) == whole
 
 
+def test_features_are_runs_of_characters():
+    def slow(text):
+        """Each run of 3 to 6 characters of the padded text, hashed letter by letter."""
+        out, t = set(), f" {text.lower()} "
+        for n in toxicity.ORDERS:
+            for i in range(len(t) - n + 1):
+                h = ord(t[i])
+                for c in t[i + 1 : i + n]:
+                    h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+                x = ((h ^ n) * 0x9E3779B1) & 0xFFFFFFFF
+                x ^= x >> 15
+                out.add(((x * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        return out
+
+    for text in ("a", "汉", "汉字", "é", "Ünïcode texts 汉字 and \U0001f600 more", "abc abc", "\n"):
+        assert set(toxicity.features(text).tolist()) == slow(text)
+    assert len(toxicity.features("汉")) == 1 and len(toxicity.features("")) == len(toxicity.features(None)) == 0
+
+
+def test_the_classifier_is_logistic_regression_over_scaled_counts():
+    """The same steps on a dense table of features."""
+    rng = random.Random(6)
+    texts = [" ".join(word(rng) for _ in range(rng.randint(4, 25))) + rng.choice(["", " idiot"] if i % 3 else [" idiot", " scum 汉字"]) for i in range(60)]
+    y = np.array([int(i % 3 == 0) for i in range(60)])
+    model = toxicity.fit(texts, y, (300, 100), 1.0, 1e-4, 80)
+    every = sorted(set().union(*(toxicity.features(t).tolist() for t in texts)))
+    x = np.array([[f in own for f in every] for own in (set(toxicity.features(t).tolist()) for t in texts)], float)
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    count = np.array([x[y == 0].sum(0), x[y == 1].sum(0)])
+    a = count + 0.5
+    r = np.log(a[1] / (n[1] + 1)) - np.log(a[0] / (n[0] + 1))
+    keep = (np.abs(r) / np.sqrt(1 / a[0] + 1 / a[1]) >= 1.0) & (count.sum(0) >= 4)
+    assert 10 < keep.sum() < len(every)
+    x, r = x[:, keep] * r[keep], r[keep]
+    w, b, m, v = np.zeros(len(r)), 0.0, np.zeros(len(r) + 1), np.zeros(len(r) + 1)
+    share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    for t in range(1, 81):
+        g = share * (1 / (1 + np.exp(-(b + x @ w))) - y)
+        grad = np.append(x.T @ g + 1e-4 * w, g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    want = x @ w + b + np.log(100.5 / 300.5)
+    assert np.allclose([toxicity.log_odds(t, model) for t in texts], want, atol=1e-4)
+    assert ((np.array([toxicity.log_odds(t, model) for t in texts]) > 0) == (y == 1)).mean() > 0.8
+
+
 def test_pii(spark, none):
     phone, mail = "+49 (030) 1234-5678", "jo.doe@mail4.example.com"
     texts = [
