@@ -1,7 +1,7 @@
 """Price evidence of product pages: one pass of a forgiving HTML parser emits every amount with its surroundings, and the
 main price block; what they mean is decided in columns.
 
-Pages that are not well formed are read as they come, without repair, so their nesting can differ from a browser's.
+Pages that are not well formed are read as browsers read them (``Tree``).
 """
 
 from __future__ import annotations
@@ -89,28 +89,217 @@ class Node:
             stack += [c for c in reversed(at.children) if isinstance(c, Node)]
 
 
+# What browsers' tree construction knows of elements.
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
+BLOCKS = {
+    *("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form"),
+    *("header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"),
+}
+CELLS = {"td", "th", "caption"}
+TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
+#: What ends a search up the tree for an element to close.
+WALLS = {"", "html", "table", "template", "button", "object", "applet", "marquee", *CELLS}
+#: For a start tag: the open elements that it closes, and what keeps it from looking further up.
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "rt": ({"rt", "rp"}, {"ruby"}),
+    "rp": ({"rt", "rp"}, {"ruby"}),
+    "button": ({"button"}, set()),
+    "a": ({"a"}, set()),
+    **{t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")},
+    "tr": ({"tr", "caption", "colgroup"}, {"table", "tbody", "thead", "tfoot"}),
+    **{t: ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}) for t in ("tbody", "thead", "tfoot", "caption", "colgroup")},
+}
+
+
 class Tree(HTMLParser):
+    """Pages as browsers read them: end tags that are left out are implied, an end tag closes nothing beyond its scope, formatting
+    that is closed across blocks or left open goes on where it would, and what has no place in a table stands before it."""
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {})
+        #: Formatting that is open, or was cut off by the end of a block; None parts a cell's from what is around its table.
+        self.active: list[Node | None] = []
+        #: What stands before a table, by id, but was open within it: the place that its end leads back to.
+        self.back: dict[int, Node] = {}
         self.feed(html)
         self.close()
 
+    # ---- where things go
+
+    def outer(self, node: Node) -> Node | None:
+        """The element that was open when this one began."""
+        return self.back.get(id(node), node.parent)
+
+    def up(self) -> Iterator[Node]:
+        at = self.at
+        while at is not None:
+            yield at
+            at = self.outer(at)
+
+    def stray(self) -> bool:
+        """Whether the place is within a table, but in no cell of it."""
+        return self.at.tag in TABLE_PARTS and self.root is not self.at
+
+    def put(self, node: Node | str) -> None:
+        """Add at the place, or before the table that has no room for it."""
+        parent = self.at
+        if self.stray() and not (isinstance(node, str) and not node.strip()):
+            table = next(n for n in self.up() if n.tag == "table" or n.parent is None)
+            if table.parent is not None:
+                parent = table.parent
+                at = next(i for i, c in enumerate(parent.children) if c is table)
+                if isinstance(node, Node):
+                    node.parent = parent
+                    self.back[id(node)] = self.at
+                parent.children.insert(at, node)
+                return
+        if isinstance(node, Node):
+            node.parent = parent
+        parent.children.append(node)
+
+    def open(self, tag: str, attrs: dict[str, str], inside: bool = False) -> Node:
+        node = Node(tag, attrs)
+        if inside:  # parts of a table have their place there
+            node.parent = self.at
+            self.at.children.append(node)
+        else:
+            self.put(node)
+        self.at = node
+        return node
+
+    def reopen(self) -> None:
+        """Formatting that a block's end cut off goes on."""
+        last = max((i for i, n in enumerate(self.active) if n is None), default=-1)
+        held = {id(n) for n in self.up()}
+        for i in range(last + 1, len(self.active)):
+            if id(self.active[i]) not in held:
+                self.active[i] = self.open(self.active[i].tag, self.active[i].attrs)
+
+    def leave(self, node: Node) -> None:
+        """Close an element and all within it."""
+        for n in self.up():
+            if n.tag in CELLS and None in self.active:
+                del self.active[len(self.active) - 1 - self.active[::-1].index(None) :]
+            if n is node:
+                break
+        self.at = self.outer(node)
+
+    def close_open(self, tags: set[str], stops: set[str]) -> None:
+        """Close the outermost of these that is open this side of what stops the search."""
+        found = None
+        for n in self.up():
+            if n.tag in tags:
+                found = n
+            if n.tag in stops or n.tag in WALLS - CELLS or n.tag in CELLS and not stops & TABLE_PARTS:
+                break
+        if found is not None:
+            if found.tag in FORMATTING:
+                self.active = [n for n in self.active if n is not found]
+            self.leave(found)
+
+    # ---- what the parser tells
+
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        own = {k: v or "" for k, v in attrs}
+        if tag in ("html", "head", "body") and any(n.tag == tag for n in self.walk_open(tag)):
+            return
+        if tag == "body":
+            self.close_open({"head"}, {"html"})
+        if tag in CLOSES:
+            self.close_open(*CLOSES[tag])
+        if tag in BLOCKS:
+            self.close_open({"p"}, set())
+            if tag in HEADINGS and self.at.tag in HEADINGS:
+                self.leave(self.at)
+        if tag in CELLS or tag in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
+            if not any(n.tag == "table" for n in self.up()):
+                return  # a part of no table is no element
+            while self.at.tag not in (*TABLE_PARTS, "colgroup"):
+                self.at = self.outer(self.at)
+            for need in (["tbody", "tr"] if tag in ("td", "th") else ["tbody"] if tag == "tr" else []):
+                if self.at.tag == "table" and need == "tbody" or self.at.tag in ("tbody", "thead", "tfoot") and need == "tr":
+                    self.open(need, {}, True)
+            node = self.open(tag, own, True)
+            if tag == "col":
+                self.at = node.parent
+            if tag in CELLS:
+                self.active.append(None)
+            return
+        if tag not in BLOCKS and tag not in ("script", "style", "template", "title", "meta", "link", "html", "head", "body"):
+            self.reopen()
+        stray = self.stray() and tag not in ("script", "style", "template")
+        back = self.at
+        node = self.open(tag, own, self.stray() and not stray)
+        if tag in VOID:
+            self.at = back
+        elif tag in FORMATTING:
+            self.active.append(node)
+
+    def walk_open(self, tag: str) -> Iterator[Node]:
+        """The open elements, and below the root those that the page may hold once only."""
+        yield from self.up()
+        yield from (c for top in (self.root, *[n for n in self.root.children if isinstance(n, Node)]) for c in top.children if isinstance(c, Node) and c.tag == tag)
 
     def handle_endtag(self, tag):
-        for node in self.at.up():
+        if tag in ("body", "html"):
+            return  # what follows them still belongs to the body
+        if tag == "br":
+            return self.handle_starttag("br", [])
+        if tag in FORMATTING:
+            return self.end_formatting(tag)
+        walls = WALLS | ({"ul", "ol", "menu"} if tag == "li" else set())
+        walls -= {"table"} if tag in TABLE_PARTS or tag in CELLS else set()
+        for node in self.up():
             if node.tag == tag and node.parent is not None:
-                self.at = node.parent
+                return self.leave(node)
+            if node.tag in walls and not (tag in TABLE_PARTS and node.tag in CELLS) and not (tag == "table"):
+                break
+            if tag in (*TABLE_PARTS, *CELLS) and node.tag == "table":
+                break
+        if tag == "p":  # an end without a start is an empty paragraph
+            self.put(Node("p", {}))
+
+    def end_formatting(self, tag: str) -> None:
+        """Close formatting; of a block that began within it only what came before its end is formatted."""
+        last = max((i for i, n in enumerate(self.active) if n is None), default=-1)
+        node = next((n for n in reversed(self.active[last + 1 :]) if n.tag == tag), None)
+        if node is None:
+            return
+        self.active = [n for n in self.active if n is not node]
+        above = []
+        for n in self.up():
+            if n is node:
                 break
+            above.append(n)
+        else:
+            return  # it was cut off already, and does not go on
+        block = next((n for n in reversed(above) if n.tag in BLOCKS or n.tag in CELLS), None)
+        if block is None:
+            self.at = self.outer(node)
+            return
+        inner = Node(tag, node.attrs, block, block.children)
+        for child in inner.children:
+            if isinstance(child, Node):
+                child.parent = inner
+        block.children = [inner]
+        block.parent.children = [c for c in block.parent.children if c is not block]
+        block.parent = node.parent
+        at = next(i for i, c in enumerate(node.parent.children) if c is node)
+        node.parent.children.insert(at + 1, block)
+        # blocks that are open within the block stay there, below the formatting that its contents had
+        self.at = above[0] if above[0] is not block else block
 
     def handle_data(self, data):
         if data:
-            self.at.children.append(data)
+            if data.strip() and self.at.tag not in ("script", "style", "title"):
+                self.reopen()
+            self.put(data)
 
 
 def number(text: str) -> str:
