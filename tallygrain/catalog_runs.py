@@ -10,7 +10,7 @@ from tallygrain.functions import text, urls
 from tallygrain.operators import brands, candidates as cand, repair, runlog
 from tallygrain.plans import reports, views
 from tallygrain.session import shared_dir
-from tallygrain.sources import recorded, sinks
+from tallygrain.sources import flush, recorded, sinks
 
 # ---- run log ------------------------------------------------------------------------------------------------------
 
@@ -236,6 +236,24 @@ def trace_flush(spark, d):
     return events.select("run_id", "task_id", F.col("attempt_no").cast("long").alias("attempt_no"), F.col("seq").cast("long").alias("seq"), "node", "status")
 
 
+@query(
+    fx.sql(
+        """SELECT 'node_events' AS relation, run_id, task_id, node, status, count(*) AS n FROM node_events WHERE run_id <> 'run3' GROUP BY ALL
+        UNION ALL SELECT 'tasks', run_id, task_id, NULL, verdict, count(*) FROM tasks WHERE run_id <> 'run3' GROUP BY ALL""",
+        "node_events",
+        "tasks",
+    )
+)
+def atomic_flush(spark, d):
+    """Each run flushed as one, one of them twice: it counts once."""
+    path = shared_dir(spark, "flush")
+    events, tasks = (f(spark, d).drop("ts") for f in (fx.node_events, fx.tasks))
+    for run in ("run0", "run1", "run2", "run4", "run1"):
+        flush.flush({"node_events": events.where(F.col("run_id") == run), "tasks": tasks.where(F.col("run_id") == run)}, path, run)
+    told = [flush.flushed(spark, path, n).groupBy(F.lit(n).alias("relation"), "run_id", "task_id", F.col("node") if n == "node_events" else F.lit(None).cast("string").alias("node"), F.col("status" if n == "node_events" else "verdict").alias("status")).agg(F.count("*").alias("n")) for n in ("node_events", "tasks")]
+    return told[0].unionByName(told[1])
+
+
 @query(fx.sql("SELECT task_id, run_id, NULL::VARCHAR AS product_name, verdict FROM tasks", "tasks"))
 def payload_suppressed(spark, d):
     return sinks.suppressed(fx.tasks(spark, d).select("task_id", "run_id", "product_name", "verdict"), ["product_name"], store=False)

@@ -80,14 +80,36 @@ def zipped_rows(spark, d):
 
 
 @query(
-    """SELECT page_id, o = 'value' AS ok, CASE WHEN o = 'value' THEN '{"n": 1}' END AS value, CASE WHEN o <> 'value' THEN o END AS error_type, CASE o WHEN 'Violation' THEN 'import: os' WHEN 'Timeout' THEN 'TimeoutError: 5 s' WHEN 'Exception' THEN 'ValueError: no' END AS message
-    FROM (SELECT page_id, ['value', 'Violation', 'Timeout', 'Exception'][page_id % 4 + 1] AS o FROM pages)"""
+    """SELECT page_id, o = 'value' AS ok, CASE WHEN o = 'value' THEN '{"n": ' || length(html) || '}' END AS value, CASE WHEN o <> 'value' THEN o END AS error_type,
+        CASE o WHEN 'Violation' THEN 'import: os' WHEN 'Timeout' THEN 'TimeoutError: over 0.5 s' WHEN 'Exception' THEN CASE WHEN page_id % 100 = 31 THEN 'MemoryError: ' ELSE 'ValueError: ' || url END END AS message
+    FROM (SELECT page_id, html, url, CASE WHEN page_id % 7 = 3 THEN 'Violation' WHEN page_id % 100 = 57 THEN 'Timeout' WHEN page_id % 100 = 31 OR page_id % 5 = 2 THEN 'Exception' ELSE 'value' END AS o FROM pages)"""
 )
 def sandbox_outcomes(spark, d):
-    k = F.col("page_id")
-    fault = F.when(k % 4 == 1, detect.parser_fault(F.lit("import os")))
-    o = recorded.sandbox_outcome(k % 4 < 2, F.when(k % 4 < 2, '{"n": 1}'), F.when(k % 4 == 2, "TimeoutError: 5 s").when(k % 4 == 3, "ValueError: no"), fault)
-    return fx.read(spark, d, "pages").select("page_id", o["ok"].alias("ok"), o["value"].alias("value"), o["error_type"].alias("error_type"), o["message"].alias("message"))
+    """One parser that counts letters, never ends, asks for 4 GB or raises, by the page; what its source breaks goes before what it did."""
+
+    def moody(html, url):
+        number, url = url.split(" ", 1)
+        if int(number) % 100 == 57:
+            while True:
+                pass
+        if int(number) % 100 == 31:
+            return {"n": len(bytearray(4 << 30))}
+        if int(number) % 5 == 2:
+            raise ValueError(url)
+        return {"n": len(html)}
+
+    kept = dict(recorded.PARSERS)
+    recorded.PARSERS.update(moody=moody)
+    try:
+        pages = fx.read(spark, d, "pages").select(F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("url"), "html")
+        ran = recorded.run_parsers(pages, ["moody"], seconds=0.5)
+    finally:
+        recorded.PARSERS.clear()
+        recorded.PARSERS.update(kept)
+    k = F.substring_index("url", " ", 1).cast("long")
+    source = F.when(k % 7 == 3, "import os").otherwise("import re")
+    o = recorded.sandbox_outcome(F.col("ok"), F.col("output"), F.col("error"), detect.parser_fault(source))
+    return ran.select(k.alias("page_id"), o["ok"].alias("ok"), o["value"].alias("value"), o["error_type"].alias("error_type"), o["message"].alias("message"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k' WHEN 1 THEN 'b,z' ELSE '' END AS unknown FROM events")

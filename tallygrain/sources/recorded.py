@@ -3,8 +3,11 @@ registers; readers for workbooks, JSON bodies and dimensions."""
 
 from __future__ import annotations
 
+import json
+import multiprocessing
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -163,24 +166,80 @@ def table_counts(spark: SparkSession, names: list[str] | None = None) -> DataFra
     return out
 
 
-def run_parsers(pages: DataFrame, names: list[str]) -> DataFrame:
+class Sandbox:
+    """Calls in a process of their own, with a deadline and room of memory for each: what overruns either is killed and told, and
+    the next call gets a new process."""
+
+    def __init__(self, functions: list[Callable[[str, str], dict]], seconds: float, megabytes: int):
+        self.functions, self.seconds, self.megabytes = functions, seconds, megabytes
+        self.process = self.pipe = None
+
+    def start(self) -> None:
+        context = multiprocessing.get_context("fork")  # functions need not be sent
+        self.pipe, theirs = context.Pipe()
+        self.process = context.Process(target=self.serve, args=(theirs,), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def serve(self, pipe) -> None:
+        import resource
+
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[0]) * resource.getpagesize()
+        most = held + (self.megabytes << 20)
+        resource.setrlimit(resource.RLIMIT_AS, (most, most))
+        while True:
+            i, html, url = pipe.recv()
+            try:
+                told = (True, json.dumps(self.functions[i](html, url), default=str), None)
+            except BaseException as e:  # whatever a plug-in raises belongs to its row, an exit too
+                told = (False, None, f"{type(e).__name__}: {e}")
+            pipe.send(told)
+
+    def call(self, i: int, html: str, url: str) -> tuple[bool, str | None, str | None]:
+        if self.process is None:
+            self.start()
+        try:
+            self.pipe.send((i, html, url))
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            told = (False, None, f"TimeoutError: over {self.seconds:g} s")
+        except (EOFError, OSError):
+            self.process.join(1)
+            told = (False, None, f"ChildProcessError: ended with {self.process.exitcode}")
+        self.stop()
+        return told
+
+    def stop(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = self.pipe = None
+
+
+def run_parsers(pages: DataFrame, names: list[str], seconds: float = 10.0, megabytes: int = 512) -> DataFrame:
     """Registered parsers on every page, in order: url, position, parser, ok, output (JSON) or error. One parser's failure is
-    a row like any other."""
-    import json
-
-    import pyarrow as pa
+    a row like any other.
 
+    Each call has so many seconds, and so many megabytes besides what the worker holds: one that loops ends as TimeoutError,
+    one that asks for more as MemoryError, one that takes its process down as ChildProcessError. A task keeps one process for its calls.
+    """
     chosen = [(i, n, PARSERS[n]) for i, n in enumerate(names)]
 
     def run(batches):
+        box = Sandbox([f for *_, f in chosen], seconds, megabytes)
+        try:
+            yield from tried(batches, box)
+        finally:
+            box.stop()
+
+    def tried(batches, box):
         for batch in batches:
             rows = []
             for url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, n, f in chosen:
-                    try:
-                        rows.append((url, i, n, True, json.dumps(f(html or "", url), default=str), None))
-                    except Exception as e:  # whatever a plug-in raises belongs to its row
-                        rows.append((url, i, n, False, None, f"{type(e).__name__}: {e}"))
+                for i, n, _ in chosen:
+                    rows.append((url, i, n, *box.call(i, html or "", url)))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string()))], ["url", "position", "parser", "ok", "output", "error"])
 
