@@ -246,14 +246,18 @@ def run_parsers(pages: DataFrame, names: list[str], seconds: float = 10.0, megab
     return pages.select("url", "html").mapInArrow(run, "url string, position int, parser string, ok boolean, output string, error string")
 
 
+def poll_end(status: Column) -> Column:
+    """pending, ready or failed, or auth_error where access was refused."""
+    return F.when(F.lower(status).isin("unauthorized", "forbidden"), "auth_error").otherwise(poll_state(status))
+
+
 def poll_outcomes(polls: DataFrame, deadline: int) -> DataFrame:
     """How each job's polling ended, from its recorded polls (job_id, at, status): ready or failed at the first such state by
     the deadline (seconds from the start), auth_error where access was refused, else timeout; and how many polls it took.
 
     Polls after the end do not count, and none triggers the job again.
     """
-    state = F.when(F.lower("status").isin("unauthorized", "forbidden"), "auth_error").otherwise(poll_state(F.col("status")))
-    own = polls.where(F.col("at") <= deadline).withColumn("state", state)
+    own = polls.where(F.col("at") <= deadline).withColumn("state", poll_end(F.col("status")))
     per = own.groupBy("job_id").agg(F.min(F.when(F.col("state") != "pending", F.struct("at", "state"))).alias("end"), F.sort_array(F.collect_list("at")).alias("times"))
     took = F.size(F.filter("times", lambda t: F.col("end").isNull() | (t <= F.col("end.at"))))
     known = polls.select("job_id").distinct().join(per, "job_id", "left")

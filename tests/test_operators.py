@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tallygrain.operators import candidates as cand, runlog
 from tallygrain.plans import reports, views
 from tallygrain.sources import recorded, sinks
-from tallygrain.streaming import runs as streams
 
 
 def at(seconds):
@@ -24,17 +23,6 @@ def test_dedup_window(spark):
     assert runlog.dedup_successes(df.limit(0)).count() == 0
 
 
-def test_dedup_stream_equals_batch(spark, tmp_path):
-    rows = [(i, f"u{i % 3}", "s", "success" if i % 4 else "scrape_failed", 1, at(i * 700)) for i in range(40)]
-    df = spark.createDataFrame(rows, RUNS)
-    for k in range(4):  # four files, four micro-batches, in order of time
-        df.where((F.col("id") >= k * 10) & (F.col("id") < k * 10 + 10)).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    src = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = streams.dedup_stream(src).writeStream.format("memory").queryName("dedup_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r.id for r in spark.table("dedup_out").collect()) == sorted(r.id for r in runlog.dedup_successes(df).collect())
-
-
 def test_parser_order_and_prunes(spark):
     parsers = spark.createDataFrame([("s", 1, "active"), ("s", 2, "active"), ("s", 3, "active"), ("s", 4, "retired"), ("t", 5, "active")], "site string, id long, status string")
     runs = spark.createDataFrame([(i, "u", "s", "success", 2 if i < 5 else 1, at(i)) for i in range(7)], RUNS)
