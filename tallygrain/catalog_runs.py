@@ -10,7 +10,7 @@ from tallygrain.functions import text, urls
 from tallygrain.operators import brands, candidates as cand, repair, runlog
 from tallygrain.plans import reports, views
 from tallygrain.session import shared_dir
-from tallygrain.sources import flush, recorded, sinks
+from tallygrain.sources import flush, recorded, sinks, versions
 
 # ---- run log ------------------------------------------------------------------------------------------------------
 
@@ -321,6 +321,24 @@ def appended_log(spark, d):
     return spark.read.parquet(path).select("id", "site", "outcome", "batch")
 
 
+@query(
+    """SELECT user_id, n, latest, CASE WHEN user_id % 9 = 5 THEN 'stale' ELSE 'open' END AS status FROM (
+        SELECT user_id, count(*) FILTER (WHERE event_id % 2 = 0 OR user_id % 4 = 1) AS n, max(event_id) FILTER (WHERE event_id % 2 = 0 OR user_id % 4 = 1) AS latest FROM events GROUP BY 1)
+    WHERE n > 0 AND user_id % 11 <> 7"""
+)
+def changed_in_place(spark, d):
+    """Counters by user: made from every other event, the others' added for some users, some marked, some deleted."""
+    e = fx.read(spark, d, "events").select("user_id", "event_id")
+    counted = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("latest"), F.lit("open").alias("status"))
+    table = versions.Versioned(spark, shared_dir(spark, "counters"), ["user_id"], 16)
+    table.create(counted(e.where("event_id % 2 = 0")))
+    table.upsert(counted(e.where("event_id % 2 = 1 AND user_id % 4 = 1")), {"n": lambda old, new: old + new, "latest": F.greatest})
+    users = e.select("user_id").distinct()
+    table.update(users.where("user_id % 9 = 5"), {"status": "stale"})
+    table.delete(users.where("user_id % 11 = 7"))
+    return table.rows()
+
+
 # ---- sources ------------------------------------------------------------------------------------------------------
 
 
@@ -405,9 +423,13 @@ def largest_pages(spark, d):
 
 @query(
     "SELECT string_agg(code, ', ' ORDER BY code) AS codes, name, region, gl FROM (VALUES "
-    + ", ".join(f"('{c}', '{config.COUNTRY_NAMES[c]}', '{config.DDG_REGION[c]}', '{config.SERPER_GL[c]}')" for c in config.DDG_REGION)
-    + ") t(code, name, region, gl) GROUP BY 2, 3, 4"
+    + ", ".join(f"({i}, '{c}', '{config.COUNTRY_NAMES[c]}', '{config.DDG_REGION[c]}', '{config.SERPER_GL[c]}')" for i, c in enumerate(config.DDG_REGION))
+    + f") t(k, code, name, region, gl) WHERE k IN (SELECT n_nationkey % {len(config.DDG_REGION)} FROM nation) GROUP BY 2, 3, 4"
 )
 def country_table(spark, d):
-    codes = spark.createDataFrame([(c, config.COUNTRY_NAMES[c]) for c in config.DDG_REGION], "code string, name string")
+    """Of the countries that the nations stand for."""
+    known = list(config.DDG_REGION)
+    code = F.element_at(F.array(*map(F.lit, known)), (F.col("n_nationkey") % len(known) + 1).cast("int"))
+    names = F.create_map(*[F.lit(x) for c in known for x in (c, config.COUNTRY_NAMES[c])])
+    codes = fx.read(spark, d, "nation").select(code.alias("code")).distinct().withColumn("name", F.element_at(names, F.col("code")))
     return reports.country_rows(codes.select("code", "name", urls.search_region(F.col("code")).alias("region"), urls.search_gl(F.col("code")).alias("gl"))).select("codes", "name", "region", "gl")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from tallygrain import config, fixtures as fx
@@ -150,9 +148,9 @@ def meta_evidence(spark, d):
     return evidence.price_evidence(rows).select("url", "pos", "value", "label", "source")
 
 
-@query("SELECT q || '' AS query, i AS result_idx, q || ' ' || i AS title, 'https://x.example/' || i AS url, 'uk' AS snippet FROM (SELECT unnest(['a b', 'c']) AS q), (SELECT CAST(unnest([0, 2]) AS INTEGER) AS i)")
+@query("SELECT r_name AS query, i AS result_idx, r_name || ' ' || i AS title, 'https://x.example/' || i AS url, 'uk' AS snippet FROM region, (SELECT CAST(unnest([0, 2]) AS INTEGER) AS i)")
 def registered_search(spark, d):
-    """A provider that a user registers, read as a data source: three results of a query, one of them without a title."""
+    """A provider that a user registers, asked for the five regions as a data source: three results of a query, one of them without a title."""
 
     def provider(asked, k, country):
         for i in range(k + 2):
@@ -161,13 +159,15 @@ def registered_search(spark, d):
     recorded.PROVIDERS["catalog"] = provider
     try:
         spark.dataSource.register(recorded.search_source("catalog"))
-        return spark.read.format("tallygrain_catalog").option("queries", "a b\nc").option("k", "3").load()
+        asked = "\n".join(r.r_name for r in fx.read(spark, d, "region").select("r_name").limit(100).collect())
+        return spark.read.format("tallygrain_catalog").option("queries", asked).option("k", "3").load()
     finally:
         del recorded.PROVIDERS["catalog"]
 
 
-@query("SELECT site, name, position FROM (VALUES ('s1', 'api', CAST(1 AS BIGINT)), ('s1', 'html', 2), ('s1', 'late', 3), ('s2', 'only', 1)) t(site, name, position)")
+@query(fx.sql("SELECT site, name, position, count(*) AS runs FROM scrape_runs JOIN (VALUES ('s1', 'api', CAST(1 AS BIGINT)), ('s1', 'html', 2), ('s1', 'late', 3), ('s2', 'only', 1)) t(site, name, position) USING (site) GROUP BY ALL", "scrape_runs"))
 def scraper_registry(spark, d):
+    """The scrapers of each site that has runs, in their order."""
     kept = dict(recorded.SCRAPERS)
     try:
         for site, name, order in (("s1", "late", 9), ("s2", "only", 1), ("s1", "api", 1), ("s1", "html", 2)):
@@ -176,14 +176,20 @@ def scraper_registry(spark, d):
     finally:
         recorded.SCRAPERS.clear()
         recorded.SCRAPERS.update(kept)
-    return spark.createDataFrame(rows, "site string, name string, position long")
+    known = spark.createDataFrame(rows, "site string, name string, position long")
+    return fx.scrape_runs(spark, d).join(F.broadcast(known), "site").groupBy("site", "name", "position").agg(F.count("*").alias("runs"))
 
 
-@query("SELECT '| code | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_name) AS body FROM nation")
+@query(
+    r"""SELECT page, 'about ' || page || chr(10) || '<!-- BEGIN t -->' || chr(10) || '| client_id | city |' || chr(10) || '| --- | --- |' || chr(10) || b || chr(10) || '<!-- END t -->' || chr(10) || 'z' AS body
+    FROM (SELECT client_id % 50 AS page, string_agg('| ' || client_id || ' | ' || coalesce(replace(city, '|', '\|'), '') || ' |', chr(10) ORDER BY client_id, city NULLS FIRST) AS b FROM clients WHERE client_id IS NOT NULL GROUP BY 1)"""
+)
 def markdown_region(spark, d):
-    table = sinks.markdown_table(fx.read(spark, d, "nation").select(F.col("n_name").alias("code"), F.col("n_regionkey").alias("n")).orderBy("code"))
-    whole = sinks.inject_region("a\n<!-- BEGIN t -->\nold\n<!-- END t -->\nz", "t", table)
-    return spark.createDataFrame([(re.search(r"(?s)<!-- BEGIN t -->\n(.*)\n<!-- END t -->\nz$", whole)[1],)], "body string")
+    """A region of each of fifty texts filled with its own table."""
+    rows = fx.read(spark, d, "clients").where("client_id IS NOT NULL").select((F.col("client_id") % 50).alias("page"), "client_id", "city")
+    tables = sinks.markdown_tables(rows, "page", ["client_id", "city"])
+    text = F.concat(F.lit("about "), F.col("page").cast("string"), F.lit("\n<!-- BEGIN t -->\nold $1 \\ one\n<!-- END t -->\nz"))
+    return tables.select("page", sinks.injected(text, "t", F.col("body")).alias("body"))
 
 
 @query(
@@ -200,7 +206,9 @@ def nearest_brands(spark, d):
     return rows.select("vendor_id", "text").join(near.select("text", F.col("name").alias("brand")), "text", "left").select("vendor_id", "brand")
 
 
-@query("SELECT host, site FROM (VALUES " + ", ".join(f"('{h}', '{s}')" for h, s in config.HOSTS.items()) + ") t(host, site)")
+@query(f"SELECT page_id, host, site FROM pages JOIN (VALUES {', '.join(f"({i}, '{h}', '{s}')" for i, (h, s) in enumerate(config.HOSTS.items()))}) t(k, host, site) ON k = page_id % {len(config.HOSTS)}")
 def host_dimension(spark, d):
-    hosts = spark.createDataFrame([(h,) for h in config.HOSTS], "host string")
-    return hosts.select("host", urls.resolve_site(F.concat(F.lit("https://u@"), F.upper("host"), F.lit(":443/x"))).alias("site"))
+    """Pages' addresses, with each known host in turn."""
+    host = _pick("page_id", *config.HOSTS)
+    url = F.regexp_replace("url", "^([a-z]+)://[^/]*", "$1://u@HOST:443")
+    return fx.read(spark, d, "pages").select("page_id", host.alias("host"), urls.resolve_site(F.replace(url, F.lit("HOST"), F.upper(host))).alias("site"))

@@ -81,10 +81,10 @@ SCRAPE_RUNS = """SELECT event_id AS id, 'https://s' || CAST(user_id % 3 AS VARCH
 
 
 def parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 3).crossJoin(spark.range(0, 10).withColumnRenamed("id", "n")).selectExpr("concat('s', cast(id AS string)) AS site", "n AS id", "CASE WHEN n % 5 = 4 THEN 'retired' ELSE 'active' END AS status")
+    return read(spark, sf_dir, "nation").selectExpr("concat('s', cast(n_nationkey % 3 AS string)) AS site", "cast(n_nationkey div 3 AS bigint) AS id", "CASE WHEN n_nationkey div 3 % 5 = 4 THEN 'retired' ELSE 'active' END AS status")
 
 
-PARSERS = "SELECT 's' || CAST(s AS VARCHAR) AS site, n AS id, CASE WHEN n % 5 = 4 THEN 'retired' ELSE 'active' END AS status FROM range(3) t(s), range(10) u(n)"
+PARSERS = "SELECT 's' || CAST(n_nationkey % 3 AS VARCHAR) AS site, CAST(n_nationkey // 3 AS BIGINT) AS id, CASE WHEN n_nationkey // 3 % 5 = 4 THEN 'retired' ELSE 'active' END AS status FROM nation"
 
 
 def node_events(spark: SparkSession, sf_dir: str) -> DataFrame:

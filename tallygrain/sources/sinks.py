@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,20 @@ def markdown_table(df: DataFrame, limit: int = 1000) -> str:
         raise ValueError(f"over {limit} rows")
     cells = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v).replace("|", r"\|") for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
+
+
+def markdown_tables(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """by, body: a Markdown table for each value of a column, its rows in order of the columns."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*columns, line.alias("line")))).alias("rows"))
+    head = "\n".join("| " + " | ".join(x) + " |" for x in (columns, ["---"] * len(columns)))
+    return rows.select(by, F.concat_ws("\n", F.lit(head), F.transform("rows", lambda r: r["line"])).alias("body"))
+
+
+def injected(text: Column, name: str, body: Column) -> Column:
+    """``inject_region`` of a column of texts; a text without the markers is an error."""
+    start = F.lit(f"<!-- BEGIN {name} -->")
+    a, b = F.locate(f"<!-- BEGIN {name} -->", text), F.locate(f"<!-- END {name} -->", text)
+    whole = F.concat(F.substring(text, F.lit(1), a - 1), start, F.lit("\n"), F.trim(body), F.lit("\n"), F.substring(text, b, F.length(text)))
+    return F.when((a > 0) & (b > a), whole).otherwise(F.raise_error(F.lit(f"no region {name}")))
