@@ -8,7 +8,8 @@ values bound it from both sides, and every round counts the values within the ra
 
 Rows are dealt by series and slot of time; a row less than one window before a slot's end goes to the next slot too, as what
 its windows look back on. Slots whose rows would be too many for a task (``most``) are cut into ever shorter ones, down to
-a quarter of the window. So a task holds the rows of one window and a quarter, however long a series is.
+a quarter of the window. What is still too dense then is bisected by rounds of Spark jobs (``by_rounds``): prefix counts are
+summed within cells of time, a 3600th of a window, and over the cells' totals, so no task needs a window's rows at once.
 
 Defined cases: a click_id that repeats counts once, with its earliest time, then smallest series and value (rows without a time
 last); a null click_id is an id like any other; rows without a time go; a null series is a series; a value that is null, not
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrain.llm.common import Scratch
@@ -35,6 +36,8 @@ CENTS_MOST = float(1 << 56)
 CHUNK = 1 << 16
 #: Slots are not cut below this part of the window: most of what a task then holds is one window's rows.
 LEAST_SLOT = 4
+#: Cells of time in a window, and bits of a value that a level of the prefix counts tells apart.
+CELLS, DIGIT = 3600, 4
 RESULT = "click_id long, kind string, n long, median2 long, mad4 long, far boolean"
 
 
@@ -214,6 +217,80 @@ def answer(rows: DataFrame, window: int, slot: int) -> DataFrame:
     return moved.mapInArrow(run, RESULT)
 
 
+def counted(points: DataFrame, asks: DataFrame, key: list[str], bits: int, cell: int) -> DataFrame:
+    """key, n: of asks (key, g, at, y, sign), the signed sum of how many points (g, t, v) have t up to at and v below y.
+
+    Values of so many bits are read as digits. The points below y are those that share y's leading digits up to some level and have a
+    smaller digit there; for each level, prefix counts of every digit by time tell how many there are.
+    """
+    levels = -(-bits // DIGIT)
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+
+    def split(rows: DataFrame, value: str, time: str) -> DataFrame:
+        rows = rows.withColumn("level", level)
+        upper = F.expr(f"shiftright({value}, (level + 1) * {DIGIT})")
+        own = F.expr(f"shiftright({value}, level * {DIGIT})").bitwiseAND(F.lit((1 << DIGIT) - 1)).cast("int")
+        return rows.select("*", upper.alias("lead"), own.alias("digit"), F.expr(f"{time} div {cell} - CASE WHEN {time} % {cell} < 0 THEN 1 ELSE 0 END").alias("cell"), F.col(time).alias("time")).drop(value)
+
+    none = [F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in (*key, "sign")]
+    node = ["node_g", "level", "lead"]
+    rows = split(points.select(F.col("g").alias("node_g"), "t", "v"), "v", "t").select(*node, "digit", "cell", "time", *none)
+    rows = rows.unionAll(split(asks.withColumn("node_g", F.col("g")), "y", "at").select(*node, "digit", "cell", "time", *key, "sign"))
+    point = F.col("sign").isNull()
+    ones = {f"d{i}": F.when(point & (F.col("digit") == i), 1).otherwise(0).cast("long") for i in range(1 << DIGIT)}
+    totals = rows.groupBy(*node, "cell").agg(*[F.sum(x).alias(d) for d, x in ones.items()])
+    before = Window.partitionBy(*node).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell that has any
+    totals = totals.select(*node, "cell", *[F.coalesce(F.sum(d).over(before), F.lit(0)).alias(f"b{d}") for d in ones])
+    within = Window.partitionBy(*node, "cell").orderBy("time", F.col("sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    less = lambda x: sum((F.when(F.col("digit") > i, F.col(f"{x}{i}")).otherwise(0) for i in range(1 << DIGIT)), F.lit(0).cast("long"))
+    told = rows.select("*", *[F.sum(x).over(within).alias(f"w{d}") for d, x in ones.items()]).where(~point)
+    told = told.select(*node, "cell", *key, "sign", less("wd").alias("here"), "digit").join(totals, [*node, "cell"])
+    return told.groupBy(*key).agg(F.sum(F.col("sign") * (F.col("here") + less("bd"))).alias("n"))
+
+
+def by_rounds(rows: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """The result rows of slots that are too dense for a task, all windows bisected together, a round a job."""
+    cell = max(1, window // CELLS)
+    g = F.concat(F.coalesce(F.concat(F.lit("k"), "kind"), F.lit("-")), F.lit("|"), F.col("slot").cast("string"))
+    rows = scratch.save(rows.select("id", "kind", "t", "c", g.alias("g"), (F.col("rel") >= window).alias("own")), "dense")
+    ends = rows.agg(F.min("c").alias("a"), F.max("c").alias("b")).first()
+    least, span = ends.a or 0, (ends.b or 0) - (ends.a or 0)
+    bits = (span + 2).bit_length()
+    points = rows.where("c IS NOT NULL").select("g", "t", (F.col("c") - least).alias("v"))
+    key = ["g", "t", "k"]
+
+    def counts(state: DataFrame, below: list) -> DataFrame:
+        """How many values of each window are below the first bound and, if there are two, not below the second."""
+        bounds = F.explode(F.array(*[F.struct(F.least(F.greatest(y, F.lit(0)), F.lit(span + 1)).cast("long").alias("y"), (F.lit(1 - 2 * i) * s).cast("long").alias("sign"), (F.col("t") - back).alias("at")) for i, y in enumerate(below) for s, back in ((1, 0), (-1, window))]))
+        return counted(points, state.select(*key, bounds.alias("x")).select(*key, "x.*"), key, bits, cell)
+
+    def bisect(state: DataFrame, bounds, most: int, name: str) -> DataFrame:
+        """g, t, k, x: the least x up to most at which enough values (k) are within the bounds."""
+        state = state.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(most).cast("long"))
+        for n in range(most.bit_length()):
+            mid = F.expr("low + (high - low) div 2")
+            found = counts(state.withColumn("r", mid), bounds(F.col("r")))
+            enough = F.col("n") >= F.col("k")
+            state = state.withColumn("r", mid).join(found, key).withColumn("high", F.when(enough, F.col("r")).otherwise(F.col("high"))).withColumn("low", F.when(enough, F.col("low")).otherwise(F.least(F.col("r") + 1, "high")))
+            state = scratch.save(state.drop("r", "n"), f"{name}{n}")
+        return state.withColumnRenamed("high", "x").drop("low")
+
+    windows = rows.where("own").select("g", "t").distinct().withColumn("k", F.lit(0).cast("long"))
+    sized = scratch.save(windows.join(counts(windows, [F.lit(span + 1)]), key).select("g", "t", "n"), "sized")
+    both = F.explode(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))).alias("k")  # the two middle ones, which may be the same
+    middle = sized.where("n >= 2").select("g", "t", both).distinct()
+
+    def doubled(found: DataFrame, name: str) -> DataFrame:
+        return scratch.save(found.groupBy("g", "t").agg((F.min("x") + F.max("x")).alias(name)), name)
+
+    medians = doubled(bisect(middle, lambda x: [x + 1], span, "median"), "m")
+    spread = bisect(middle.join(medians, ["g", "t"]), lambda r: [F.expr("shiftright(m + r, 1)") + 1, F.expr("-shiftright(r - m, 1)")], 2 * span, "radius")
+    radii = doubled(spread, "mad4")
+    told = rows.where("own").join(sized, ["g", "t"], "left").join(medians, ["g", "t"], "left").join(radii, ["g", "t"], "left")
+    median2 = F.col("m") + 2 * least
+    return told.select(F.col("id").alias("click_id"), "kind", "n", median2.alias("median2"), "mad4", (2 * F.abs(2 * F.col("c") - median2) > 3 * F.col("mad4")).alias("far"))
+
+
 def rolling_medians(
     clicks: DataFrame,
     id_col: str = "click_id",
@@ -238,15 +315,15 @@ def rolling_medians(
     for level in itertools.count():
         rows = deal(rest, window, slot)
         dense = rows.groupBy("kind", "slot").agg(F.count("*").alias("size")).where(F.col("size") > most).select(F.col("kind").alias("dense_kind"), F.col("slot").alias("dense_slot"))
-        last = slot * LEAST_SLOT <= window
-        if not last:
-            dense = scratch.save(dense, f"dense{level}")
-        if last or not dense.limit(1).count():
+        dense = scratch.save(dense, f"dense{level}")
+        if not dense.limit(1).count():
             found = answer(rows, window, slot)
             return found if result is None else result.unionAll(found)
         same = F.col("kind").eqNullSafe(F.col("dense_kind")) & (F.col("slot") == F.col("dense_slot"))
         found = answer(rows.join(dense, same, "left_anti"), window, slot)
         result = found if result is None else result.unionAll(found)
+        if slot * LEAST_SLOT <= window:
+            return result.unionAll(by_rounds(rows.join(dense, same, "left_semi"), window, scratch))
         span = (F.col("slot") * slot).alias("from"), ((F.col("slot") + 1) * slot).alias("upto")
         rest = scratch.save(rows.join(dense, same, "left_semi").select("id", "t", "kind", "c", *span), f"rest{level}")
         slot = max(1, slot // 4)

@@ -264,7 +264,25 @@ def test_dense_slots_are_cut_and_nothing_changes(spark):
     clicks = clicks_of(random.Random(12), 700, 5 * 3600, ("a", "b"))
     want = windows(clicks)
     assert told(spark, clicks, most=120) == want
-    assert told(spark, clicks, most=1, slot_s=7200) == want
+    assert told(spark, clicks, most=3, slot_s=7200) == want
+
+
+def test_what_no_task_could_hold_is_bisected_by_rounds(spark):
+    rng = random.Random(13)
+    start = datetime.datetime(2024, 1, 1)
+    clicks = [(i, start + datetime.timedelta(seconds=rng.choice([rng.uniform(0, 9000), 60 * rng.randint(0, 150)])), rng.choice(["a", None]), rng.choice([None, 1.0, 2.0, 0.37, -0.2, rng.uniform(-3, 9)])) for i in range(160)]
+    assert told(spark, clicks, most=1, slot_s=3600) == windows(clicks)
+    same = [(i, start, "a", 5.0) for i in range(9)] + [(20, start, "a", None), (21, start + datetime.timedelta(hours=2), "a", None)]
+    assert told(spark, same, most=1, slot_s=3600) == windows(same)
+
+
+def test_prefix_counts_over_cells(spark):
+    rng = random.Random(14)
+    points = [(rng.choice(["x", "y"]), rng.randint(-50, 200), rng.randint(0, 300)) for _ in range(200)]
+    asks = [(i, rng.choice(["x", "y", "z"]), rng.randint(-60, 220), rng.randint(0, 301), rng.choice([1, -1])) for i in range(80)]
+    got = rolling.counted(spark.createDataFrame(points, "g string, t long, v long"), spark.createDataFrame(asks, "a long, g string, at long, y long, sign long").withColumnRenamed("a", "k"), ["g", "k"], 9, 7).collect()
+    want = {i: s * sum(p[0] == g and p[1] <= at and p[2] < y for p in points) for i, g, at, y, s in asks}
+    assert {r.k: r.n for r in got} == want
 
 
 def test_no_clicks(spark):
