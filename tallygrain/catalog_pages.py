@@ -345,12 +345,12 @@ def brand_compare(spark, d):
 @query(
     """SELECT c.client_id, c.updated_at, CASE WHEN c.client_id % 5 = 0 THEN c.source WHEN c.client_id % 5 = 1 THEN v.name || ',' || w.name WHEN c.client_id % 5 = 2 THEN v.name WHEN c.client_id % 5 = 3 THEN 'ZZ' || c.client_id ELSE '' END AS brands,
         CASE WHEN c.client_id % 5 <= 1 THEN v.name ELSE '' END AS first
-    FROM clients c JOIN (SELECT vendor_id, any_value(name) AS name FROM vendors GROUP BY 1) v ON v.vendor_id = c.client_id % (SELECT count(DISTINCT vendor_id) FROM vendors) JOIN (SELECT vendor_id, any_value(name) AS name FROM vendors GROUP BY 1) w ON w.vendor_id = (c.client_id + 1) % (SELECT count(DISTINCT vendor_id) FROM vendors)
+    FROM clients c JOIN (SELECT vendor_id, min(name) AS name FROM vendors GROUP BY 1) v ON v.vendor_id = c.client_id % (SELECT count(DISTINCT vendor_id) FROM vendors) JOIN (SELECT vendor_id, min(name) AS name FROM vendors GROUP BY 1) w ON w.vendor_id = (c.client_id + 1) % (SELECT count(DISTINCT vendor_id) FROM vendors)
     WHERE c.source IS NOT NULL AND v.name IS NOT NULL AND w.name IS NOT NULL"""
 )
 def brand_sources(spark, d):
     """Vendors named in a client's text: given, two as they are but for case, one with a letter too many, a word in capitals, none."""
-    vendors = fx.read(spark, d, "vendors").groupBy("vendor_id").agg(F.any_value("name").alias("name"))
+    vendors = fx.read(spark, d, "vendors").groupBy("vendor_id").agg(F.min("name").alias("name"))
     n, k = vendors.count(), F.col("client_id") % 5
     rows = fx.read(spark, d, "clients").where("source IS NOT NULL")
     for c, more in (("v", 0), ("w", 1)):
