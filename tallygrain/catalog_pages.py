@@ -390,6 +390,26 @@ def quantity_titles(spark, d):
     return fx.sku_tasks(spark, d).select("row_index", quantity.render_attrs(quantity.extract_numerics(title, F.when(F.col("row_index") % len(QUANTITIES) == 1, "uk").when(F.col("row_index") % len(QUANTITIES) == 2, "us").otherwise("de"))).alias("attrs"))
 
 
+#: Amounts after a part's name, # its size: written, attribute, value in SQL.
+AMOUNTS = [
+    ("# 1/2 kilograms", "weight_g", "(p_size + 0.5) * 1000"), ("#-99 cl", "volume_ml", "(p_size + 99) / 2.0 * 10"), ("# cm³", "volume_ml", "p_size"),
+    ("# milliampere-hours", "charge_mah", "p_size"), ("# kWh", None, "NULL"), ("# g per litre", None, "NULL"), ("# to 99 millimeters", "length_mm", "(p_size + 99) / 2.0"),
+    ("#-kilowatt", "power_w", "p_size * 1000"), ("# MB/s", None, "NULL"), ("#¾ l", "volume_ml", "(p_size + 0.75) * 1000"), ("# ± 1 cubic centimetres", "volume_ml", "p_size"),
+]
+
+
+def _amount_of(attr):
+    cases = " ".join(f"WHEN {i} THEN {v}" for i, (_, a, v) in enumerate(AMOUNTS) if a == attr)
+    return f"CAST(CASE p_partkey % {len(AMOUNTS)} {cases} END AS DOUBLE) AS {attr}"
+
+
+@query("SELECT p_partkey, " + ", ".join(_amount_of(a) for a in dict.fromkeys(a for _, a, _ in AMOUNTS if a)) + " FROM part")
+def part_amounts(spark, d):
+    written = F.replace(_pick("p_partkey", *[t for t, *_ in AMOUNTS]), F.lit("#"), F.col("p_size").cast("string"))
+    title = fx.read(spark, d, "part").select("p_partkey", quantity.extract_numerics(F.concat_ws(" ", "p_name", written)).alias("m"))
+    return title.select("p_partkey", *[F.element_at("m", a).alias(a) for a in dict.fromkeys(a for _, a, _ in AMOUNTS if a)])
+
+
 @query(
     fx.sql(
         """#a AS (SELECT row_index, llm_index, 't' || llm_index AS title, 'u' || llm_index AS url, CASE WHEN llm_index = 1 THEN 'two lines' END AS snippet FROM sku_tasks, (SELECT unnest([0, 1]) AS llm_index))
