@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -574,6 +575,32 @@ def test_exact_topk(spark, vectors):
     assert [(r.vec_id, r.score) for r in exact_topk.exact_topk(huge, lambda i: i == 0).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
 
 
+@pytest.mark.parametrize("sizes", [(1.0, 1e8), (1e-3, 1e5, 1e7, 1e9), (1.0, 1e30, 1e300), (1e306, 1e308), (1e6, 1e6)])
+def test_exact_topk_of_large_values(spark, sizes):
+    rng = random.Random(len(sizes))
+    rows = [(i, [rng.uniform(-1, 1) * rng.choice(sizes) for _ in range(5)]) for i in range(240)]
+    rows += [(i + 300, rows[i % 7][1]) for i in range(90)] + [(3, rows[9][1]), (20, rows[11][1]), (500, [0.0] * 5), (501, [1e308] * 5), (502, [-1e308] * 5), (503, [1e8] * 5)]
+    got = exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda i: i % 20 == 0, block=64, dims=2).toPandas()
+    whole = [(i, [exact_topk.whole(x, 256.0) for x in v], v) for i, v in rows]
+    asked = {i: min((v, n) for j, n, v in whole if j == i)[1] for i, _, _ in whole if i % 20 == 0}
+    want = []
+    for q, numbers in sorted(asked.items()):
+        found = {}
+        for i, n, _ in whole:
+            if i != q:
+                found[i] = max(found.get(i, -(1 << 63)), min(max(sum(x * y for x, y in zip(numbers, n)), -(1 << 63)), (1 << 63) - 1))
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(sorted((-s, c) for c, s in found.items())[:5], 1)]
+    assert sorted(got.itertuples(index=False, name=None)) == want
+
+
+def test_a_large_value_costs_other_vectors_nothing():
+    m = np.random.default_rng(2).normal(size=(500, 8))
+    m[7, 3] = 1e8
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(m.tolist())], ["id", "vec"])
+    shards = [(r["kind"], len(r["ids"]) // 8) for b in exact_topk.build(iter([batch]), 256.0, 8192, 8) for r in b.to_pylist()]
+    assert sorted(shards) == [("int16", 499), ("raw", 1)]
+
+
 def test_permutation_index(spark, vectors):
     df = spark.createDataFrame(vectors, VECTORS).repartition(3)
     got = permutation_index.ann_topk(df, lambda i: i % 20 == 0).toPandas()
