@@ -130,21 +130,27 @@ def folded_words(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", quantity.unit_key(unit).alias("unit"), phrase.rlike(pattern).alias("phrase"), text.normalize(accented).alias("folded"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS url, ['From the tag', 'Tea', 'Og title', 'Plain'][page_id % 4 + 1] AS title FROM pages")
+def _with_head(head):
+    """Whole pages, with more at the start of their heads."""
+    return F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), head))
+
+
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS url, CASE page_id % 4 WHEN 1 THEN regexp_extract(url, '//([^/]+)', 1) WHEN 2 THEN regexp_extract(url, '//[^/]+/([^?]*)', 1)
+    ELSE trim(split_part(split_part(split_part(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), ' | ', 1), ' - ', 1), ' – ', 1)) END AS title FROM pages"""
+)
 def page_titles(spark, d):
-    head = _pick(
-        "page_id", "<title>From the tag | Shop</title>", '<title>x</title><script type="application/ld+json">{"@type":"Product","name":" Tea - Shop"}</script>',
-        '<meta property="og:title" content="Og title – Shop"><title>x</title>', "<title> Plain </title>",
-    )
-    rows = fx.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.concat(F.lit("<html><head>"), head, F.lit("</head>"), F.regexp_replace("html", "(?s)^.*?<body", "<body")).alias("html"))
+    product = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":" '), F.regexp_extract("url", "//([^/]+)", 1), F.lit(' - Shop"}</script>'))
+    og = F.concat(F.lit('<meta property="og:title" content="'), F.regexp_extract("url", "//[^/]+/([^?]*)", 1), F.lit(' – Shop">'))
+    rows = fx.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), _with_head(_pick("page_id", F.lit(""), product, og, F.lit(""))).alias("html"))
     return evidence.page_titles(rows)
 
 
-@query("""SELECT CAST(page_id AS VARCHAR) AS url, pos, value, label, source FROM pages, (SELECT unnest([0, 1, 2]) AS pos, unnest(['9.75', '8.50', '7.00']) AS value, unnest(['regular', 'member', '']) AS label, unnest(['meta', 'meta', 'json_ld']) AS source)""")
+@query("""SELECT CAST(page_id AS VARCHAR) AS url, pos, replace(value, '@', CAST(page_id % 90 + 5 AS VARCHAR)) AS value, label, source FROM pages, (SELECT unnest([0, 1, 2]) AS pos, unnest(['@.75', '@.50', '@.20']) AS value, unnest(['regular', 'member', '']) AS label, unnest(['meta', 'meta', 'json_ld']) AS source)""")
 def meta_evidence(spark, d):
-    head = '<meta name="description" content="Regular price £9.75 here"><meta property="og:description" content="with Clubcard price £8.50"><meta name="author" content="£1.00"><script type="application/ld+json">{"offers":{"price":7,"priceSpecification":{"shippingRate":{"price":2}}}}</script>'
-    prose = F.regexp_replace("html", "[£€$]", "#")
-    rows = fx.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.concat(F.lit("<html><head>" + head.replace('"price":7', '"price":"7.00"') + "</head>"), F.regexp_replace(prose, "(?s)^.*?<body", "<body")).alias("html"))
+    head = '<meta name="description" content="Regular price £@.75 here"><meta property="og:description" content="with Clubcard price £@.50"><meta name="author" content="£@.00"><script type="application/ld+json">{"offers":{"price":"@.20","priceSpecification":{"shippingRate":{"price":2}}}}</script>'
+    priced = F.replace(F.lit(head), F.lit("@"), (F.col("page_id") % 90 + 5).cast("string"))
+    rows = fx.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), _with_head(priced).alias("html"))
     return evidence.price_evidence(rows).select("url", "pos", "value", "label", "source")
 
 
