@@ -159,18 +159,20 @@ def json_heal_cache(spark, d):
     return fx.read(spark, d, "events").select(k.alias("id"), value.alias("value"))
 
 
-@query("SELECT event_id AS id, event_id % 3 < 2 AND (event_id % 4 = 0 OR event_id % 5 = 0) AS is_rate FROM events")
+@query("SELECT event_id AS id, event_type IN ('error', 'click') AND (event_id % 4 = 0 OR k % 5 < 2) AS is_rate FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
 def unit_price_paths(spark, d):
-    k = F.col("event_id")
-    target = _pick("event_id", "price", "list_price", "title")
-    path = F.when(k % 4 == 0, _pick("event_id", "offer.unit_price", "x.pricePerUnit", "a.PPU.b")).otherwise("offer.price")
-    value = F.when(k % 5 == 0, _pick("event_id", "£1.20/kg", "0.99 per 100g", "3 EUR / litre")).otherwise("£4.50")
-    return fx.read(spark, d, "events").select(k.alias("id"), jsonx.is_unit_price(target, path, value).alias("is_rate"))
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    target = F.when(kind == "error", "price").when(kind == "click", "list_price").otherwise(kind)
+    path = F.when(F.col("event_id") % 4 == 0, F.concat(kind, _pick("event_id", ".unit_price", ".x.pricePerUnit", ".PPU.b"))).otherwise(F.concat(F.lit("offer."), kind))
+    value = F.when(k % 5 == 0, F.concat(F.lit("£"), k, F.lit(".20/kg"))).when(k % 5 == 1, F.concat(k, F.lit(" per 100g"))).otherwise(F.concat(F.lit("£"), k, F.lit(".50")))
+    return fx.read(spark, d, "events").select(F.col("event_id").alias("id"), jsonx.is_unit_price(target, path, value).alias("is_rate"))
 
 
-@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'price,title' WHEN 1 THEN 'list_price,price' WHEN 2 THEN '' ELSE 'gtin,image_urls' END AS fields FROM events")
+@query("SELECT event_id AS id, concat_ws(',', CASE WHEN k % 7 = 0 THEN 'gtin' END, CASE WHEN k % 5 = 0 THEN 'list_price' END, CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN 'price' END, CASE WHEN k % 3 = 0 THEN 'title' END) AS fields FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
 def missing_field_names(spark, d):
-    errors = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("Title: missing"), F.lit("PRICE: not a number"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("list_price too low"))).when(F.col("event_id") % 4 == 2, F.array(F.lit("nothing known"))).otherwise(F.array(F.lit("no gtin"), F.lit("no image_urls"), F.lit("no gtin")))
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    told = [(2, "PRICE: not above "), (3, "Title: missing at "), (5, "list_price below "), (7, "no gtin in "), (1, "nothing known of ")]
+    errors = F.filter(F.array(*[F.when(k % n == 0, F.concat(F.lit(t), k, F.lit(" "), kind)) for n, t in told]), lambda e: e.isNotNull())
     return fx.read(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(jsonx.missing_fields(errors), ",").alias("fields"))
 
 
@@ -192,9 +194,10 @@ def reply_usage(spark, d):
     return fx.read(spark, d, "events").select("event_id", u["prompt"].alias("prompt"), u["completion"].alias("completion"), u["total"].alias("total"), v.isNotNull().alias("parsed"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'a: dict|a.k: int|l: list|l.0.z: str' END AS keys, CASE WHEN event_id % 2 = 0 THEN '{\"a\":1,\"b\":null}' ELSE '{\"a\":1,\"b\":\"' || event_type || '\"}' END AS kept FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || ': dict|' || event_type || '.k: int|v: ' || CASE WHEN event_id % 2 = 0 THEN 'float' ELSE 'NoneType' END || '|l: list|l.0.z: str' END AS keys, CASE WHEN event_id % 2 = 0 THEN '{\"a\":1,\"b\":null}' ELSE '{\"a\":1,\"b\":\"' || event_type || '\"}' END AS kept FROM events")
 def json_key_lines(spark, d):
-    doc = F.when(F.col("event_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"l":[{"z":"q"}]}')))
+    v = F.when(F.col("event_id") % 2 == 0, F.format_string("%.2f", "value")).otherwise("null")
+    doc = F.when(F.col("event_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('{"'), "event_type", F.lit('":'), "props", F.lit(',"v":'), v, F.lit(',"l":[{"z":"q"}]}')))
     kept = jsonx.kept_nulls(F.struct(F.lit(1).alias("a"), F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("b")))
     return fx.read(spark, d, "events").select("event_id", F.array_join(jsonx.key_summary(doc), "|").alias("keys"), kept.alias("kept"))
 
@@ -259,11 +262,17 @@ def attribute_texts(spark, d):
 # ---- states and kinds ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, ['pending', 'failed', 'ready', 'ready'][event_id % 4 + 1] AS state, ['RateLimit', 'BudgetExhausted', 'SearchProviderError'][event_id % 3 + 1] AS error_kind, event_id % 3 = 0 AS limited, [0, 2, 1][event_id % 3 + 1] AS code FROM events")
+@query(
+    """SELECT event_id, ['pending', 'failed', CASE event_type WHEN 'error' THEN 'failed' ELSE 'ready' END, 'ready'][event_id % 4 + 1] AS state, CASE WHEN event_type = 'signup' THEN 'BudgetExhausted' WHEN message LIKE '%429%' THEN 'RateLimit' ELSE 'SearchProviderError' END AS error_kind,
+    message LIKE '%429%' OR event_type = 'view' AS limited, [0, 2, 1][event_id % 3 + 1] AS code
+    FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'Budget of ' || k || ' used up' WHEN 'view' THEN 'Too many requests: ' || k ELSE 'HTTP ' || (400 + k) || ' ' || event_type END AS message
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
+)
 def call_states(spark, d):
-    status = _pick("event_id", " Running ", "CANCELLED", "done", None)
-    message = _pick("event_id", "HTTP 429 Too Many Requests", "Budget of 10 used up", "connection reset")
-    return fx.read(spark, d, "events").select("event_id", detect.poll_state(status).alias("state"), detect.search_error_kind(message, F.col("event_id") % 3 == 1).alias("error_kind"), detect.is_rate_limit(message).alias("limited"), detect.exit_code(_pick("event_id", "ok", "aborted", "boom")).alias("code"))
+    k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    status = _pick("event_id", F.lit(" Running "), F.lit("CANCELLED"), kind, F.lit(None).cast("string"))
+    message = F.when(kind == "signup", F.concat(F.lit("Budget of "), k, F.lit(" used up"))).when(kind == "view", F.concat(F.lit("Too many requests: "), k)).otherwise(F.concat(F.lit("HTTP "), 400 + k, F.lit(" "), kind))
+    return fx.read(spark, d, "events").select("event_id", detect.poll_state(status).alias("state"), detect.search_error_kind(message, kind == "signup").alias("error_kind"), detect.is_rate_limit(message).alias("limited"), detect.exit_code(_pick("event_id", "ok", "aborted", "boom")).alias("code"))
 
 
 @query("SELECT event_id, ['parser_broken', 'infra_failure', 'api_malformed', 'parser_broken'][event_id % 4 + 1] AS reason, 's|' || ['unknown', 'r'][event_id % 2 + 1] || '|' || ['v1', 'none'][event_id % 2 + 1] AS signature FROM events")
