@@ -41,6 +41,18 @@ def order(name: Column) -> Column:
     return F.struct((-F.length(name)).alias("shorter"), F.lower(name).alias("low"), name.alias("name"))
 
 
+def squeezed(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def with_spellings(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with what searches in a dictionary of a column's names tell for each: folded; literal_name, of names that are alike
+    but for case and accents; nearest_name, of those that are alike but for blanks too."""
+    rows = rows.withColumn("folded", normalize(F.trim(column)))
+    first = lambda *key: F.min_by(F.trim(column), order(F.trim(column))).over(Window.partitionBy(*key))
+    return rows.withColumn("literal_name", first("folded")).withColumn("nearest_name", first(squeezed(F.col("folded"))))
+
+
 def positions(names: DataFrame) -> DataFrame:
     """Each name's position, from 1, in the dictionary's order; lengths are ranked apart, so no task sorts all names."""
     lengths = names.groupBy(F.length("name").alias("size")).agg(F.count("*").alias("n"))
@@ -113,7 +125,6 @@ def nearest_names(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZ
     """
     if cutoff < LEAST_CUTOFF:
         raise ValueError(f"names are found from a score of {LEAST_CUTOFF} on")
-    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     sized = F.length("f").alias("size")
     left = texts.select(squeezed(normalize(F.col("text"))).alias("f")).where("f <> ''").distinct().select("f", sized)
     right = names.where("fuzzy_safe").groupBy(squeezed(F.col("folded")).alias("f")).agg(F.min_by("name", order(F.col("name"))).alias("name")).where("f <> ''").select("f", sized, "name")
@@ -150,6 +161,16 @@ def nearest_names(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZ
     return texts.select("text", squeezed(normalize(F.col("text"))).alias("f")).join(told, "f").select("text", "name", "score")
 
 
+def within_others(keys: DataFrame) -> DataFrame:
+    """key: of distinct texts, those of several words that all stand in another text too; a text's rarest word leads to the others."""
+    words = keys.select("key", F.array_distinct(F.split("key", " ")).alias("words")).where("size(words) > 1")
+    each = words.select("key", "words", F.explode("words").alias("word"))
+    times = each.groupBy("word").agg(F.count("*").alias("times"))
+    rarest = each.join(times, "word").groupBy("key").agg(F.min_by("word", F.struct("times", "word")).alias("word"), F.first("words").alias("own"))
+    others = each.select("word", F.col("key").alias("other"), "words")
+    return rarest.join(others, "word").where((F.col("key") != F.col("other")) & (F.size(F.array_except("own", "words")) == 0)).select("key").distinct()
+
+
 def brands_of(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZZY_SAME) -> DataFrame:
     """text, brands of each distinct text: all literal names, else the nearest one, else a leading word in capitals, else none."""
     texts = saved(texts.select("text").where("text <> ''").distinct(), "texts")
