@@ -42,8 +42,11 @@ _URL = """CASE WHEN k % 5 = 4 THEN 'https://www.example.org/products/' || lpad({
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten results of each of two query variants and two providers for every task; the variants overlap."""
-    rows = sku_tasks(spark, sf_dir).withColumn("provider_rank", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("query_idx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("result_idx", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    """Ten results of each of two query variants and two providers for every task; the variants overlap.
+
+    Tasks are dealt by row_index before they become rows, so that all tasks work and no candidate needs to move to its attempt.
+    """
+    rows = sku_tasks(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_index").withColumn("provider_rank", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("query_idx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("result_idx", F.explode(F.sequence(F.lit(0), F.lit(9))))
     rows = rows.withColumn("k", F.col("result_idx") + F.col("query_idx") * 5 + F.col("provider_rank") * 3)
     rows = rows.withColumn("item", (F.col("row_index") * 7 + F.col("k") * 13) % 1000000)
     rows = rows.withColumn("url", F.expr(_URL.format(s="cast(item AS string)", k="cast(k AS string)")))

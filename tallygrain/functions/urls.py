@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,8 +25,8 @@ def part(url: Column, group: int) -> Column:
 
 
 def netloc(url: Column) -> Column:
-    """Host with user and port, as written."""
-    return part(url, 2)
+    """Host with user and port, as written; read no further than that."""
+    return F.regexp_extract(F.replace(url, F.lit(CUT), F.lit("")), r"^(?:[^:/?#]+:)?(?://([^/?#]*))?", 1)
 
 
 def hostname(url: Column) -> Column:
@@ -33,7 +34,7 @@ def hostname(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return part(url, 3)
+    return F.regexp_extract(F.replace(url, F.lit(CUT), F.lit("")), r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def query(url: Column) -> Column:
@@ -48,19 +49,46 @@ def is_tracking(name: Column, patterns: list[str] | None = None) -> Column:
     return reduce(lambda a, p: a | low.startswith(p), prefixes, low.isin(exact))
 
 
+#: Most URLs: a known scheme, a host, ASCII without escapes.
+PLAIN = r"^https?://[^/?#\x01%\x80-\x{10ffff}][\x00\x02-\x24\x26-\x7f]*\z"
+
+
 def clean_url(url: Column, patterns: list[str] | None = None) -> Column:
     """The URL without tracking parameters and without an empty query; the rest keeps its order and encoding."""
+    patterns = config.STRIP_QUERY_PARAMS if patterns is None else patterns
+    return F.when(url.rlike(PLAIN), clean_plain(url, patterns)).otherwise(clean_any(url, patterns))
+
+
+def clean_plain(url: Column, patterns: list[str]) -> Column:
+    """``clean_url`` of plain URLs, whose parts need no expression and whose parameters no decoding."""
+    before = F.substring_index(url, "#", 1)
+    base = F.substring_index(before, "?", 1)
+    fragment = F.substring(url, F.length(before) + 1, F.length(url))
+    asked = F.substring(before, F.length(base) + 2, F.length(before))
+    names = "|".join(re.escape(p[:-1]) + "[^=&]*" if p[-1:] == "*" else re.escape(p) for p in patterns) or "(?!)"
+    tracking = f"(?i:{names})(?:=[^&]*)?"
+    # those in front with what parts them from the rest, then each with what parts it from the one before
+    kept = F.regexp_replace(F.regexp_replace(asked, rf"^(?:{tracking}(?:&|\z))+", ""), rf"&{tracking}(?=&|\z)", "")
+    return F.concat(
+        base,
+        F.when(asked == "", "").when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)),
+        F.when(fragment == "#", "").otherwise(fragment),
+    )
+
+
+def clean_any(url: Column, patterns: list[str]) -> Column:
+    """``clean_url`` of any URL."""
 
     def name(p: Column) -> Column:
         raw = F.substring_index(p, "=", 1)
         return F.coalesce(F.try_url_decode(raw), raw)
 
     kept = F.array_join(F.filter(F.split(query(url), "&"), lambda p: ~is_tracking(name(p), patterns)), "&")
-    scheme, host, fragment = part(url, 1), netloc(url), part(url, 5)
+    scheme, host, fragment = part(url, 1), part(url, 2), part(url, 5)
     return F.concat(  # null of a null
         F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""),
         F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
-        path(url),
+        part(url, 3),
         F.when((query(url) != "") & (kept != ""), F.concat(F.lit("?"), kept)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )

@@ -16,12 +16,13 @@ def top_k(results: DataFrame, k: int = config.SEARCH_K) -> DataFrame:
     return results.where((F.col("result_idx") < k) & (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
 
 
-def rank_candidates(results: DataFrame, keys: list[str]) -> DataFrame:
+def rank_candidates(results: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     """URLs cleaned, the first of each clean URL in an attempt kept, and its rank (from 1) in query, then result order.
 
-    One shuffle by the attempt's key serves both windows, and what comes after by that key.
+    One shuffle by the attempt's key serves both windows, and what comes after by that key; URLs are cleaned behind it, by all
+    tasks. dealt: the results are partitioned by the key, or part of it, already.
     """
-    clean = results.withColumn("url", urls.clean_url(F.col("url"))).repartition(*keys)
+    clean = (results if dealt else results.repartition(*keys)).withColumn("url", urls.clean_url(F.col("url")))
     first = clean.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "url").orderBy("query_idx", "result_idx"))).where("_n = 1").drop("_n")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("query_idx", "result_idx")))
 
