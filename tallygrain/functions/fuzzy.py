@@ -224,13 +224,10 @@ def compare_brands(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def compare_brands_exact_first(a: Column, b: Column) -> Column:
-    """``compare_brands``, with equal and empty sides decided in the JVM."""
+    """``compare_brands``, with equal and empty sides decided in the JVM; of those, Python gets nulls only."""
     low = lambda c: F.transform(c, lambda x: F.trim(F.lower(x)))
-    return (
-        F.when((F.size(a) <= 0) | (F.size(b) <= 0) | a.isNull() | b.isNull(), "unknown")
-        .when(F.arrays_overlap(F.filter(low(a), lambda x: x != ""), F.filter(low(b), lambda x: x != "")), "pass")
-        .otherwise(compare_brands(a, b))
-    )
+    told = F.when((F.size(a) <= 0) | (F.size(b) <= 0) | a.isNull() | b.isNull(), "unknown").when(F.arrays_overlap(F.filter(low(a), lambda x: x != ""), F.filter(low(b), lambda x: x != "")), "pass")
+    return F.coalesce(told, compare_brands(F.when(told.isNull(), a), F.when(told.isNull(), b)))
 
 
 def levenshtein_verdict(a: Column, b: Column, same: float = 0.88, differ: float = 0.40) -> Column:
