@@ -175,6 +175,7 @@ class Sandbox:
         self.process = self.pipe = None
 
     def start(self) -> None:
+        """The process of the next calls; it holds what the worker holds when it starts."""
         context = multiprocessing.get_context("fork")  # functions need not be sent
         self.pipe, theirs = context.Pipe()
         self.process = context.Process(target=self.serve, args=(theirs,), daemon=True)
@@ -218,6 +219,10 @@ class Sandbox:
             self.process = self.pipe = None
 
 
+#: Pages that a task holds as texts at a time, with what came of them.
+SLICE = 64
+
+
 def run_parsers(pages: DataFrame, names: list[str], seconds: float = 10.0, megabytes: int = 512) -> DataFrame:
     """Registered parsers on every page, in order: url, position, parser, ok, output (JSON) or error. One parser's failure is
     a row like any other.
@@ -229,8 +234,9 @@ def run_parsers(pages: DataFrame, names: list[str], seconds: float = 10.0, megab
 
     def run(batches):
         box = Sandbox([f for *_, f in chosen], seconds, megabytes)
+        box.start()  # before there are pages whose memory the process would share
         try:
-            yield from tried(batches, box)
+            yield from tried((batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)), box)
         finally:
             box.stop()
 

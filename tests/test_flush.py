@@ -107,3 +107,27 @@ def test_parsers_have_a_deadline_and_room(spark):
         assert told[url, 1] == told[url, 4] == (False, "TimeoutError: over 0.4 s")
         assert told[url, 2] == (False, "MemoryError: ") and told[url, 3] == (False, "ChildProcessError: ended with 3")
         assert told[url, 5][1].startswith("SystemExit") and told[url, 6][0]
+
+
+def test_a_parsers_process_does_not_hold_the_batch(spark):
+    """However large the pages of a batch, the process of the calls is not the larger for them."""
+    from pyspark.sql import functions as F
+
+    def held(html, url):
+        with open("/proc/self/statm") as f:
+            return {"mb": int(f.read().split()[1]) * 4096 >> 20}
+
+    kept = dict(recorded.PARSERS)
+    recorded.PARSERS.update(held=held)
+    try:
+        most = []
+        for letters in (1, 200_000):
+            pages = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("url"), F.repeat(F.lit("x"), F.lit(letters)).alias("html"))
+            ran = recorded.run_parsers(pages, ["held"])
+            n, mb = ran.agg(F.count("*"), F.max(F.get_json_object("output", "$.mb").cast("int"))).first()
+            assert n == 400
+            most.append(mb)
+    finally:
+        recorded.PARSERS.clear()
+        recorded.PARSERS.update(kept)
+    assert most[1] < most[0] + 50, most
