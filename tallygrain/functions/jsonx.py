@@ -81,8 +81,11 @@ def is_unit_price(target: Column, path: Column, value: Column) -> Column:
 
 
 def missing_fields(errors: Column, fields: tuple[str, ...] = config.COMPARE_FIELDS) -> Column:
-    """Fields that the error texts name, sorted."""
-    return F.array_sort(F.filter(F.array(*[F.lit(f) for f in fields]), lambda f: F.exists(errors, lambda e: F.contains(F.lower(e), f))))
+    """Fields that the error texts name, sorted. No lambda holds the errors, which it would work out anew for each field."""
+    if not all(f and "\n" not in f for f in fields):
+        raise ValueError("a field's name is one line of text")
+    low, none = F.lower(F.array_join(errors, "\n")), F.array().cast("array<string>")
+    return F.concat(none, *[F.when(F.contains(low, F.lit(f)), F.array(F.lit(f))).otherwise(none) for f in sorted(fields)])
 
 
 def heal(df: DataFrame) -> DataFrame:
