@@ -176,8 +176,16 @@ def map_payload(payload: Column, url: Column, site: str) -> Column:
 
 def capture_summary(present: dict[str, Column], in_stock: Column, price: Column) -> tuple[Column, Column, Column]:
     """(captured, missing required, missing optional) field names; an in-stock product needs a price."""
-    required = F.concat(F.array(F.lit("title"), F.lit("in_stock")), F.when(in_stock & (price.isNull() | (price == 0)), F.array(F.lit("price"))).otherwise(F.array().cast("array<string>")))
-    optional = F.array(*[F.lit(f) for f in ("brand", "gtin", "image_urls", "currency", "list_price", "membership_price", "availability_raw", "variant")])
-    have = F.create_map(*[x for f, c in present.items() for x in (F.lit(f), c)])
-    ok = lambda f: F.coalesce(F.try_element_at(have, f), F.lit(False))
-    return F.filter(F.concat(required, optional), ok), F.filter(required, lambda f: ~ok(f)), F.filter(optional, lambda f: ~ok(f))
+    required = {"title": F.lit(True), "in_stock": F.lit(True), "price": in_stock & (price.isNull() | (price == 0))}
+    optional = ("brand", "gtin", "image_urls", "currency", "list_price", "membership_price", "availability_raw", "variant")
+    none = F.array().cast("array<string>")
+    ok = lambda f: F.coalesce(present[f], F.lit(False)) if f in present else F.lit(False)
+
+    def told(names: dict[str, Column]) -> Column:
+        return F.concat(*[F.when(on, F.array(F.lit(f))).otherwise(none) for f, on in names.items()])
+
+    return (
+        told({f: on & ok(f) for f, on in required.items()} | {f: ok(f) for f in optional}),
+        told({f: on & ~ok(f) for f, on in required.items()}),
+        told({f: ~ok(f) for f in optional}),
+    )
