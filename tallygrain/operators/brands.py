@@ -4,9 +4,10 @@ Texts and names are cut into atoms, runs of word characters and single other cha
 exactly where its atoms follow one another there and, at an end that is no word character, none follows or precedes. So
 whole-word search of any number of names is an equality join on runs of atoms.
 
-The nearest name of a text is a similarity join on pairs of letters. Names that score at the cutoff or above share a known number
-of letter pairs with the text, so they share one of its few rarest: only those are joined (a prefix filter), and only pairs
-that survive are scored. Nothing that could reach the cutoff is left out.
+The nearest name of a text is a similarity join, at a high cutoff first and at the lower one for texts without a name there. At a
+cutoff, a known number of letters differs at most. So where a name is cut into one piece more, one piece stands in the text about
+where it stands in the name, and pairs are joined by pieces; by rare words or runs of letters where words or windows are compared.
+Only pairs that survive a bound are scored. Nothing that could reach the cutoff is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ ATOM = r"(?U)\w+|[^\w]"
 LEAST_CUTOFF = 86.0
 #: What the scorer takes off for other orders of words, and for texts of half as long again and more.
 ORDERED, UNEVEN = 0.95, 0.9
+#: Texts are first held against names at these, for a higher cutoff leaves far fewer pairs.
+CUTOFFS = (95.0,)
+#: Letters of the runs that lead from a text to longer ones.
+GRAM = 6
 EVEN = "2 * greatest(size_a, size_b) < 3 * least(size_a, size_b)"
 
 
@@ -42,7 +47,7 @@ def order(name: Column) -> Column:
 
 
 def squeezed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def with_spellings(rows: DataFrame, column: str) -> DataFrame:
@@ -90,75 +95,160 @@ def literal_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     return found.select("text", F.array_distinct(F.aggregate("m", none, step)["names"]).alias("brands"))
 
 
-def letter_pairs(rows: DataFrame) -> DataFrame:
-    """f, size, pair, times: the pairs of letters of a text with a blank before and behind it; the n-th of equal pairs has times n."""
-    padded = F.concat(F.lit(" "), "f", F.lit(" "))
-    every = F.transform(F.sequence(F.lit(1), F.col("size") + 1), lambda i: F.substring(padded, i, F.lit(2)))
-    counted = rows.select("f", "size", F.explode(every).alias("pair")).groupBy("f", "size", "pair").agg(F.count("*").alias("n"))
-    return counted.select("f", "size", "pair", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("times"))
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides both go through a shuffle: texts and dictionaries grow, and the driver would hold what is broadcast."""
+    return left.join(right.hint("merge"), on, how)
 
 
-def inner_pairs(rows: DataFrame) -> DataFrame:
-    """f, size, pair: the distinct pairs within a text; of one letter, the letter."""
-    every = F.when(F.col("size") > 1, F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.substring(F.col("f"), i, F.lit(2)))).otherwise(F.array("f"))
-    return rows.select("f", "size", F.explode(F.array_distinct(every)).alias("pair"))
+def whole(x: Column) -> Column:
+    """The floor of a bound that a pair may just reach."""
+    return F.floor(x + 1e-9).cast("int")
 
 
-def needed(size: Column, cutoff: float) -> Column:
-    """Letter pairs, of size + 1, that a text shares at least with any text of like length at the cutoff.
+def pieces(rows: DataFrame, n: Column) -> DataFrame:
+    """The rows (f, size) for each of n pieces of f of about equal length, with i, at (from 0) and length."""
+    cut = lambda i: F.floor(i * F.col("size") / F.col("n")).cast("int")
+    rows = rows.withColumn("n", n.cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.withColumn("at", cut(F.col("i"))).withColumn("length", cut(F.col("i") + 1) - F.col("at")).drop("n")
 
-    An edit takes away at most two pairs of the text it deletes from and one of the other: at a ratio of c, half the sum of both
-    lengths and one, less 1.5 (1 - c) of that sum, remain, and the other is no shorter than c / (2 - c) of this one. Orders of
-    words do not change pairs with blanks. Common words against all of them at c' = c / 0.95 are c' / (2 - c') of a text.
+
+def alike(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """a, b: all pairs whose plain ratio is the cutoff or more, and few others. Columns of each side: f, size; more of them stay, by
+    their own names.
+
+    At a ratio of c, (1 - c) of both lengths are letters to delete or insert at most. The right text is cut into one piece more than
+    that; one of them stands in the left text as it is, moved by no more letters than are inserted or deleted before it.
+    """
+    c = cutoff / 100
+    faults = lambda size: whole(2 * (1 - c) / c * size)
+    index = pieces(right, faults(F.col("size")) + 1).withColumn("piece", F.substring(F.col("f"), F.col("at") + 1, F.col("length")))
+    index = index.drop("at", "length").withColumnRenamed("f", "b").withColumnRenamed("size", "size_b")
+    sizes = F.sequence(F.ceil(F.col("own") * (c / (2 - c)) - 1e-9).cast("int"), whole(F.col("own") * ((2 - c) / c)))
+    asked = left.withColumnRenamed("f", "a").withColumnRenamed("size", "own").withColumn("size", F.explode(sizes))
+    asked = pieces(asked, faults(F.col("size")) + 1).withColumn("d", whole((1 - c) * (F.col("own") + F.col("size")))).withColumn("longer", F.col("own") - F.col("size"))
+    moves = F.sequence(-F.floor((F.col("d") - F.col("longer")) / 2), F.floor((F.col("d") + F.col("longer")) / 2))
+    asked = asked.withColumn("move", F.explode(moves)).withColumn("at", (F.col("at") + F.col("move")).cast("int")).where("at >= 0 AND at + length <= own")
+    asked = asked.withColumn("piece", F.substring(F.col("a"), F.col("at") + 1, F.col("length"))).withColumnRenamed("size", "size_b").drop("at", "length", "longer", "move")
+    pairs = met(asked, index, ["size_b", "i", "piece"]).where(F.expr("levenshtein(a, b, d)") >= 0)
+    return pairs.drop("size_b", "i", "piece", "d").withColumnRenamed("own", "size_a")
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """f, size, words (distinct) and their length q, with a blank between each two."""
+    rows = rows.select("f", "size", F.array_distinct(F.split("f", " ")).alias("words"))
+    return rows.withColumn("q", F.length(F.array_join("words", " ")))
+
+
+def rarest_first(rows: DataFrame, key: list[str], what: str, others: DataFrame) -> DataFrame:
+    """The rows with rarity, in how many of the others what stands."""
+    return met(rows, others.groupBy(what).agg(F.count("*").alias("rarity")), what, "left").fillna(0, ["rarity"])
+
+
+def held_words(own: DataFrame, other: DataFrame, cutoff: float) -> DataFrame:
+    """x, y: pairs of like lengths of which y has so many words of x that those against all of x reach the cutoff.
+
+    Words of x that y lacks are 2 (1 - c) / (2 - c) of x at most. With the rarest words first, y has one of those that begin within.
+    """
+    c = cutoff / 100
+    lacking = 2 * (1 - c) / (2 - c) * F.col("q") + 1e-9
+    each = other.select(F.col("f").alias("y"), F.col("size").alias("size_b"), F.col("words").alias("others"), F.explode("words").alias("word"))
+    rows = rarest_first(own.select("f", "size", "words", "q", F.explode("words").alias("word")), ["f"], "word", each)
+    before = F.sum(F.length("word") + 1).over(Window.partitionBy("f").orderBy("rarity", "word").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= lacking) & (F.col("rarity") > 0)).select(F.col("f").alias("x"), F.col("size").alias("size_a"), "words", "q", "word")
+    lacked = F.aggregate(F.array_except("words", "others"), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    return met(rows, each, "word").where(EVEN).where(lacked <= lacking).select("x", "y")
+
+
+def like_rests(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """a, b: pairs of like lengths that share a word and are alike, at the cutoff, with the common words first and the others behind.
+
+    They differ in so many letters, of any order, at most; with the alphabet dealt to one group more, those of a group are the same.
+    """
+    c = cutoff / 100
+    groups = lambda q: whole(2 * (1 - c) / c * q) + 1
+    least, most = whole(F.ceil(F.col("q") * (c / (2 - c)) - 1e-9)), whole(F.col("q") * ((2 - c) / c))
+
+    def keyed(rows: DataFrame, s: str) -> DataFrame:
+        """A row for each word and group; of n groups."""
+        letters = F.array_sort(F.filter(F.split(F.array_join("words", ""), ""), lambda x: x != ""))
+        rows = rows.withColumn("letters", letters).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        rows = rows.withColumn("same", F.array_join(F.filter("letters", lambda x: F.crc32(x.cast("binary")) % F.col("n") == F.col("g")), ""))
+        return rows.select(F.col("f").alias(s), F.col("size").alias(f"size_{s}"), F.col("words").alias(f"words_{s}"), F.col("q").alias(f"q_{s}"), "n", "g", "same", F.explode("words").alias("word"))
+
+    asked = keyed(left.withColumn("n", F.explode(F.sequence(groups(least), groups(most)))), "a")
+    pairs = met(asked, keyed(right.withColumn("n", groups(F.col("q"))), "b"), ["n", "g", "same", "word"]).where(EVEN)
+    rest = lambda s, o: F.array_join(F.array_sort(F.array_except(f"words_{s}", f"words_{o}")), " ")
+    pairs = pairs.withColumn("d", whole((1 - c) * (F.col("q_a") + F.col("q_b")))).withColumn("x", rest("a", "b")).withColumn("y", rest("b", "a"))
+    return pairs.where(F.expr("levenshtein(x, y, d)") >= 0).select("a", "b")
+
+
+def grams(rows: DataFrame, sizes: Column) -> DataFrame:
+    """The rows (piece) for each distinct run of letters of each of some sizes that a piece has: gram."""
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.length("piece") - n + 1), lambda i: F.substring(F.col("piece"), i, n))
+    each = F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("piece")), every))
+    return rows.withColumn("gram", F.explode(F.array_distinct(each)))
+
+
+def windows(own: DataFrame, other: DataFrame, cutoff: float) -> DataFrame:
+    """x, y: pairs of which y is longer by half to eight times and may have a window like x at the cutoff.
+
+    x is cut into one piece more than faults are allowed; one stands in y, with its rarest run of letters.
     """
-    c, o = cutoff / 100, cutoff / 100 / ORDERED
-    plain = (0.5 - 1.5 * (1 - c)) * (1 + c / (2 - c))
-    words = o / (2 - o) / 1.5
-    return F.floor(size * min(plain, words) + 1 - 1e-9).cast("int")
+    c = cutoff / 100
+    cut = pieces(own.select("f", "size"), whole(2 * (1 - c) * F.col("size")) + 1).withColumn("piece", F.substring(F.col("f"), F.col("at") + 1, F.col("length")))
+    cut = grams(cut.withColumn("k", F.least(F.length("piece"), F.lit(GRAM))), F.array("k"))
+    sizes = [r.k for r in cut.select("k").distinct().collect()]  # GRAM of them at most
+    long = other.select(F.col("f").alias("y"), F.col("size").alias("longer"), F.col("f").alias("piece"))
+    long = grams(long, F.array(*[F.lit(k) for k in sizes]) if sizes else F.array().cast("array<int>")).drop("piece")
+    rare = rarest_first(cut, ["f"], "gram", long).groupBy("f", "size", "i").agg(F.min_by(F.struct("gram", "piece"), F.struct("rarity", "gram")).alias("r"))
+    rare = rare.select(F.col("f").alias("x"), "size", "r.*")
+    return met(rare, long, "gram").where("2 * longer >= 3 * size AND longer <= 8 * size").where(F.contains("y", "piece")).select("x", "y")
+
+
+def candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """a, b: all pairs that score the cutoff or more, each once, and few others. Columns of each side: f, size."""
+    found = [alike(left, right, cutoff).select("a", "b")]
+    a, b = worded(left), worded(right)
+    if (c := cutoff / ORDERED) <= 100 + 1e-9:
+        c = min(c, 100.0)
+        ordered = lambda rows, s: rows.select(F.col("f").alias(s), F.array_join(F.array_sort(F.split("f", " ")), " ").alias("f"), "size")
+        pairs = alike(ordered(left, "told_a"), ordered(right, "told_b"), c)
+        found.append(pairs.select(F.col("told_a").alias("a"), F.col("told_b").alias("b")))
+        found.append(held_words(a, b, c).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        found.append(held_words(b, a, c).select(F.col("y").alias("a"), F.col("x").alias("b")))
+        if c < 100:
+            found.append(like_rests(a, b, c))
+    if (c := cutoff / UNEVEN) <= 100 + 1e-9:
+        c = min(c, 100.0)
+        found.append(windows(left, right, c).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        found.append(windows(right, left, c).select(F.col("y").alias("a"), F.col("x").alias("b")))
+    return functools.reduce(DataFrame.unionAll, found).distinct()
 
 
 def nearest_names(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZZY_SAME) -> DataFrame:
     """text, name, score: of distinct texts, those that have a fuzzy-safe name at the cutoff or above, and the best of them, the
     first in the dictionary's order of equals.
 
-    Columns: text; name, folded and fuzzy_safe.
+    Columns: text; name, folded and fuzzy_safe. Texts that have a name at a higher cutoff are done with: no other name is better than
+    all that reach it.
     """
     if cutoff < LEAST_CUTOFF:
         raise ValueError(f"names are found from a score of {LEAST_CUTOFF} on")
     sized = F.length("f").alias("size")
-    left = texts.select(squeezed(normalize(F.col("text"))).alias("f")).where("f <> ''").distinct().select("f", sized)
-    right = names.where("fuzzy_safe").groupBy(squeezed(F.col("folded")).alias("f")).agg(F.min_by("name", order(F.col("name"))).alias("name")).where("f <> ''").select("f", sized, "name")
-    sides = {"a": saved(left, "texts"), "b": (right := saved(right, "names"))}
-    bags = {s: letter_pairs(rows) for s, rows in sides.items()}
-    met = []
-    # of like lengths: the rarest pairs of both sides, one of which they share
-    key = ["pair", "times"]
-    rarity = bags["b"].groupBy(*key).agg(F.count("*").alias("rarity"))
-    rare = F.row_number().over(Window.partitionBy("f").orderBy("rarity", *key))
-    few = F.col("n") <= F.col("size") + 2 - needed(F.col("size"), cutoff)
-    near = [bags[s].join(rarity, key, "left").fillna(0, ["rarity"]).withColumn("n", rare).where(few).select(F.col("f").alias(s), F.col("size").alias(f"size_{s}"), *key) for s in sides]
-    met.append(near[0].join(near[1], key).where(EVEN).select("a", "b"))
-    # a text that repeats a word counts it once where words are compared, so one common word can be all there is
-    words = {s: rows.select(F.col("f").alias(s), F.col("size").alias(f"size_{s}"), F.split("f", " ").alias("all")) for s, rows in sides.items()}
-    for s, o in ("ab", "ba"):
-        own = words[s].where(F.size(F.array_distinct("all")) < F.size("all")).withColumn("word", F.explode(F.array_distinct("all"))).drop("all")
-        met.append(own.join(words[o].withColumn("word", F.explode(F.array_distinct("all"))).drop("all"), "word").where(EVEN).select("a", "b"))
-    # of unequal lengths: the shorter stands in the longer, but for faults that only long ones can have
-    faults = F.floor(2 * (1 - cutoff / 100 / UNEVEN) * F.col("size") + 1e-9)
-    rarity = inner_pairs(right).groupBy("pair").agg(F.count("*").alias("rarity"))
-    rare = F.row_number().over(Window.partitionBy("f").orderBy("rarity", "pair"))
-    for s, o in ("ab", "ba"):
-        own = inner_pairs(sides[s]).join(rarity, "pair", "left").fillna(0, ["rarity"]).withColumn("n", rare).where(F.col("n") <= 2 * faults + 1)
-        own = own.select(F.col("f").alias(s), F.col("size").alias(f"size_{s}"), (faults == 0).alias("whole"), "pair")
-        letters = sides[o].where("size <= 8").select("f", "size", F.explode(F.array_distinct(F.split("f", ""))).alias("pair"))  # for texts of one letter
-        every = inner_pairs(sides[o]).unionAll(letters).select(F.col("f").alias(o), F.col("size").alias(f"size_{o}"), "pair")
-        uneven = own.join(every, "pair").where(f"2 * size_{o} >= 3 * size_{s} AND size_{o} <= 8 * size_{s}")
-        met.append(uneven.where(~F.col("whole") | F.col(o).contains(F.col(s))).select("a", "b"))
-    both = functools.reduce(DataFrame.unionAll, met).distinct()
-    scored = both.withColumn("score", weighted_ratio_udf("a", "b")).where(F.col("score") >= cutoff)
-    best = scored.join(right.select(F.col("f").alias("b"), "name"), "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("worse"), order(F.col("name")).alias("o"))).alias("x"))
-    told = best.select(F.col("a").alias("f"), F.col("x.o.name").alias("name"), (-F.col("x.worse")).alias("score"))
-    return texts.select("text", squeezed(normalize(F.col("text"))).alias("f")).join(told, "f").select("text", "name", "score")
+    left = saved(texts.select(squeezed(normalize(F.col("text"))).alias("f")).where("f <> ''").distinct().select("f", sized), "texts")
+    right = names.where("fuzzy_safe").groupBy(squeezed(F.col("folded")).alias("f")).agg(F.min_by("name", order(F.col("name"))).alias("name")).where("f <> ''")
+    right = saved(right.select("f", sized, "name"), "names")
+    told = [saved(met(left, right.drop("size"), "f").select("f", "name", F.lit(100.0).alias("score")), "equal")]
+    for c in sorted({*CUTOFFS, cutoff}, reverse=True):
+        if c < cutoff:
+            break
+        left = saved(met(left, told[-1].select("f"), "f", "left_anti"), "texts")
+        if left.isEmpty():
+            break
+        scored = candidates(left, right.select("f", "size"), c).withColumn("score", weighted_ratio_udf("a", "b")).where(F.col("score") >= c)
+        best = met(scored, right.select(F.col("f").alias("b"), "name"), "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("worse"), order(F.col("name")).alias("o"))).alias("x"))
+        told.append(saved(best.select(F.col("a").alias("f"), F.col("x.o.name").alias("name"), (-F.col("x.worse")).alias("score")), "nearest"))
+    return met(texts.select("text", squeezed(normalize(F.col("text"))).alias("f")), functools.reduce(DataFrame.unionAll, told), "f").select("text", "name", "score")
 
 
 def within_others(keys: DataFrame) -> DataFrame:

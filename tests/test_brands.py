@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,22 @@ def test_scores_of_batches_are_those_of_pairs():
     pairs = [(a, "".join(c for c in a if rng.random() < 0.9) + rng.choice(["", " x", "aa"]) if rng.random() < 0.5 else word(90)) for a in (word(rng.choice([3, 12, 40, 64, 65, 90])) for _ in range(1500))]
     assert list(fuzzy.weighted_ratios(pairs)) == pytest.approx([fuzzy.weighted_ratio(*p) for p in pairs])
     assert list(fuzzy.weighted_ratios([])) == []
+
+
+def test_few_pairs_are_scored(spark, monkeypatch):
+    """Names of few syllables have many letter pairs in common; texts are not scored against a share of them all."""
+    rng = random.Random(11)
+    part = lambda *n: "".join(rng.choice(["ley", "ber", "ström", "vic", "son", "ren", "ma", "ko", "lo", "gu", "ni", "ez", "ham", "or"]) for _ in range(rng.choice(n)))
+    names = sorted({f"{part(2, 3)} {part(3)}".title() for _ in range(200)})
+    texts = [[n + "q", f"##{n}qqqq,qqqqqqqqqqqqq", " ".join(reversed(n.split())), n.upper(), f"??{i}??"][i % 5] for i, n in enumerate(names)]
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series(fuzzy.weighted_ratios(list(zip(a.map(fold), b.map(fold)))))
+
+    monkeypatch.setattr(brands, "weighted_ratio_udf", counted)
+    got = {r.text: r.name for r in brands.nearest_names(spark.createDataFrame([(t,) for t in texts], "text string"), names_of(spark, names)).collect()}
+    assert got == {t: w for t in texts if (w := nearest_scan(t, names, 88)) is not None}
+    assert len(got) > 0.75 * len(texts) and scored.value < 10 * len(texts)
