@@ -251,14 +251,17 @@ def nearest_names(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZ
     return met(texts.select("text", squeezed(normalize(F.col("text"))).alias("f")), functools.reduce(DataFrame.unionAll, told), "f").select("text", "name", "score")
 
 
-def within_others(keys: DataFrame) -> DataFrame:
-    """key: of distinct texts, those of several words that all stand in another text too; a text's rarest word leads to the others."""
-    words = keys.select("key", F.array_distinct(F.split("key", " ")).alias("words")).where("size(words) > 1")
-    each = words.select("key", "words", F.explode("words").alias("word"))
-    times = each.groupBy("word").agg(F.count("*").alias("times"))
-    rarest = each.join(times, "word").groupBy("key").agg(F.min_by("word", F.struct("times", "word")).alias("word"), F.first("words").alias("own"))
-    others = each.select("word", F.col("key").alias("other"), "words")
-    return rarest.join(others, "word").where((F.col("key") != F.col("other")) & (F.size(F.array_except("own", "words")) == 0)).select("key").distinct()
+def near_turned(rows: DataFrame) -> DataFrame:
+    """key: of distinct texts (key) with their words in another order (turned), those to whose turned form another text is as near.
+
+    A text itself scores ORDERED of 100 with it. Another of like length does so if one of the two has all words of the other, or may do
+    so if it is alike as it stands.
+    """
+    words = worded(saved(rows.select(F.col("key").alias("f"), F.length("key").alias("size")).distinct(), "keys"))
+    within = held_words(words, words, 100.0).where("x != y").select(F.explode(F.array("x", "y")).alias("key"))
+    turned = rows.select(F.col("turned").alias("f"), F.length("turned").alias("size"), "key").where("f <> ''")
+    beside = alike(turned, words.select("f", "size"), 100 * ORDERED).where("b != key").select("key")
+    return within.unionAll(beside).distinct()
 
 
 def brands_of(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZZY_SAME) -> DataFrame:
