@@ -32,6 +32,8 @@ ORDERED, UNEVEN = 0.95, 0.9
 CUTOFFS = (95.0,)
 #: Letters of the runs that lead from a text to longer ones.
 GRAM = 6
+#: Dictionaries of so many names at most are broadcast.
+FEW = 10_000
 EVEN = "2 * greatest(size_a, size_b) < 3 * least(size_a, size_b)"
 
 
@@ -70,6 +72,11 @@ def is_word(atom: Column) -> Column:
     return F.coalesce(atom.rlike(r"(?U)^\w"), F.lit(False))
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides both go through a shuffle: texts and dictionaries grow, and the driver would hold what is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def literal_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     """text, brands: of distinct texts, those in which names stand as whole words, with the names' longest spellings.
 
@@ -79,27 +86,23 @@ def literal_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     table = names.where("folded <> ''").groupBy("folded").agg(F.min_by("name", order(F.col("name"))).alias("name"))
     table = table.select("folded", "name", atoms(F.col("folded")).alias("a")).select("folded", "name", F.size("a").alias("n"), F.col("a")[0].alias("first"))
     lengths = table.groupBy("first").agg(F.collect_set("n").alias("lengths"))
-    most = table.agg(F.max("n")).first()[0] or 0
+    many, most = table.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    among = met if many > FEW else lambda x, y, on: x.join(F.broadcast(y), on)
     cut = texts.select("text", atoms(normalize(F.col("text"))).alias("all"))
     at = lambda i: F.get(F.col("all"), i)
     # at each atom, as many as the longest name has and one more
     places = F.transform(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.struct(i.alias("i"), at(i).alias("first"), is_word(at(i - 1)).alias("behind"), F.slice("all", i + 1, most + 1).alias("run")))
     places = cut.where(F.size("all") > 0).select("text", F.explode(F.filter(places, lambda p: p["first"] != " ")).alias("p")).select("text", "p.*")
-    runs = places.join(lengths, "first").select("text", "i", "first", "behind", "run", F.explode("lengths").alias("n")).where("n <= size(run)")
+    runs = among(places, lengths, "first").select("text", "i", "first", "behind", "run", F.explode("lengths").alias("n")).where("n <= size(run)")
     starts = is_word(F.col("first")) | ~F.col("behind")
     ends = is_word(F.get("run", F.col("n") - 1)) | ~is_word(F.get("run", F.col("n")))
     runs = runs.where(starts & ends).select("text", "i", "n", F.array_join(F.slice("run", F.lit(1), F.col("n")), "").alias("folded"))
-    found = runs.join(table.select("folded", "name"), "folded").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("i", (-F.col("n")).alias("shorter"), "name"))).alias("m"))
+    found = among(runs, table.select("folded", "name"), "folded").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("i", (-F.col("n")).alias("shorter"), "name"))).alias("m"))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
     step = lambda s, m: F.when(m["i"] >= s["end"], F.struct((m["i"] - m["shorter"]).alias("end"), F.concat(s["names"], F.array(m["name"])).alias("names"))).otherwise(s)
     return found.select("text", F.array_distinct(F.aggregate("m", none, step)["names"]).alias("brands"))
 
 
-def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join whose sides both go through a shuffle: texts and dictionaries grow, and the driver would hold what is broadcast."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def whole(x: Column) -> Column:
     """The floor of a bound that a pair may just reach."""
     return F.floor(x + 1e-9).cast("int")
@@ -269,9 +272,9 @@ def brands_of(texts: DataFrame, names: DataFrame, cutoff: float = config.FUZZY_S
     texts = saved(texts.select("text").where("text <> ''").distinct(), "texts")
     names = saved(names, "names")
     literal = saved(literal_matches(texts, names), "literal")
-    rest = texts.join(literal, "text", "left_anti")
+    rest = met(texts, literal, "text", "left_anti")
     near = nearest_names(rest, names, cutoff).select("text", F.array("name").alias("near"))
-    return texts.join(literal, "text", "left").join(near, "text", "left").select("text", F.coalesce("brands", "near", leading_token(F.col("text"))).alias("brands"))
+    return met(met(texts, literal, "text", "left"), near, "text", "left").select("text", F.coalesce("brands", "near", leading_token(F.col("text"))).alias("brands"))
 
 
 def with_brands(rows: DataFrame, text: str, names: DataFrame, out: str = "brands", literal: bool = False) -> DataFrame:
@@ -282,5 +285,5 @@ def with_brands(rows: DataFrame, text: str, names: DataFrame, out: str = "brands
     texts = rows.select(F.col(text).alias("text")).where("text <> ''").distinct()
     found = literal_matches(texts, names) if literal else brands_of(texts, names)
     found = found.select(F.col("text").alias("brands_text"), F.col("brands").alias(out))
-    joined = rows.join(found, F.col(text) == F.col("brands_text"), "left").drop("brands_text")
+    joined = met(rows, found, F.col(text) == F.col("brands_text"), "left").drop("brands_text")
     return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
